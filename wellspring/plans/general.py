@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from wellspring.operators.grid import regular_grid
 from wellspring.operators.intervals import interpretation_spans
+from wellspring.operators.spikes import production_spikes
+from wellspring.operators.units import converted, foreign_values, production_units, well_head_units
 from wellspring.tables import table
 
 
@@ -27,12 +29,42 @@ def p1_found(spark, d):
     return grid.where("missing").select("wellkey", F.col("month").alias("month_missing"))
 
 
+def _units(spark, d, keep=()):
+    return production_units(table(spark, d, "production_corrected"), table(spark, d, "sources"), table(spark, d, "unit_factors"), keep)
+
+
+def p3_found(spark, d):
+    """Values recorded in another unit than MPa, m3/d or m."""
+    heads = well_head_units(table(spark, d, "well_head"), table(spark, d, "unit_factors"))
+    return foreign_values(_units(spark, d), heads, "production_corrected", "well_head")
+
+
+def p3_converted(spark, d):
+    """All rates and pressures in m3/d and MPa."""
+    f = table(spark, d, "unit_factors")
+    rows = converted(_units(spark, d), "oil", "oil_unit", f, "oil_m3d")
+    return converted(rows, "p", "pressure_unit", f, "pressure_mpa").select("id", "oil_m3d", "pressure_mpa")
+
+
+def p3_heads(spark, d):
+    """All well-head elevations in metres."""
+    f = table(spark, d, "unit_factors")
+    heads = converted(well_head_units(table(spark, d, "well_head"), f), "kb", "kb_unit", f, "kb_m")
+    return heads.select("row_no", "kb_m")
+
+
+def p6_found(spark, d):
+    """Readings that cannot be right for their well."""
+    rows = _units(spark, d, ("wellkey", "productiondate", "loaded_at", "dayson", "watercutpct"))
+    return production_spikes(converted(rows, "oil", "oil_unit", table(spark, d, "unit_factors"), "oil_m3d"))
+
+
 def p7_found(spark, d):
     """Covered spans of each well and the gaps between them."""
     return interpretation_spans(table(spark, d, "interpretation_v1"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_counter": p1_counter, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_counter": p1_counter, "p3_found": p3_found, "p3_converted": p3_converted, "p3_heads": p3_heads, "p6_found": p6_found, "p7_found": p7_found}
 
 _USABLE = """usable AS (SELECT * FROM production_corrected WHERE wellkey IS NOT NULL AND productiondate >= TIMESTAMPTZ '1950-01-01 00:00:00+00'
  AND productiondate <= loaded_at AND {v} IS NOT NULL AND NOT isnan({v}) AND {v} >= 0)"""
