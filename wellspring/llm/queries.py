@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wellspring.llm import canonical, golden
+from wellspring.llm import canonical, golden, matching, mixing, subjects, tokenizing
 from wellspring.tables import table
 
 
@@ -18,6 +18,17 @@ def p2_golden(spark, d):
     return golden.golden_wells(table(spark, d, "well_sources"), table(spark, d, "sources"), table(spark, d, "source_trust"))
 
 
+def p4_found(spark, d):
+    """The well each unresolved mention describes."""
+    found = matching.well_matches(table(spark, d, "well_sources"), table(spark, d, "wells"))
+    return found.select("mention_id", F.col("entity_id").alias("well_id"))
+
+
+def p4_matches(spark, d):
+    """The same with confidences."""
+    return matching.well_matches(table(spark, d, "well_sources"), table(spark, d, "wells"))
+
+
 def p5_found(spark, d):
     """Entry of curve_reference or horizon_name_groups meant by a free name."""
     curves = canonical.curve_entries(table(spark, d, "las_curves"), table(spark, d, "curve_reference"))
@@ -26,7 +37,30 @@ def p5_found(spark, d):
     return named(curves, "las_curves").unionByName(named(horizons, "horizon_name_aliases"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found}
+def p8_ids(spark, d):
+    """Every text as byte_bpe_50k ids."""
+    return tokenizing.token_ids(table(spark, d, "documents"))
+
+
+def p9_mix(spark, d):
+    """Documents of the mix with their copies."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark, d):
+    """Target and reached share of each source."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark, d):
+    """Subjects of every document without labels."""
+    return subjects.unlabelled_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_golden": p2_golden, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found,
+    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
+}
 
 _TYPE = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(data_type)), '{w}') THEN '{t}'" for t, w in golden.TYPE_WORDS.items()) + " END"
 _NO = ", ".join(str(p) for p in golden.PLACEHOLDERS)
