@@ -67,7 +67,7 @@ def plan(sizes: list[tuple[str, float, int, int]], total: float | None = None) -
             goal[s[0]] = float(s[3] * s[2])
             open_.remove(s)
         left -= sum(goal[s[0]] for s in full)
-    return [Rate(s[0], s[1], s[2], s[3], min(goal.get(s[0], 0.0) / s[3], s[2]) if s[3] else 0.0) for s in sizes]
+    return [Rate(s[0], s[1], s[2], s[3], min(goal.get(s[0], 0.0) / s[3], float(s[2])) if s[3] else 0.0) for s in sizes]
 
 
 def _chance(seed: int, a: int, b: int) -> float:
