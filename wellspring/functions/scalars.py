@@ -143,7 +143,8 @@ def whole_angle(a: Column) -> Column:
 def similarity_of_ranges(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
     """SC28: overlap of two ranges as a share of their union."""
     over = F.greatest(F.lit(0.0), F.least(hi1, hi2) - F.greatest(lo1, lo2))
-    return over / F.nullif(F.greatest(hi1, hi2) - F.least(lo1, lo2), F.lit(0.0))
+    known = lo1.isNotNull() & hi1.isNotNull() & lo2.isNotNull() & hi2.isNotNull()  # least() and greatest() pass over nulls
+    return F.when(known, over / F.nullif(F.greatest(hi1, hi2) - F.least(lo1, lo2), F.lit(0.0)))
 
 
 def core_depths(name: Column) -> tuple[Column, Column]:

@@ -170,4 +170,4 @@ def evenly_spaced(rows: DataFrame, order: list[str], k: int) -> DataFrame:
     wanted = sorted({round(i * (total - 1) / max(k - 1, 1)) for i in range(k)}) if total > k else list(range(total))
     base = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map(F.lit(0), F.lit(0))
     place = F.row_number().over(W.partitionBy("pid").orderBy(*order)) - 1 + base[F.col("pid")]
-    return by.withColumn("place", place).where(F.col("place").isin(wanted)).drop("pid", "place")
+    return by.withColumn("place", place).where(F.col("place").isin(wanted)).drop("pid")

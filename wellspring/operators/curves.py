@@ -104,7 +104,7 @@ def window_of(intervals: DataFrame, unit: Column) -> DataFrame:
     """FLT08: top and base in metres, put in order; rows without a known unit drop."""
     f = depth_factor(unit)
     a, b = finite(F.col("top")) * f, finite(F.col("base")) * f
-    return intervals.withColumns({"top_m": F.least(a, b), "base_m": F.greatest(a, b)}).where("top_m is not null and base_m is not null")
+    return intervals.withColumns({"top_m": F.least(a, b), "base_m": F.greatest(a, b)}).where(a.isNotNull() & b.isNotNull())
 
 
 def within(points: DataFrame, intervals: DataFrame, key: str, bucket: float) -> DataFrame:
