@@ -142,7 +142,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     while True:
         done.append(level.where("p = 0 or p = 1"))
         open_ = level.where("p > 0 and p < 1")
-        if parts == 1:
+        if parts <= 1:
             # the root: one document per source at most, rounded to the nearer side
             last = [(r["doc_id"], r["source"], r["n_tokens"], r["base"], float(r["p"] >= 0.5)) for r in open_.collect()]
             done.append(spark.createDataFrame(last, _ROWS))
