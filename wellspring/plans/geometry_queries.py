@@ -113,7 +113,7 @@ QUERIES = {
     "agg35_group_statistics": lambda s, d: rounded(clustering.group_statistics(_members(s, d), "value"), 4),
     "mdl25_plan_agreement": lambda s, d: rounded(clustering.plan_agreement(_plans(s, d)), 5),
     "set07_jaccard": lambda s, d: rounded(clustering.jaccard_by_rank(_plans(s, d), "p", "q"), 6),
-    "win22_evenly_spaced": lambda s, d: clustering.evenly_spaced(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 101).select("o_orderkey", "place"),
+    "win22_evenly_spaced": lambda s, d: clustering.evenly_spaced(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 101).select("o_orderkey", F.col("place").cast("long").alias("place")),
 }
 
 _R = 3.141592653589793 / 180
@@ -132,7 +132,7 @@ _BASE = f"WITH {NODES}"
 ORACLE = {
     "mdl01_minimum_curvature": f"WITH {_MC} SELECT well, md, round(dogleg, 4) AS dogleg, round(north, 4) AS north, round(east, 4) AS east, round(tvd, 4) AS tvd FROM mc",
     "mdl02_absolute": f"WITH {_XYZ} SELECT well, md, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM xyz",
-    "join14_at_depths": f"WITH {_XYZ}, {_SEG.format(t='xyz')}, k AS (SELECT DISTINCT well, unnest([0.0, 45.0, 100.0, 777.0, 1000000.0]) AS q FROM mc), j AS (SELECT k.well, q, sg.md AS m0, x + (x1 - x) * (q - md) / (m1 - md) AS x, y + (y1 - y) * (q - md) / (m1 - md) AS y, z + (z1 - z) * (q - md) / (m1 - md) AS z FROM k LEFT JOIN sg ON sg.well = k.well AND q BETWEEN md AND m1) SELECT well, q AS md, round(arg_min(x, m0), 4) AS x, round(arg_min(y, m0), 4) AS y, round(arg_min(z, m0), 4) AS z FROM j GROUP BY ALL",
+    "join14_at_depths": f"WITH {_XYZ}, {_SEG.format(t='xyz')}, k AS (SELECT DISTINCT well, CAST(unnest([0.0, 45.0, 100.0, 777.0, 1000000.0]) AS DOUBLE) AS q FROM mc), j AS (SELECT k.well, q, sg.md AS m0, x + (x1 - x) * (q - md) / (m1 - md) AS x, y + (y1 - y) * (q - md) / (m1 - md) AS y, z + (z1 - z) * (q - md) / (m1 - md) AS z FROM k LEFT JOIN sg ON sg.well = k.well AND q BETWEEN md AND m1) SELECT well, q AS md, round(arg_min(x, m0), 4) AS x, round(arg_min(y, m0), 4) AS y, round(arg_min(z, m0), 4) AS z FROM j GROUP BY ALL",
     "mdl04_compared": f"""WITH {_XYZ}, b AS (SELECT well, min(md) AS lo, max(md) AS hi FROM xyz GROUP BY well HAVING max(md) > min(md)), q AS (SELECT well, lo + (hi - lo) * i / 20 AS q FROM b, range(0, 21) r(i)), d AS (SELECT well, abs(q / 1000) AS d FROM q)
  SELECT well, round(avg(d), 4) AS mean_distance, round(max(d), 4) AS max_distance, CASE WHEN max(d) <= 1e-6 THEN 'identical' WHEN max(d) <= 2 THEN 'close' WHEN max(d) <= 10 THEN 'near' ELSE 'different' END AS class FROM d GROUP BY well""",
     "win17_first_crossing": f"WITH {_MC}, s AS (SELECT well, md, tvd - 150 AS d, lag(md) OVER w AS m0, lag(tvd - 150) OVER w AS d0 FROM mc WINDOW w AS (PARTITION BY well ORDER BY md)) SELECT well, round(arg_min(CASE WHEN m0 IS NULL OR d0 >= 0 THEN md ELSE m0 + (md - m0) * (-d0) / (d - d0) END, md), 4) AS md FROM s WHERE d >= 0 GROUP BY well",
@@ -140,7 +140,7 @@ ORACLE = {
     "win21_thinned": f"WITH {ST}, r AS (SELECT well, md, id, row_number() OVER (PARTITION BY well ORDER BY md) AS k, count(*) OVER (PARTITION BY well) AS n FROM st) SELECT well, md, id FROM r WHERE (k - 1) % 5 = 0 OR k = n",
     "hlp16_bottoms": f"WITH {_XYZ}, e AS (SELECT well, max(md) AS md, arg_max(x, md) AS x, arg_max(y, md) AS y, arg_max(z, md) AS z, arg_min(x, md) AS tx, arg_min(y, md) AS ty FROM xyz GROUP BY well) SELECT well, round(md, 4) AS md, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(sqrt(pow(x - tx, 2) + pow(y - ty, 2)), 4) AS reach FROM e",
     "srt08_best_path": f"WITH {ST}, n AS (SELECT well, id % 3 AS path_id, count(*) AS n FROM st GROUP BY ALL) SELECT well, arg_min(path_id, ROW(-n, path_id)) AS path_id, max(n) AS stations FROM n GROUP BY well",
-    "geo02_polygon_areas": "SELECT * FROM (VALUES ('square', 37500.0, 50.5, 250.5, 50.5, 250.5), ('triangle', 20000.0, 200.5, 400.5, 300.5, 500.5)) t(polygon, area, min_x, max_x, min_y, max_y)",
+    "geo02_polygon_areas": "SELECT polygon, CAST(area AS DOUBLE) AS area, CAST(min_x AS DOUBLE) AS min_x, CAST(max_x AS DOUBLE) AS max_x, CAST(min_y AS DOUBLE) AS min_y, CAST(max_y AS DOUBLE) AS max_y FROM (VALUES ('square', 37500.0, 50.5, 250.5, 50.5, 250.5), ('triangle', 20000.0, 200.5, 400.5, 300.5, 500.5)) t(polygon, area, min_x, max_x, min_y, max_y)",
     "flt02_points_in_polygons": f"WITH {_PTS} SELECT id, 'square' AS polygon FROM pt WHERE x > 50.5 AND x < 250.5 AND y > 50.5 AND y < 250.5 AND NOT (x > 100.5 AND x < 150.5 AND y > 100.5 AND y < 150.5) UNION ALL SELECT id, 'triangle' FROM pt WHERE y > 300.5 AND y - 300.5 < 2 * (x - 200.5) AND y - 300.5 < 2 * (400.5 - x)",
     "join18_sampled": f"{_BASE}, {_PTS}, p AS (SELECT *, CAST(round_even(x / 10.0, 0) AS INT) AS c, CAST(round_even(y / 10.0, 0) AS INT) AS r FROM pt) SELECT p.id, CASE WHEN NOT (r BETWEEN 0 AND 49 AND c BETWEEN 0 AND 39) THEN 'outside' WHEN value IS NULL THEN 'missing' ELSE 'ok' END AS status, round(CASE WHEN r BETWEEN 0 AND 49 AND c BETWEEN 0 AND 39 THEN value END, 4) AS value, round(CASE WHEN r BETWEEN 0 AND 49 AND c BETWEEN 0 AND 39 THEN sqrt(pow(x - c * 10.0, 2) + pow(y - r * 10.0, 2)) END, 4) AS distance FROM p LEFT JOIN nodes ON nodes.row = r AND nodes.col = c",
     "mdl27_resampled": f"{_BASE}, t AS (SELECT CAST(i // 40 AS INT) AS row, CAST(i % 40 AS INT) AS col FROM range(0, 1600) r(i)) SELECT t.row, t.col, round(value, 4) AS value FROM t LEFT JOIN nodes n ON n.row = CAST(round_even((5.0 + t.row * 7.0) / 10.0, 0) AS INT) AND n.col = CAST(round_even((5.0 + t.col * 7.0) / 10.0, 0) AS INT)",
@@ -158,7 +158,7 @@ ORACLE = {
     "mdl23_profiles": f"WITH {_VEC}, l AS (" + " UNION ALL ".join(f"SELECT cluster, 'f{i}' AS feature, f{i} AS v FROM vc" for i in range(4)) + ") SELECT cluster, feature, count(*) AS n, round(quantile_cont(v, 0.25), 5) AS q1, round(quantile_cont(v, 0.5), 5) AS q2, round(quantile_cont(v, 0.75), 5) AS q3 FROM l GROUP BY ALL",
     "agg35_group_statistics": "SELECT o_orderpriority AS grp, count(DISTINCT o_custkey) AS wells, count(*) - count(DISTINCT o_custkey) AS repeats, round(quantile_cont(o_totalprice / 100, 0.1), 4) AS p10, round(quantile_cont(o_totalprice / 100, 0.5), 4) AS p50, round(quantile_cont(o_totalprice / 100, 0.9), 4) AS p90 FROM orders GROUP BY 1",
     "mdl25_plan_agreement": f"WITH {_PL}, s AS (SELECT well, quantile_cont(rank / 4.0, 0.9) - quantile_cont(rank / 4.0, 0.1) AS d FROM pl GROUP BY well) SELECT well, round(d, 5) AS spread, round(greatest(0.0, 1 - d), 5) AS reliability, d <= 0.2 AS stable FROM s",
-    "set07_jaccard": f"WITH {_PL}, x AS (SELECT rank, well FROM pl WHERE plan = 'p'), y AS (SELECT rank, well FROM pl WHERE plan = 'q') SELECT rank, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard FROM (SELECT coalesce(x.rank, y.rank) AS rank, x.well IS NOT NULL AS a, y.well IS NOT NULL AS b FROM x FULL JOIN y ON x.rank = y.rank AND x.well = y.well) GROUP BY rank",
+    "set07_jaccard": f"WITH {_PL}, x AS (SELECT rank, well FROM pl WHERE plan = 'p'), y AS (SELECT rank, well FROM pl WHERE plan = 'q') SELECT CAST(rank AS INT) AS rank, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard FROM (SELECT coalesce(x.rank, y.rank) AS rank, x.well IS NOT NULL AS a, y.well IS NOT NULL AS b FROM x FULL JOIN y ON x.rank = y.rank AND x.well = y.well) GROUP BY rank",
     "win22_evenly_spaced": "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders) SELECT o_orderkey, place FROM r WHERE place IN (SELECT CAST(round_even(i * (n - 1) / 100.0, 0) AS BIGINT) FROM range(0, 101) t(i))",
 }
 _EXACT = ("mdl32_correlations",)

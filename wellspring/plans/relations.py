@@ -99,7 +99,7 @@ _LAST = ", ".join(f"arg_max({f}, id) FILTER ({f} IS NOT NULL) AS {f}" for f in (
 CM = f"{PM}, cm AS (SELECT well_key, month, {_LAST}, count(*) AS n_rows FROM pm GROUP BY ALL)"
 SC = "sm AS (SELECT well_key, month, arg_max(status, id) FILTER (status IS NOT NULL) AS status FROM pm GROUP BY ALL), sb AS (SELECT *, last_value(status IGNORE NULLS) OVER (PARTITION BY well_key ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sm), sc AS (SELECT well_key, month, status FROM sb WHERE status IS NOT NULL AND status IS DISTINCT FROM before)"
 EV = f"{SC}, ev AS (SELECT well_key, month FROM sc WHERE status = 'shut in')"
-ST = "st AS (SELECT 'E' || user_id AS well, event_id AS id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 30.0 AS md, CAST(abs(event_id % 60) AS DOUBLE) AS inc, CAST(abs(event_id * 7 % 360) AS DOUBLE) AS azi FROM events)"
+ST = "st AS (SELECT 'E' || user_id AS well, event_id AS id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 30.0 AS DOUBLE) AS md, CAST(abs(event_id % 60) AS DOUBLE) AS inc, CAST(abs(event_id * 7 % 360) AS DOUBLE) AS azi FROM events)"
 NODES = "nodes AS (SELECT CAST(p_partkey // 40 AS INT) AS row, CAST(p_partkey % 40 AS INT) AS col, CASE WHEN p_partkey % 37 <> 0 THEN p_retailprice / 100 END AS value FROM part)"
 SAMPLES = "samples AS (SELECT l_returnflag || l_linestatus AS series, l_extendedprice / 100 AS value FROM lineitem)"
 KIND = "CASE WHEN regexp_matches(t, 'well.?head|井头') THEN 'well_head' WHEN regexp_matches(t, 'dev|井斜') THEN 'deviation' WHEN regexp_matches(t, 'core') THEN 'core' WHEN regexp_matches(t, 'las') THEN 'las' WHEN regexp_matches(t, 'interp') THEN 'interpretation' WHEN regexp_matches(t, 'prod') THEN 'production' ELSE 'other' END"

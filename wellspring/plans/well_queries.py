@@ -151,7 +151,7 @@ ORACLE = {
     "sc08_coordinate_spread": "SELECT well_id, round(sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)), 3) AS spread, count(*) AS n FROM well_sources WHERE well_id IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) GROUP BY well_id",
     "sc09_identity_classes": f"""WITH {SRC}, k AS (SELECT well_id, count(DISTINCT kind) FILTER (kind IN ('well_head', 'deviation', 'las')) AS n FROM well_sources m JOIN src ON src.id = m.source_id WHERE well_id IS NOT NULL GROUP BY well_id),
  sp AS (SELECT well_id, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) AS spread FROM well_sources WHERE well_id IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) GROUP BY well_id)
- SELECT well_id, CASE WHEN n = 0 THEN 40 WHEN coalesce(spread, 0) > 5 THEN 68 WHEN n >= 2 THEN least(98, 84 + 4 * n) ELSE 80 END AS score FROM k LEFT JOIN sp USING (well_id)""",
+ SELECT well_id, CAST(CASE WHEN n = 0 THEN 40 WHEN coalesce(spread, 0) > 5 THEN 68 WHEN n >= 2 THEN least(98, 84 + 4 * n) ELSE 80 END AS INT) AS score FROM k LEFT JOIN sp USING (well_id)""",
     "agg30_coordinate_overlaps": "SELECT round(x, 2) AS x, round(y, 2) AS y, count(DISTINCT well_name) AS wells FROM well_head WHERE NOT isnan(x) AND NOT isnan(y) GROUP BY ALL HAVING count(DISTINCT well_name) > 1",
     "flt01_box": "SELECT id, canonical_name FROM wells WHERE x BETWEEN 400000 AND 420000 AND y BETWEEN 4000000 AND 4005000",
     "join24_merged": f"SELECT normalized_key AS key, 'imported' AS origin FROM wells UNION ALL SELECT key, 'scanned' FROM (SELECT DISTINCT {_KEY('well_name')} AS key FROM well_head) h WHERE NOT EXISTS (SELECT 1 FROM wells w WHERE w.normalized_key = h.key)",
@@ -193,7 +193,7 @@ ORACLE = {
     "agg21_overlay": f"WITH {FILES}, t(kind) AS (VALUES ('well_log'), ('seismic'), ('deviation'), ('polygon'), ('core')) SELECT t.kind, count(ct.path) AS n, count(ct.path) = 0 AS missing FROM t LEFT JOIN ct USING (kind) GROUP BY t.kind",
     "srt06_representative": f"WITH {FILES}, n AS (SELECT folder, ext, count(*) AS n FROM ct GROUP BY ALL), b AS (SELECT folder, arg_min(ext, ROW(-n, ext)) AS ext, max(n) AS n FROM n GROUP BY folder), r AS (SELECT ct.*, b.n, row_number() OVER (PARTITION BY folder ORDER BY size, path) - 1 AS k FROM ct JOIN b USING (folder, ext)) SELECT folder, path, size FROM r WHERE k = (n - 1) // 2",
     "srt03_page": f"WITH {FILES} SELECT path, size FROM ct ORDER BY lower(path), path LIMIT 20 OFFSET 20",
-    "mdl44_tiers": "SELECT id, canonical_name AS name, CASE WHEN contains(upper(canonical_name), 'S-01') THEN 1.0 ELSE 0.94 END AS score FROM wells WHERE contains(upper(canonical_name), 'S-01') OR contains(regexp_replace(upper(canonical_name), '[^0-9A-Z]', '', 'g'), 'S01')",
+    "mdl44_tiers": "SELECT id, canonical_name AS name, CASE WHEN contains(upper(canonical_name), 'S-01') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.94 AS DOUBLE) END AS score FROM wells WHERE contains(upper(canonical_name), 'S-01') OR contains(regexp_replace(upper(canonical_name), '[^0-9A-Z]', '', 'g'), 'S01')",
     "agg27_layer_registry": "WITH k AS (SELECT regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace(alias_name, '\\.[A-Za-z0-9]{1,4}$', '')), '[\\s_\\-.]*(V|VER|REV)\\s*\\d+$', ''), '[\\s_\\-.]*20\\d{2}$', ''), '[^0-9A-Z一-鿿]', '', 'g') AS layer, project_root, canonical_key FROM horizon_name_aliases) SELECT layer, count(*) AS names, count(DISTINCT project_root) AS projects, min(canonical_key) AS canonical FROM k GROUP BY layer",
     "snk15_latest": "SELECT alias_key AS k, arg_max(alias_id, ROW(created_at, alias_id)) AS alias_id, arg_max(alias_name, ROW(created_at, alias_id)) AS alias_name FROM horizon_name_aliases GROUP BY 1",
     "hlp24_sources_newest": "SELECT id, filename FROM sources ORDER BY imported_at DESC NULLS LAST, id DESC LIMIT 15",

@@ -61,7 +61,7 @@ def segy_traces(spark: SparkSession, path: str, with_samples: bool = False) -> D
             out.append({"path": p, "trace": k, "inline": i, "crossline": c, "x": x * f, "y": y * f, "samples": n, "step_us": step, "layout": layout, "exact": (len(content) - 3600) % size == 0, "v": decode_samples(raw, code).tolist() if with_samples else None})
         return out
 
-    return parsed(spark, path, "*.[sS][eE][gG][yY]", rows, "path string, trace long, inline int, crossline int, x double, y double, samples int, step_us int, layout string, exact boolean, v array<double>")
+    return parsed(spark, path, "*.{sgy,segy,SGY,SEGY}", rows, "path string, trace long, inline int, crossline int, x double, y double, samples int, step_us int, layout string, exact boolean, v array<double>")
 
 
 def shapefile_rings(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,10 @@ file that cannot be parsed gives its rows until then, or none, not a failure.
 
 from __future__ import annotations
 
+import struct
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +48,7 @@ def parsed(spark: SparkSession, path: str, pattern: str, parser: Callable[[str,
             for p, content in zip(b["path"], b["content"]):
                 try:
                     rows = parser(p, content)
-                except (ValueError, IndexError, KeyError, StopIteration):
+                except (ValueError, IndexError, KeyError, TypeError, StopIteration, struct.error, zipfile.BadZipFile, ElementTree.ParseError):
                     rows = []
                 yield pd.DataFrame(rows, columns=names)
 
