@@ -100,7 +100,7 @@ def _factors(spark):
     return spark.createDataFrame(rows, "unit_code string, quantity string, to_common double")
 
 
-PRODUCTION = "id long, source_id long, wellkey string, productiondate timestamp, dayson double, oilrate double, waterrate double, monthlyoil double, pressure double, pressuretype string, correctionnote string, p string"
+PRODUCTION = "id long, source_id long, wellkey string, productiondate timestamp, dayson double, oilrate double, waterrate double, monthlyoil double, pressure double, pressuretype string, correctionnote string, p string, gasrate double"
 
 
 def test_production_units(spark):
@@ -113,6 +113,7 @@ def test_production_units(spark):
         (23, 9, None, None, None, None, None, None, float("nan"), None, None, None),
         (24, 1, "A", day[10], 30.0, 700.0, 50.0, 3000.0, 15.0, None, None, None),  # a spike, not a unit
     ]
+    rows = [(*r, 9000.0 if r[0] == 20 else None) for r in rows]
     df = spark.createDataFrame(rows, PRODUCTION)
     src = spark.createDataFrame([(1, "{}", None), (2, '{"header": "Qo [STB/d]; P [psi]"}', None)], "id long, metadata_json string, warning string")
     out = {r["id"]: r for r in units.production_units(df, src, _factors(spark)).collect()}

@@ -86,7 +86,7 @@ def production_units(production: DataFrame, sources: DataFrame, unit_factors: Da
     ptype = F.lower(F.col("pressuretype"))
     rows = production.select(
         "id", "source_id", F.coalesce("wellkey", F.lit("")).alias("wk"), (F.year("productiondate") * 12 + F.month("productiondate")).alias("ym"),
-        finite(F.col("oilrate")).alias("oil"), finite(F.col("waterrate")).alias("water"), finite(F.col("monthlyoil")).alias("vol"), finite(F.col("dayson")).alias("days"), finite(F.col("pressure")).alias("p"),
+        finite(F.col("oilrate")).alias("oil"), finite(F.col("waterrate")).alias("water"), finite(F.col("gasrate")).alias("gas"), finite(F.col("monthlyoil")).alias("vol"), finite(F.col("dayson")).alias("days"), finite(F.col("pressure")).alias("p"),
         F.when(ptype.rlike(WELLHEAD_WORDS), "wh").when(ptype.rlike(BOTTOM_WORDS), "bh").alias("kind"),
         stated_rates("pressuretype", "correctionnote").alias("r"), *keep,
     ).join(said, "source_id", "left")
@@ -95,26 +95,45 @@ def production_units(production: DataFrame, sources: DataFrame, unit_factors: Da
     known = F.coalesce(F.col("r.oil"), F.col("s_oil"), proven)
     rows = rows.select(*[c for c in rows.columns if c not in ("r", "s_oil", "s_p", "source_id", "vol", "days")], known.alias("oil_known"), F.coalesce(F.col("r.pressure"), F.col("s_p")).alias("p_known"))
 
-    level = F.when(F.col("water") > 0, F.ln("water"))
-    sure = level + F.ln(_by_unit(F.col("oil_known"), f))
+    # gas is measured by itself: water against gas changes with the unit, but neither
+    # with a spike of the oil rate nor with a workover; where there is no gas, water
+    # and oil must both have changed
+    water = F.when(F.col("water") > 0, F.ln("water"))
+    levels = {"g": water - F.when(F.col("gas") > 0, F.ln("gas")), "w": water, "o": F.when(F.col("oil") > 0, F.ln("oil"))}
+    shift = F.ln(_by_unit(F.col("oil_known"), f))
+    new = F.col("oil_known").isNull()
     tally = lambda c: F.count_if(c)
     months = rows.groupBy("wk", "ym").agg(
-        F.sum(sure).alias("sk"), F.count(sure).alias("nk"), F.sum(F.when(F.col("oil_known").isNull(), level)).alias("su"), F.count(F.when(F.col("oil_known").isNull(), level)).alias("nu"),
+        *[agg(c).alias(f"{n}_{k}") for k, v in levels.items() for part, c in (("k", v + shift), ("u", F.when(new, v))) for n, agg in ((f"s{part}", F.sum), (f"n{part}", F.count))],
         tally(F.col("kind") == "wh").alias("wh"), tally(F.col("kind") == "bh").alias("bh"),
         *[tally(F.col("p_known") == u).alias(n) for u, n in (("bar", "n1"), ("kgf/cm2", "n2"), ("atm", "n3"))],
     )
     near, far, all_ = (W.partitionBy("wk").orderBy("ym").rangeBetween(-12, 12), W.partitionBy("wk").orderBy("ym").rangeBetween(-60, 60), W.partitionBy("wk"))
     mean = lambda s, n, w: F.try_divide(F.sum(s).over(w), F.sum(n).over(w))
     tenths = [F.struct(F.sum(n).over(all_).alias("n"), F.lit(-i).alias("i"), F.lit(u).alias("u")) for i, (u, n) in enumerate((("bar", "n1"), ("kgf/cm2", "n2"), ("atm", "n3")))]
+    half = F.ln(F.lit(1 / f["bbl/d"])) / 2
+
+    def reference(k: str) -> Column:
+        """Level of months near by: of known units first; else the low end of the
+        unknown ones (where units are mixed, the common unit gives the smaller
+        figures), set down where all of them lie a unit above known ones farther off."""
+        known_near, known_far = mean(f"sk_{k}", f"nk_{k}", near), mean(f"sk_{k}", f"nk_{k}", far)
+        low = F.percentile(F.try_divide(f"su_{k}", f"nu_{k}"), 0.2).over(near)
+        block = F.when((low - known_far).between(half, half * 3), low - half * 2).otherwise(low)
+        ref = F.coalesce(known_near, block, known_far)
+        if k == "g":  # gas read only now and then has no level
+            ref = F.when(F.sum(F.col("nk_g") + F.col("nu_g")).over(near) >= 3, ref)
+        return ref
+
     months = months.select(
-        "wk", "ym", F.coalesce(mean("sk", "nk", near), mean("sk", "nk", far), mean("su", "nu", near)).alias("ref"),
+        "wk", "ym", *[reference(k).alias(f"ref_{k}") for k in levels],
         F.when(F.sum("wh").over(all_) > F.sum("bh").over(all_), "wh").when(F.sum("bh").over(all_) > 0, "bh").alias("well_kind"), F.greatest(*tenths)["u"].alias("tenth"),
     )
     rows = rows.join(months.where("ym is not null"), ["wk", "ym"], "left")
-    off = level - F.col("ref")
-    half = F.ln(F.lit(1 / f["bbl/d"])) / 2
+    off = {k: v - F.col(f"ref_{k}") for k, v in levels.items()}
+    up, down = F.coalesce(off["g"], F.least(off["w"], off["o"])), F.coalesce(off["g"], F.greatest(off["w"], off["o"]))
     big = F.ln(F.lit(f["Mbbl/d"]))
-    guessed = F.when(off.between(half, half * 4), "bbl/d").when(off.between(-big * 1.3, -big * 0.7), "Mbbl/d").otherwise("m3/d")
+    guessed = F.when(up.between(half, half * 4), "bbl/d").when(down.between(-big * 1.3, -big * 0.7), "Mbbl/d").otherwise("m3/d")
     kind = F.coalesce("kind", "well_kind")
     by_range = _pressure_by_range(F.col("p"), kind, f, F.coalesce("tenth", F.lit("bar")))
     return rows.select(
