@@ -127,7 +127,7 @@ def barrels_of_oil_equivalent(oil: Column, gas: Column) -> Column:
 
 def listed(text: Column) -> Column:
     """SC33: parts of a list written with commas, semicolons or line ends, full-width ones too."""
-    return F.filter(F.transform(F.split(text, "[,;\n，；、]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[,;\n，；、]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def signed_angle(a: Column) -> Column:
