@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +44,11 @@ def with_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("alias").agg(F.max_by("canonical", F.struct("saved_at", "canonical")).alias("canonical"))
 
 
+def las_import(curves: DataFrame) -> DataFrame:
+    """ING06: curve rows of LAS headers (mnemonic, ...) without the depth curve."""
+    return curves.where(~F.upper(F.trim("mnemonic")).isin("DEPT", "DEPTH", "MD", "TDEP"))
+
+
 def production_basis(rows: DataFrame) -> DataFrame:
     """ING15: daily tables give volume = rate x days, monthly ones rate = volume / days;
     liquid and water cut where both phases are known. Rows: daily, days, oil, water."""
@@ -180,31 +185,40 @@ def filter_options(curves: DataFrame, typed: DataFrame) -> DataFrame:
     return typed.select(F.upper(F.trim("mnemonic")).alias("mnemonic"), "curve_type", "how").distinct()
 
 
-def convex_hulls(points: DataFrame, cell: float) -> DataFrame:
-    """GEO01: hull of each survey (survey, x, y). Of every column and row of cells only
-    the outermost points can be on the hull; those few reach the function."""
-    c = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    ends = lambda by, v: c.groupBy("survey", by).agg(F.min_by(F.struct("x", "y"), F.struct(v, "x", "y")).alias("a"), F.max_by(F.struct("x", "y"), F.struct(v, "x", "y")).alias("b")).select("survey", F.explode(F.array("a", "b")).alias("p"))
-    rim = ends("cx", "y").unionByName(ends("cy", "x")).select("survey", "p.x", "p.y").distinct()
-    # within a column of cells the extremes left and right of the cell also matter
-    side = c.groupBy("survey", "cx", "cy").agg(*[f(F.struct("x", "y"), F.struct(a, b)).alias(n) for n, f, a, b in (("l", F.min_by, "x", "y"), ("r", F.max_by, "x", "y"), ("d", F.min_by, "y", "x"), ("u", F.max_by, "y", "x"))], F.count("*").alias("n"))
-    rim = rim.unionByName(side.select("survey", F.explode(F.array("l", "r", "d", "u")).alias("p")).select("survey", "p.x", "p.y")).distinct()
-
-    def hull(p: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(p["x"], p["y"])))
-
-        def half(seq) -> list:
-            out: list = []
-            for q in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(q)
-            return out
-
-        ring = pts if len(pts) < 3 else half(pts)[:-1] + half(reversed(pts))[:-1]
+def hull(points: set) -> list[tuple[float, float]]:
+    """Corners of the convex hull, counter-clockwise (monotone chain)."""
+    pts = sorted(points)
+
+    def half(seq) -> list:
+        out: list = []
+        for q in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out
+
+    return pts if len(pts) < 3 else half(pts)[:-1] + half(reversed(pts))[:-1]
+
+
+def convex_hulls(points: DataFrame) -> DataFrame:
+    """GEO01: hull of each survey (survey, x, y). Every partition reduces its points to
+    hulls first, so only corners are shuffled."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, list] = {}
+        for b in batches:
+            for name, g in b.groupby("survey"):
+                kept[name] = hull(set(kept.get(name, ())) | set(zip(g["x"], g["y"])))
+        rows = [(n, x, y) for n, ring in kept.items() for x, y in ring]
+        yield pd.DataFrame(rows, columns=["survey", "x", "y"])
+
+    def final(p: pd.DataFrame) -> pd.DataFrame:
+        ring = hull(set(zip(p["x"], p["y"])))
         return pd.DataFrame({"survey": p["survey"].iloc[0], "seq": range(len(ring)), "x": [q[0] for q in ring], "y": [q[1] for q in ring]})
 
-    return rim.groupBy("survey").applyInPandas(hull, "survey string, seq int, x double, y double")
+    good = points.where("survey is not null and x is not null and y is not null").select("survey", "x", "y")
+    corners = good.mapInPandas(partial, "survey string, x double, y double")
+    return corners.groupBy("survey").applyInPandas(final, "survey string, seq int, x double, y double")
 
 
 def newest_survey(stations: DataFrame, sources: DataFrame) -> DataFrame:

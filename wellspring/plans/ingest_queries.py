@@ -41,7 +41,7 @@ QUERIES = {
     "flt14_found_in": lambda s, d: ingest.found_in(table(s, d, "sources"), ("filename", "batch", "warning"), "ROWS"). select("id"),
     "agg24_time_depth": lambda s, d: ingest.time_depth_inventory(las(s, d), table(s, d, "sources")),
     "win20_newest_survey": lambda s, d: ingest.newest_survey(_surveys(s, d), table(s, d, "sources")).select("well", "source_id", "id"),
-    "geo01_hulls": lambda s, d: ingest.convex_hulls(table(s, d, "well_head").where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(F.coalesce("field", F.lit("?")).alias("survey"), "x", "y"), 500.0),
+    "geo01_hulls": lambda s, d: ingest.convex_hulls(table(s, d, "well_head").where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(F.coalesce("field", F.lit("?")).alias("survey"), "x", "y")),
     "src35_preflight": lambda s, d: ingest.preflight(files(s, d), ("batch02",)),
     "snk08_delivery": lambda s, d: ingest.delivery(table(s, d, "wells").select(F.col("normalized_key").alias("well_key"), F.lit("well_log").alias("kind")), files(s, d)),
     "srt07_sample": lambda s, d: ingest.seeded_sample(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 500),
