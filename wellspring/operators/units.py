@@ -108,8 +108,16 @@ def production_units(production: DataFrame, sources: DataFrame, unit_factors: Da
         tally(F.col("kind") == "wh").alias("wh"), tally(F.col("kind") == "bh").alias("bh"),
         *[tally(F.col("p_known") == u).alias(n) for u, n in (("bar", "n1"), ("kgf/cm2", "n2"), ("atm", "n3"))],
     )
-    near, far, all_ = (W.partitionBy("wk").orderBy("ym").rangeBetween(-12, 12), W.partitionBy("wk").orderBy("ym").rangeBetween(-60, 60), W.partitionBy("wk"))
-    mean = lambda s, n, w: F.try_divide(F.sum(s).over(w), F.sum(n).over(w))
+    order = W.partitionBy("wk").orderBy("ym")
+    near, all_ = order.rangeBetween(-12, 12), W.partitionBy("wk")
+
+    def around(c: str, months_off: int) -> Column:
+        """Sum over the months around, as a difference of two growing sums: those cost
+        one step a row, a sliding frame its whole width."""
+        upto = lambda k: F.coalesce(F.sum(c).over(order.rangeBetween(W.unboundedPreceding, k)), F.lit(0))
+        return upto(months_off) - upto(-months_off - 1)
+
+    mean = lambda s, n, off: F.try_divide(around(s, off), around(n, off))
     tenths = [F.struct(F.sum(n).over(all_).alias("n"), F.lit(-i).alias("i"), F.lit(u).alias("u")) for i, (u, n) in enumerate((("bar", "n1"), ("kgf/cm2", "n2"), ("atm", "n3")))]
     half = F.ln(F.lit(1 / f["bbl/d"])) / 2
 
@@ -117,14 +125,19 @@ def production_units(production: DataFrame, sources: DataFrame, unit_factors: Da
         """Level of months near by: of known units first; else the low end of the
         unknown ones (where units are mixed, the common unit gives the smaller
         figures), set down where all of them lie a unit above known ones farther off."""
-        known_near, known_far = mean(f"sk_{k}", f"nk_{k}", near), mean(f"sk_{k}", f"nk_{k}", far)
-        low = F.percentile(F.try_divide(f"su_{k}", f"nu_{k}"), 0.2).over(near)
+        known_near, known_far = mean(f"sk_{k}", f"nk_{k}", 12), mean(f"sk_{k}", f"nk_{k}", 60)
+        low = F.min(f"low_{k}").over(near)
         block = F.when((low - known_far).between(half, half * 3), low - half * 2).otherwise(low)
         ref = F.coalesce(known_near, block, known_far)
         if k == "g":  # gas read only now and then has no level
-            ref = F.when(F.sum(F.col("nk_g") + F.col("nu_g")).over(near) >= 3, ref)
+            ref = F.when(around("nk_g", 12) + around("nu_g", 12) >= 3, ref)
         return ref
 
+    # a month's level is the middle of three, so that a single odd month is no low end
+    for k in levels:
+        v = F.try_divide(f"su_{k}", f"nu_{k}")
+        a, c = F.coalesce(F.lag(v).over(order), v), F.coalesce(F.lead(v).over(order), v)
+        months = months.withColumn(f"low_{k}", F.greatest(F.least(a, v), F.least(F.greatest(a, v), c)))
     months = months.select(
         "wk", "ym", *[reference(k).alias(f"ref_{k}") for k in levels],
         F.when(F.sum("wh").over(all_) > F.sum("bh").over(all_), "wh").when(F.sum("bh").over(all_) > 0, "bh").alias("well_kind"), F.greatest(*tenths)["u"].alias("tenth"),
