@@ -30,7 +30,7 @@ def _versions(s, d):
 
 
 def _perforations(s, d):
-    return intervals(s, d).where("id % 9 = 0").select("well", F.col("top").alias("p_top"), F.col("base").alias("p_base"))
+    return intervals(s, d).select("well", F.col("top").alias("p_top"), F.col("base").alias("p_base"))
 
 
 def _bottoms(s, d):
@@ -45,7 +45,7 @@ def _unified(s, d):
 
 
 def _texts(s, d):
-    return table(s, d, "wells").where("id <= 5").select(F.col("id").alias("q"), F.concat("canonical_name", F.lit("; gr，Quarrin Shale\nnothing")).alias("text"))
+    return table(s, d, "wells").select(F.col("id").alias("q"), F.concat("canonical_name", F.lit("; gr，Quarrin Shale\nnothing")).alias("text"))
 
 
 QUERIES = {
@@ -100,7 +100,11 @@ _VR = "vr AS (SELECT p_brand AS layer, CAST(p_size AS VARCHAR) AS version, count
 _OKV = lambda c: f"{c} IS NOT NULL AND isfinite({c}) AND abs({c}) < 1e29 AND " + " AND ".join(f"abs({c} - ({x})) > 1e-6" for x in scalars.SENTINELS)
 _PCT = ", ".join(f"round(quantile_cont(value, {q}), 4) AS {n}" for n, q in (("p05", .05), ("p25", .25), ("p50", .5), ("p75", .75), ("p95", .95)))
 
+_TYPED = "CASE " + " ".join(f"WHEN regexp_matches(upper(trim(mnemonic)), '{p}') THEN '{n}'" for n, p, _ in curves.CURVE_TYPES) + " " + " ".join(f"WHEN regexp_matches(lower(coalesce(description, '')), '{w}') THEN '{n}'" for n, _, w in curves.CURVE_TYPES) + " END"
+
 ORACLE = {
+    "hlp17_type_lookup": f"SELECT CASE WHEN upper(trim(mnemonic)) = 'GR' THEN 'confirmed' WHEN {_TYPED} IS NOT NULL THEN 'automatic' ELSE 'unclassified' END AS how, count(*) AS n FROM las_curves GROUP BY 1",
+    "hlp06_seeded_types": f"SELECT type FROM (VALUES {', '.join(f'({chr(39)}{t[0]}{chr(39)})' for t in curves.CURVE_TYPES)}) v(type) WHERE type NOT IN (SELECT {_TYPED} FROM las_curves WHERE {_TYPED} IS NOT NULL)",
     "sc19_time_depth_evidence": f"WITH {FILES} SELECT path, CASE WHEN regexp_matches(lower(path), 'stack|migrat|cube|volume') THEN '' ELSE 'checkshot' END AS e FROM ct",
     "sc21_model_items": f"WITH {FILES} SELECT path, CASE {_CASE} ELSE 'other' END AS item FROM ct",
     "sc22_semantics": f"WITH {FILES} SELECT path, CASE WHEN regexp_matches(lower(path), 'line|2d') THEN '2d' ELSE '3d' END AS dimension, CASE WHEN regexp_matches(lower(path), 'depth|psdm|\\btvd') THEN 'depth' ELSE 'time' END AS domain FROM ct",
@@ -108,7 +112,7 @@ ORACLE = {
     "sc17_core_depths": f"WITH {IV} SELECT id, round(top * 0.3048, 4) AS top, round(base * 0.3048, 4) AS base FROM iv",
     "sc29_affine": "SELECT p_partkey, CAST(p_partkey AS DOUBLE) AS inline, CAST(p_size AS DOUBLE) AS crossline FROM part",
     "sc30_overlap_area": "SELECT p_partkey, CAST(greatest(0, least(25.0, p_size + 10.0) - greatest(0.0, p_size)) * 20 AS DOUBLE) AS area FROM part",
-    "sc33_listed": "SELECT id AS q, canonical_name || '|gr|Quarrin Shale|nothing' AS parts FROM wells WHERE id <= 5",
+    "sc33_listed": "SELECT id AS q, canonical_name || '|gr|Quarrin Shale|nothing' AS parts FROM wells",
     "flt12_valid_samples": f"SELECT id FROM las_curves WHERE {_OKV('value_min')}",
     "flt08_windows": "WITH f AS (SELECT row_no, top_md * k AS t, base_md * k AS b FROM (SELECT *, CASE WHEN row_no % 2 = 0 THEN 0.3048 WHEN row_no % 3 = 0 THEN NULL ELSE 1.0 END AS k FROM interpretation_v1) WHERE isfinite(top_md) AND isfinite(base_md) AND k IS NOT NULL) SELECT row_no, round(least(t, b), 4) AS top_m, round(greatest(t, b), 4) AS base_m FROM f",
     "agg25_workbench": f"WITH {_PK}, r AS (SELECT *, {_LK} AS layer FROM pk) SELECT layer, count(DISTINCT r.well) AS wells, count(DISTINCT r.well) FILTER (w.id IS NOT NULL) AS hard_wells, count(DISTINCT file) AS files, min(md) AS top_md, max(md) AS base_md, count(DISTINCT name) AS spellings FROM r LEFT JOIN (SELECT DISTINCT canonical_name, 1 AS id FROM wells) w ON w.canonical_name = r.well GROUP BY layer",
@@ -118,11 +122,11 @@ ORACLE = {
     "agg36_duplicates": f"WITH {FILES} SELECT well_key, count(*) AS n FROM ct GROUP BY well_key HAVING count(*) > 1",
     "agg32_readiness": f"WITH {PM}, m AS (SELECT well_key, count(DISTINCT month) AS m FROM pm GROUP BY well_key) SELECT count(*) AS wells, count(*) FILTER (m >= 3) AS three, count(*) FILTER (m >= 12) AS year, count(*) FILTER (m >= 60) AS five_years FROM m",
     "agg38_statuses": f"WITH {PM} SELECT status, count(*) AS n FROM pm GROUP BY status",
-    "mdl09_horizon_detail": f"""WITH {_PK}, {IV}, b AS (SELECT well, max(base) AS bottom FROM iv GROUP BY well), s AS (SELECT ht.*, bottom, coalesce(lead(md) OVER (PARTITION BY ht.well ORDER BY md, layer), bottom) AS base FROM ht LEFT JOIN b USING (well)), p AS (SELECT well, top AS pt, iv.base AS pb FROM iv WHERE id % 9 = 0)
+    "mdl09_horizon_detail": f"""WITH {_PK}, {IV}, b AS (SELECT well, max(base) AS bottom FROM iv GROUP BY well), s AS (SELECT ht.*, bottom, coalesce(lead(md) OVER (PARTITION BY ht.well ORDER BY md, layer), bottom) AS base FROM ht LEFT JOIN b USING (well)), p AS (SELECT well, top AS pt, iv.base AS pb FROM iv)
  SELECT s.well, layer, round(md, 4) AS md, round(coalesce(sum(CASE WHEN pt IS NOT NULL AND s.base IS NOT NULL THEN greatest(0, least(s.base, pb) - greatest(md, pt)) END), 0), 4) AS perforated, round(any_value(bottom) - md, 4) AS drilled_below FROM s LEFT JOIN p ON p.well = s.well GROUP BY s.well, layer, md""",
     "mdl40_unified_wells": f"""WITH {PM}, e AS (SELECT {_KEY('well_name')} AS key, CASE WHEN NOT isnan(x) THEN x END AS x, CASE WHEN NOT isnan(y) THEN y END AS y, 'head' AS kind FROM well_head UNION ALL SELECT w.normalized_key, NULL, NULL, 'log' FROM las_curves c JOIN wells w ON w.id = c.well_id UNION ALL SELECT {_KEY('well')}, NULL, NULL, 'top' FROM interpretation_v1 UNION ALL SELECT well_key, NULL, NULL, 'production' FROM pm)
  SELECT key, min(x) AS x, min(y) AS y, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM e WHERE key <> '' GROUP BY key""",
-    "mdl41_roles": "SELECT id AS q, unnest([canonical_name, 'gr', 'Quarrin Shale', 'nothing']) AS part, unnest(['well', 'curve', 'layer', 'unknown']) AS role FROM wells WHERE id <= 5",
+    "mdl41_roles": "SELECT id AS q, unnest([canonical_name, 'gr', 'Quarrin Shale', 'nothing']) AS part, unnest(['well', 'curve', 'layer', 'unknown']) AS role FROM wells",
     "agg23_inventory": "SELECT upper(regexp_replace(regexp_replace(filename, '_\\d+', '', 'g'), '\\.[A-Za-z0-9]+$', '')) AS volume, count(*) AS copies, max(record_count) AS size FROM sources GROUP BY 1",
     "join06_deepest": f"WITH {IV} SELECT id, well FROM iv WHERE base = (SELECT max(base) FROM iv j WHERE j.well = iv.well)",
     "join23_pairs": "SELECT x.id AS a, y.id AS b FROM sources x JOIN sources y ON x.batch = y.batch AND x.id < y.id WHERE x.status <> 'ready' AND y.status <> 'ready'",

@@ -24,7 +24,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = os.path.join(tempfile.gettempdir(), "wellspring-checkpoints")
     spark.sparkContext.setCheckpointDir(named)
