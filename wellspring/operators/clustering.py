@@ -151,6 +151,13 @@ def parallel_axis(rows: DataFrame, name: str, higher_is_better: bool = True) ->
     return rows.crossJoin(p).withColumn("axis", x if higher_is_better else 1 - x).drop("lo", "hi")
 
 
+def class_links(rows: DataFrame) -> DataFrame:
+    """JOIN23: rows (id, key) with the class they share a key with (its least id) and
+    their number of links, instead of all pairs of a class."""
+    c = rows.groupBy("key").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("links"))
+    return rows.join(c, "key").select("id", "class_id", "links")
+
+
 def weighted_rates(rows: DataFrame) -> DataFrame:
     """AGG34: total volume, and volume over days as the rate, falling back to the
     mean of the wells' rates where no days are known."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -120,35 +121,44 @@ def transitive(aliases: DataFrame, depth: int = 8) -> DataFrame:
     return at
 
 
-def next_in_order(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """(a, b): every id with the next `size` ids in the order of all rows. The
-    rows are range-sorted, so no group of equal values fills a task; partitions
-    hand their first ids to the partition before."""
+def next_in_order(rows: DataFrame, order: list[str], size: int, within: str | None = None) -> DataFrame:
+    """(a, b): every id with the next `size` ids in the order of all rows, or those
+    of them with an equal value in the string column `within`, the first of the
+    order. The rows are range-sorted, so no group of equal values fills a task;
+    partitions hand their first rows to the partition before."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = cut(rows.select(*order, "id").repartitionByRange(n, *order, "id").sortWithinPartitions(*order, "id"))
+    group = F.col(within) if within else F.lit("")
+    by = cut(rows.select(*order, "id", group.alias("_g")).repartitionByRange(n, *order, "id").sortWithinPartitions(*order, "id").select("_g", "id"))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
+        ids, groups = [], []
         for b in batches:
-            ids += b["id"].tolist()[: size - len(ids)]
-        yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "ids": [ids]})
-
-    after: dict[int, list[int]] = {}
-    carry: list[int] = []
-    # the first ids of each partition, whatever the data
-    for r in sorted(by.mapInPandas(first, "pid int, ids array<long>").collect(), key=lambda r: -r["pid"]):
+            more = size - len(ids)
+            ids += b["id"].tolist()[:more]
+            groups += b["_g"].tolist()[:more]
+        yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "ids": [ids], "groups": [groups]})
+
+    after: dict[int, list] = {}
+    carry: list = []
+    # the first rows of each partition, whatever the data
+    for r in sorted(by.mapInPandas(first, "pid int, ids array<long>, groups array<string>").collect(), key=lambda r: -r["pid"]):
         after[r["pid"]] = carry
-        carry = (list(r["ids"]) + carry)[:size]
+        carry = (list(zip(r["ids"], r["groups"])) + carry)[:size]
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = np.zeros(0, np.int64)
-        for ids in (*(b["id"].to_numpy() for b in batches), np.array(after.get(TaskContext.get().partitionId(), []), np.int64)):
-            both = np.concatenate([kept, ids])
+        ids, groups = np.zeros(0, np.int64), np.zeros(0, object)
+        tail = after.get(TaskContext.get().partitionId(), [])
+        end = pd.DataFrame({"id": pd.Series([i for i, _ in tail], dtype="int64"), "_g": pd.Series([g for _, g in tail], dtype=object)})
+        for last, b in itertools.chain(((False, b) for b in batches), [(True, end)]):
+            kept, ids, groups = len(ids), np.concatenate([ids, b["id"].to_numpy()]), np.concatenate([groups, b["_g"].to_numpy()])
             for k in range(1, size + 1):
-                a, b = both[:-k], both[k:]
-                new = np.arange(len(b)) + k >= len(kept)  # pairs that end in this batch
-                yield pd.DataFrame({"a": a[new], "b": b[new]})
-            kept = both[-size:]
+                # pairs that end in this batch; of the neighbour's rows only those that begin here
+                start = max(kept - k, 0)
+                stop = min(len(ids) - k, kept) if last else len(ids) - k
+                if stop > start:
+                    same = groups[start:stop] == groups[start + k : stop + k]
+                    yield pd.DataFrame({"a": ids[start:stop][same], "b": ids[start + k : stop + k][same]})
+            ids, groups = ids[-size:], groups[-size:]
 
     own = by.mapInPandas(pair, "a long, b long")
     return own.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -160,9 +170,7 @@ def blocks(names: DataFrame) -> DataFrame:
     in the order of all names each with its next three."""
     d = F.regexp_replace("name", "[^0-9]", "")
     rows = names.where("name is not null").withColumn("block", F.when(d != "", d).otherwise(F.substring(F.upper("name"), 1, 4)))
-    block = lambda s: rows.select(F.col("id").alias(s), F.col("block").alias(f"block_{s}"))
-    inside = next_in_order(rows, ["block", "name"], 6).join(block("a"), "a").join(block("b"), "b").where("block_a = block_b").select("a", "b")
-    return inside.unionByName(next_in_order(rows, ["name"], 3)).distinct()
+    return next_in_order(rows, ["block", "name"], 6, within="block").unionByName(next_in_order(rows, ["name"], 3)).distinct()
 
 
 def identity_similarity(a: str, b: str) -> float:
@@ -214,20 +222,16 @@ def identity_suggestions(wells: DataFrame, threshold: float = 0.72, top: int = 1
     return both.select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "a", "b").limit(top)
 
 
-def multi_key_pairs(wells: DataFrame, most: int = 100) -> DataFrame:
+def multi_key_pairs(wells: DataFrame, reach: int = 20) -> DataFrame:
     """JOIN21: pairs sharing a digit string, a consonant skeleton or a rounded
-    place. Of a block of more than `most` members every one is paired with its
-    next 20 in name order instead of with all."""
+    place: each with its next `reach` by name in every block, so that a block of
+    any size stays linear and none is left out."""
     digits = F.regexp_replace("name", "[^0-9]", "")
     bare = F.regexp_replace(F.upper("name"), "[^B-DF-HJ-NP-TV-Z]", "")
     place = F.when(F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y"), F.concat(F.lit("p"), F.round("x").cast("long"), F.lit("|"), F.round("y").cast("long")))
     keys = F.array_compact(F.array(F.when(digits != "", F.concat(F.lit("d"), digits)), F.when(bare != "", F.concat(F.lit("c"), bare)), place))
-    rows = wells.select("id", "name", F.explode(keys).alias("key"))
-    w = W.partitionBy("key").orderBy("name", "id")
-    sized = rows.withColumns({"n": F.count("*").over(W.partitionBy("key")), "rn": F.row_number().over(w)})
-    reach = F.when(F.col("n") <= most, F.lit(most)).otherwise(20)
-    left = sized.where("rn < n").select("key", F.col("id").alias("a"), F.explode(F.sequence(F.col("rn") + 1, F.least(F.col("rn") + reach, F.col("n")))).alias("rn"))
-    return left.join(sized.select("key", "rn", F.col("id").alias("b")), ["key", "rn"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = wells.select("id", F.coalesce("name", F.lit("")).alias("name"), F.explode(keys).alias("key"))
+    return next_in_order(rows, ["key", "name"], reach, within="key")
 
 
 def nearest_same_formation(wells: DataFrame, cell: float, rounds: int = 6) -> DataFrame:

@@ -73,7 +73,7 @@ QUERIES = {
     "hlp15_best_wells": lambda s, d: search.best_wells(table(s, d, "well_sources").where("well_id is null").select(F.col("id").alias("q"), F.col("raw_name").alias("text")), table(s, d, "wells").select("id", F.col("canonical_name").alias("name"))),
     "agg23_inventory": lambda s, d: search.seismic_inventory(table(s, d, "sources").select(F.regexp_replace("filename", r"_\d+", "").alias("name"), F.col("record_count").alias("size"))),
     "join06_deepest": lambda s, d: intervals(s, d).join(_bottoms(s, d).withColumnRenamed("md", "deepest"), "well").where("base = deepest").select("id", "well"),
-    "join23_pairs": lambda s, d: (lambda a: a.select(F.col("id").alias("a"), "batch").join(a.select(F.col("id").alias("b"), "batch"), "batch").where("a < b").select("a", "b"))(table(s, d, "sources").where("batch is not null and status <> 'ready'").select("id", "batch")),
+    "join23_classes": lambda s, d: clustering.class_links(table(s, d, "sources").where("batch is not null").select("id", F.col("batch").alias("key"))),
     "join25_paths": lambda s, d: las(s, d).select("id", "source_id").join(table(s, d, "sources").select(F.col("id").alias("source_id"), "file_path", "filename"), "source_id", "left").select("id", F.coalesce("file_path", "filename").alias("path")),
     "join02_fan_out": lambda s, d: table(s, d, "wells").select(F.col("id").alias("well_id")).join(las(s, d).groupBy("well_id").agg(F.countDistinct("mnemonic").alias("mnemonics")), "well_id", "left").join(table(s, d, "well_sources").groupBy("well_id").agg(F.countDistinct("source_id").alias("sources")), "well_id", "left"),
     "join03_left_filtered": lambda s, d: table(s, d, "wells").select(F.col("id").alias("well_id")).join(las(s, d).where(~scalars.is_time_depth(F.col("mnemonic"))).groupBy("well_id").agg(F.count("*").alias("n")), "well_id", "left"),
@@ -129,7 +129,7 @@ ORACLE = {
     "mdl41_roles": "SELECT id AS q, unnest([canonical_name, 'gr', 'Quarrin Shale', 'nothing']) AS part, unnest(['well', 'curve', 'layer', 'unknown']) AS role FROM wells",
     "agg23_inventory": "SELECT upper(regexp_replace(regexp_replace(filename, '_\\d+', '', 'g'), '\\.[A-Za-z0-9]+$', '')) AS volume, count(*) AS copies, max(record_count) AS size FROM sources GROUP BY 1",
     "join06_deepest": f"WITH {IV} SELECT id, well FROM iv WHERE base = (SELECT max(base) FROM iv j WHERE j.well = iv.well)",
-    "join23_pairs": "SELECT x.id AS a, y.id AS b FROM sources x JOIN sources y ON x.batch = y.batch AND x.id < y.id WHERE x.status <> 'ready' AND y.status <> 'ready'",
+    "join23_classes": "SELECT id, min(id) OVER (PARTITION BY batch) AS class_id, count(*) OVER (PARTITION BY batch) - 1 AS links FROM sources WHERE batch IS NOT NULL",
     "join25_paths": "SELECT c.id, coalesce(file_path, filename) AS path FROM las_curves c LEFT JOIN sources s ON s.id = c.source_id",
     "join02_fan_out": "SELECT w.id AS well_id, (SELECT nullif(count(DISTINCT mnemonic), 0) FROM las_curves c WHERE c.well_id = w.id) AS mnemonics, (SELECT nullif(count(DISTINCT source_id), 0) FROM well_sources m WHERE m.well_id = w.id) AS sources FROM wells w",
     "join03_left_filtered": "SELECT w.id AS well_id, (SELECT nullif(count(*), 0) FROM las_curves c WHERE c.well_id = w.id AND NOT regexp_matches(regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g'), '^(TWT|OWT|TIME|TVT|TDR)')) AS n FROM wells w",
