@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +92,11 @@ def _undamaged(m: re.Match) -> str:
 
 def folded(text: str) -> str:
     """NFKC, lower case, without accents; digits read as letters inside words."""
-    text = re.sub(r"[\u00c2-\u00c5][\u0080-\u00ff\u0152-\u2122]", _undamaged, text)
-    t = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower())
-    t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").replace("ı", "i")
+    if not text.isascii():
+        text = re.sub(r"[\u00c2-\u00c5][\u0080-\u00ff\u0152-\u2122]", _undamaged, text)
+        t = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower())
+        text = regex.sub(r"[\p{M}\p{Cf}]+", "", t).replace("ı", "i")
+    t = text.lower()
     return re.sub(r"(?<=[a-z])[01](?=[a-z])|(?<=[a-z]{2})[01]\b|\b[01](?=[a-z]{2})", lambda m: "ol"[int(m[0])], t)
 
 
