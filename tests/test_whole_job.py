@@ -1,0 +1,22 @@
+"""Operators do the whole of their job: nothing is left out of large groups."""
+
+import itertools
+
+from wellspring.operators import search, wells
+
+
+def test_all_pairs_of_a_block(spark):
+    # one digit string, skeletons of their own: more members than any window
+    names = [(i, f"{a}{b}-7", None, None) for i, (a, b) in enumerate(itertools.product("BCDFGHJK", repeat=2))]
+    df = spark.createDataFrame(names, "id long, name string, x double, y double")
+    every = set(itertools.combinations(range(len(names)), 2))
+    assert {tuple(r) for r in wells.multi_key_pairs(df).collect()} == every
+    # equal digits give at least 0.78, over the threshold
+    assert {(r["a"], r["b"]) for r in search.project_identity(df, top=10_000).collect()} == every
+
+
+def test_parts_of_a_hot_key(spark):
+    rows = [(i, "hot") for i in range(40)] + [(i, f"c{i // 2}") for i in range(100, 120)]
+    df = spark.createDataFrame(rows, "id long, key string")
+    got = [tuple(r) for r in wells.pairs_sharing(df, part=6).collect()]
+    assert sorted(got) == sorted([*itertools.combinations(range(40), 2), *((i, i + 1) for i in range(100, 120, 2))])

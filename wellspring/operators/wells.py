@@ -164,6 +164,21 @@ def next_in_order(rows: DataFrame, order: list[str], size: int, within: str | No
     return own.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def pairs_sharing(rows: DataFrame, part: int = 500) -> DataFrame:
+    """(a, b): every two ids of rows (id, key) with a key in common. A block of more
+    than `part` rows is cut into parts by the hash of the id and every two parts
+    meet by themselves, so no task holds the pairs of a hot key."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / part).alias("parts"))
+    cut_ = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    met = cut_.select("key", "id", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = met.select("key", "id", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    # a given number of partitions: by their small input they would be merged to one
+    side = lambda s, c: met.where(F.col("part") == F.col(c)).select("key", "p", "q", F.col("id").alias(s)).repartition(n, "key", "p", "q")
+    both = side("a", "p").join(side("b", "q"), ["key", "p", "q"]).where("p < q or a < b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def blocks(names: DataFrame) -> DataFrame:
     """JOIN20: pairs of near names (id, name): in blocks of equal digits, or of
     equal first letters where there are none, each with its next six by name;
@@ -222,16 +237,14 @@ def identity_suggestions(wells: DataFrame, threshold: float = 0.72, top: int = 1
     return both.select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "a", "b").limit(top)
 
 
-def multi_key_pairs(wells: DataFrame, reach: int = 20) -> DataFrame:
-    """JOIN21: pairs sharing a digit string, a consonant skeleton or a rounded
-    place: each with its next `reach` by name in every block, so that a block of
-    any size stays linear and none is left out."""
+def multi_key_pairs(wells: DataFrame) -> DataFrame:
+    """JOIN21: all pairs sharing a digit string, a consonant skeleton or a rounded
+    place, whatever the size of their block."""
     digits = F.regexp_replace("name", "[^0-9]", "")
     bare = F.regexp_replace(F.upper("name"), "[^B-DF-HJ-NP-TV-Z]", "")
     place = F.when(F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y"), F.concat(F.lit("p"), F.round("x").cast("long"), F.lit("|"), F.round("y").cast("long")))
     keys = F.array_compact(F.array(F.when(digits != "", F.concat(F.lit("d"), digits)), F.when(bare != "", F.concat(F.lit("c"), bare)), place))
-    rows = wells.select("id", F.coalesce("name", F.lit("")).alias("name"), F.explode(keys).alias("key"))
-    return next_in_order(rows, ["key", "name"], reach, within="key")
+    return pairs_sharing(wells.select("id", F.explode(keys).alias("key")))
 
 
 def nearest_same_formation(wells: DataFrame, cell: float, rounds: int = 6) -> DataFrame:
