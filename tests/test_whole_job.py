@@ -15,6 +15,15 @@ def test_all_pairs_of_a_block(spark):
     assert {(r["a"], r["b"]) for r in search.project_identity(df, top=10_000).collect()} == every
 
 
+def test_all_near_names_of_a_block(spark):
+    names = [(i, f"{a}-7", None, None, None) for i, a in enumerate("ABCDEFGHIJKLMNOPQRST")]
+    df = spark.createDataFrame(names, "id long, name string, uwi string, x double, y double")
+    every = set(itertools.combinations(range(len(names)), 2))
+    assert {tuple(r) for r in wells.blocks(df.select("id", "name")).collect()} == every
+    # equal digits give at least 0.78, over the threshold
+    assert {(r["a"], r["b"]) for r in wells.identity_suggestions(df, top=10_000).collect()} == every
+
+
 def test_parts_of_a_hot_key(spark):
     rows = [(i, "hot") for i in range(40)] + [(i, f"c{i // 2}") for i in range(100, 120)]
     df = spark.createDataFrame(rows, "id long, key string")

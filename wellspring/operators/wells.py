@@ -180,12 +180,12 @@ def pairs_sharing(rows: DataFrame, part: int = 500) -> DataFrame:
 
 
 def blocks(names: DataFrame) -> DataFrame:
-    """JOIN20: pairs of near names (id, name): in blocks of equal digits, or of
-    equal first letters where there are none, each with its next six by name;
-    in the order of all names each with its next three."""
+    """JOIN20: pairs of near names (id, name): all in blocks of equal digits, or of
+    equal first letters where there are none; besides, in the order of all names
+    each with its next three."""
     d = F.regexp_replace("name", "[^0-9]", "")
     rows = names.where("name is not null").withColumn("block", F.when(d != "", d).otherwise(F.substring(F.upper("name"), 1, 4)))
-    return next_in_order(rows, ["block", "name"], 6, within="block").unionByName(next_in_order(rows, ["name"], 3)).distinct()
+    return pairs_sharing(rows.select("id", F.col("block").alias("key"))).unionByName(next_in_order(rows, ["name"], 3)).distinct()
 
 
 def identity_similarity(a: str, b: str) -> float:
