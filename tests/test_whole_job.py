@@ -2,6 +2,7 @@
 
 import itertools
 
+import __spark_entry__ as entry
 from wellspring.operators import search, wells
 
 
@@ -29,3 +30,23 @@ def test_parts_of_a_hot_key(spark):
     df = spark.createDataFrame(rows, "id long, key string")
     got = [tuple(r) for r in wells.pairs_sharing(df, part=6).collect()]
     assert sorted(got) == sorted([*itertools.combinations(range(40), 2), *((i, i + 1) for i in range(100, 120, 2))])
+
+
+def _tables(spark, tmp_path, keys):
+    spark.range(keys).selectExpr("id AS p_partkey", "2000.0D + id % 40 AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_every_row_of_a_larger_grid(spark, tmp_path):
+    d = _tables(spark, tmp_path, 4000)  # 100 rows
+    spark.range(2000).withColumnRenamed("id", "event_id").write.parquet(f"{d}/events.parquet")
+    got = entry.queries()["join18_sampled"](spark, d).collect()
+    y = {r["id"]: r["id"] * 29 % 1030 for r in got}
+    assert {round(y[r["id"]] / 10) for r in got if r["status"] == "ok"} == set(range(100))
+    assert all((r["status"] == "outside") == (round(y[r["id"]] / 10) > 99 or round(r["id"] * 13 % 420 / 10) > 39) for r in got)
+    # by the trapezoid rule, less the nodes without a value
+    row = entry.queries()["mdl28_volumes"](spark, d).first()
+    holes = sum((0.5 if k // 40 in (0, 99) else 1) * (0.5 if k % 40 in (0, 39) else 1) for k in range(0, 4000, 37))
+    assert row["area"] == 100 * (99 * 39 - holes)
+    blocks = {(r["block_row"], r["block_col"]) for r in entry.queries()["mdl30_missing_map"](spark, d).collect()}
+    assert blocks == set(itertools.product(range(16), repeat=2))

@@ -9,7 +9,7 @@ from wellspring.plans.relations import NODES, ST, heads, nodes, rounded, roundin
 from wellspring.tables import table
 
 GRID = (0.0, 0.0, 10.0, 10.0)  # origin and spacing of the node grid
-ROWS, COLS = 50, 40
+ROWS, COLS = 50, 40  # at least so many rows
 
 
 def _path(s, d):
@@ -32,8 +32,36 @@ def _diff(s, d):
     return _path(s, d).select("well", "md", (F.col("tvd") - 150).alias("diff"))
 
 
-def _points(s, d):
-    return table(s, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 13 % 420).cast("double").alias("x"), (F.col("event_id") * 29 % 530).cast("double").alias("y"))
+def _rows(n):
+    """Rows of the grid of these nodes, or of the least grid if it has more."""
+    return max(ROWS, (n.agg(F.max("row")).first()[0] or 0) + 1)
+
+
+def _points(s, d, rows=ROWS):
+    return table(s, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 13 % 420).cast("double").alias("x"), (F.col("event_id") * 29 % (rows * 10 + 30)).cast("double").alias("y"))
+
+
+def _sampled(s, d):
+    n = nodes(s, d)
+    rows = _rows(n)
+    return surfaces.sampled(_points(s, d, rows), n, *GRID, rows, COLS)
+
+
+def _volumes(s, d):
+    n = nodes(s, d)
+    return surfaces.volumes(n, _rows(n), COLS, 10.0, 10.0, {"net": 0.8, "porosity": 20, "saturation": 0.7, "volume_factor": 1.2, "recovery": 30, "gas_oil_ratio": 90})
+
+
+def _missing_map(s, d):
+    n = nodes(s, d)
+    return surfaces.missing_map(n, _rows(n), COLS)
+
+
+def _hits(s, d):
+    n = nodes(s, d)
+    rows = _rows(n)
+    path = _xyz(s, d).select("well", "md", (F.col("x") % 390).alias("x"), (F.col("y") % (rows * 10 - 10)).alias("y"), (-F.col("z") / 10).alias("tvdss"))
+    return surfaces.surface_hits(path, n, (*GRID, rows, COLS))
 
 
 def _rings(s, d):
@@ -95,15 +123,15 @@ QUERIES = {
     "srt08_best_path": lambda s, d: trajectory.best_path(stations(s, d).select("well", (F.col("id") % 3).alias("path_id"), "md")),
     "geo02_polygon_areas": lambda s, d: rounded(surfaces.polygon_areas(_rings(s, d))),
     "flt02_points_in_polygons": lambda s, d: surfaces.points_in_polygons(_points(s, d), _rings(s, d), 64.0),
-    "join18_sampled": lambda s, d: rounded(surfaces.sampled(_points(s, d), nodes(s, d), *GRID, ROWS, COLS), 4),
+    "join18_sampled": lambda s, d: rounded(_sampled(s, d), 4),
     "mdl27_resampled": lambda s, d: rounded(surfaces.resampled(nodes(s, d), (*GRID, ROWS, COLS), (5.0, 5.0, 7.0, 7.0, 40, 40)), 4),
-    "mdl28_volumes": lambda s, d: rounded(surfaces.volumes(nodes(s, d), ROWS, COLS, 10.0, 10.0, {"net": 0.8, "porosity": 20, "saturation": 0.7, "volume_factor": 1.2, "recovery": 30, "gas_oil_ratio": 90}), 2),
+    "mdl28_volumes": lambda s, d: rounded(_volumes(s, d), 2),
     "mdl29_preview": lambda s, d: rounded(surfaces.preview(nodes(s, d), ROWS, COLS, 20), 4),
     "mdl30_quality": lambda s, d: rounded(surfaces.quality(nodes(s, d)), 4),
-    "mdl30_missing_map": lambda s, d: rounded(surfaces.missing_map(nodes(s, d), ROWS, COLS), 4),
+    "mdl30_missing_map": lambda s, d: rounded(_missing_map(s, d), 4),
     "mdl32_correlations": lambda s, d: surfaces.correlations(_several(s, d), ["a", "b", "c"]),
     "join17_nearest_nodes": lambda s, d: rounded(surfaces.nearest_nodes(_points(s, d), nodes(s, d).where("value is not null").select((F.col("col") * 10.0).alias("x"), (F.col("row") * 10.0 + F.col("col") * 0.013).alias("y"), F.col("value").alias("z")), 10.0, 25.0).select("id", "distance"), 4),
-    "mdl07_surface_hits": lambda s, d: rounded(surfaces.surface_hits(_xyz(s, d).select("well", "md", (F.col("x") % 390).alias("x"), (F.col("y") % 490).alias("y"), (-F.col("z") / 10).alias("tvdss")), nodes(s, d), (*GRID, ROWS, COLS)), 3),
+    "mdl07_surface_hits": lambda s, d: rounded(_hits(s, d), 3),
     "mdl10_plane_fit": lambda s, d: rounded(surfaces.plane_fit(nodes(s, d).select(F.col("row").alias("inline"), F.col("col").alias("crossline"), (F.col("row") * 12.5 + F.col("col") * 3 + 1000 + F.col("value") / 100).alias("x"), (F.col("col") * 25.0 - F.col("row") * 2 + 5).alias("y")).where("x is not null")), 5),
     "mdl18_standardised": lambda s, d: rounded(_scaled(s, d).select("id", *[F.col("v")[i].alias(f"z{i}") for i in range(4)]), 5),
     "mdl19_kmeans": _kmeans,
