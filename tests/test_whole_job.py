@@ -2,8 +2,10 @@
 
 import itertools
 
+import numpy as np
+
 import __spark_entry__ as entry
-from wellspring.operators import search, wells
+from wellspring.operators import clustering, search, wells
 
 
 def test_all_pairs_of_a_block(spark):
@@ -50,3 +52,17 @@ def test_every_row_of_a_larger_grid(spark, tmp_path):
     assert row["area"] == 100 * (99 * 39 - holes)
     blocks = {(r["block_row"], r["block_col"]) for r in entry.queries()["mdl30_missing_map"](spark, d).collect()}
     assert blocks == set(itertools.product(range(16), repeat=2))
+
+
+def test_silhouette_of_all_rows(spark):
+    n = 2500
+    v = np.random.default_rng(1).normal(size=(n, 2))
+    c = np.arange(n) % 3
+    v[:, 0] += c
+    got = clustering.silhouette(spark.createDataFrame([(i, v[i].tolist(), int(c[i])) for i in range(n)], "id long, v array<double>, cluster int"), "id").first()
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    mean = np.array([d[:, c == k].sum(axis=1) / ((c == k).sum() - (c == k)) for k in range(3)]).T
+    own, other = mean[np.arange(n), c], np.where(np.arange(3) == c[:, None], np.inf, mean).min(axis=1)
+    assert got["n"] == n and abs(got["silhouette"] - ((other - own) / np.maximum(own, other)).mean()) <= 1e-4
+    lone = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 1), (3, [1.5], 1)], "id long, v array<double>, cluster int")
+    assert [tuple(r) for r in clustering.silhouette(lone, "id").collect()] == [(0.3889, 3)]

@@ -93,16 +93,30 @@ def som(rows: DataFrame, key: str, k: int, epochs: int = 20, ring: bool = False)
     return nearest(kept, centres.tolist()).select(key, "cluster")
 
 
-def silhouette(rows: DataFrame, key: str, most: int = 2000) -> DataFrame:
-    """MDL21: mean silhouette over evenly spaced rows (key, v, cluster), at most
-    `most` of them, against each other; a lone row has 0. The sample is the
-    definition, and bounds the pairs."""
-    n = rows.count()
-    step = max(1, -(-n // most))
-    s = rows.withColumn("h", F.pmod(F.xxhash64(key), F.lit(step))).where("h = 0").select(key, "v", "cluster").limit(most) if step > 1 else rows.select(key, "v", "cluster")
-    a, b = s.select(F.col(key).alias("a"), F.col("v").alias("va"), F.col("cluster").alias("ca")), s.select(F.col(key).alias("b"), F.col("v").alias("vb"), F.col("cluster").alias("cb"))
-    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
-    mean = a.join(F.broadcast(b), F.col("a") != F.col("b")).groupBy("a", "ca", "cb").agg(F.avg(d).alias("d"))  # b: at most `most` rows
+def silhouette(rows: DataFrame, key: str, part: int = 1000) -> DataFrame:
+    """MDL21: mean silhouette over all rows (key, v, cluster), each against all
+    others; a lone row has 0. Parts of about `part` rows, by the hash of the key,
+    meet part by part, and give one sum a row and cluster."""
+    kept = rows.select(key, "v", "cluster")
+    parts = -(-kept.count() // part) or 1
+    split = kept.withColumn("p", F.pmod(F.xxhash64(key), F.lit(parts)))
+    met = lambda s, o: split.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o")).select(F.col("p").alias(s), F.col("o").alias(o), key, "v", "cluster")
+    shape = f"a {kept.schema[key].dataType.simpleString()}, ca int, cb int, s double, n long"
+
+    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        va, ka = np.array(x["v"].tolist(), dtype=float), x[key].to_numpy()
+        for cluster, other in y.groupby("cluster"):
+            total, vb = np.zeros(len(x)), np.array(other["v"].tolist(), dtype=float)
+            for v in vb:
+                total += np.sqrt(((va - v) ** 2).sum(axis=1))
+            # a row is none of its own neighbours; its distance to itself is 0
+            n = len(other) - np.isin(ka, other[key].to_numpy())
+            out.append(pd.DataFrame({"a": ka, "ca": x["cluster"], "cb": cluster, "s": total, "n": n}))
+        return pd.concat(out) if len(x) and out else pd.DataFrame({"a": x[key][:0], "ca": [], "cb": [], "s": [], "n": []})
+
+    cells = met("p", "q").groupBy("p", "q").cogroup(met("q", "p").groupBy("p", "q")).applyInPandas(sums, shape)
+    mean = cells.groupBy("a", "ca", "cb").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
     per = mean.groupBy("a", "ca").agg(F.min(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("other"))
     value = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.nullif(F.greatest("own", "other"), F.lit(0.0)))
     return per.agg(F.round(F.avg(value), 4).alias("silhouette"), F.count("*").alias("n"))
