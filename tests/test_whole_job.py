@@ -66,3 +66,13 @@ def test_silhouette_of_all_rows(spark):
     assert got["n"] == n and abs(got["silhouette"] - ((other - own) / np.maximum(own, other)).mean()) <= 1e-4
     lone = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 1), (3, [1.5], 1)], "id long, v array<double>, cluster int")
     assert [tuple(r) for r in clustering.silhouette(lone, "id").collect()] == [(0.3889, 3)]
+
+
+def test_clusters_by_all_components(spark, tmp_path):
+    # groups that only the last of six components tells apart
+    rows = [(i, [0.0, 0.0, 0.0, 0.0, 0.0, float(i % 4)], 0) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["mdl19_kmeans"](spark, str(tmp_path)).collect()
+    assert len({(r["id"] % 4, r["cluster"]) for r in got}) == len({r["cluster"] for r in got}) == 4
+    got = entry.queries()["mdl20_som"](spark, str(tmp_path)).collect()
+    assert len({r["cluster"] for r in got}) > 1

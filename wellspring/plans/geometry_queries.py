@@ -85,13 +85,17 @@ def _vectors(s, d, k=4):
     return e.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(k)], F.col("label").cast("int").alias("cluster"))
 
 
-def _scaled(s, d):
-    return clustering.standardised(_vectors(s, d).drop("cluster"), "id", [f"f{i}" for i in range(4)])
+def _scaled(s, d, k=4):
+    return clustering.standardised(_vectors(s, d, k).drop("cluster"), "id", [f"f{i}" for i in range(k)])
+
+
+def _components(s, d):
+    return table(s, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
 
 
 def _kmeans(s, d):
-    rows, centres, _ = clustering.kmeans(_scaled(s, d), "id", 4)
-    return clustering.ranked(rows.drop("v"), centres, [1, 1, 1, 1])
+    rows, centres, _ = clustering.kmeans(_scaled(s, d, _components(s, d)), "id", 4, 500)
+    return clustering.ranked(rows.drop("v"), centres, [1] * len(centres[0]))
 
 
 def _silhouette(s, d):
@@ -135,7 +139,7 @@ QUERIES = {
     "mdl10_plane_fit": lambda s, d: rounded(surfaces.plane_fit(nodes(s, d).select(F.col("row").alias("inline"), F.col("col").alias("crossline"), (F.col("row") * 12.5 + F.col("col") * 3 + 1000 + F.col("value") / 100).alias("x"), (F.col("col") * 25.0 - F.col("row") * 2 + 5).alias("y")).where("x is not null")), 5),
     "mdl18_standardised": lambda s, d: rounded(_scaled(s, d).select("id", *[F.col("v")[i].alias(f"z{i}") for i in range(4)]), 5),
     "mdl19_kmeans": _kmeans,
-    "mdl20_som": lambda s, d: clustering.som(_scaled(s, d), "id", 4, 5),
+    "mdl20_som": lambda s, d: clustering.som(_scaled(s, d, _components(s, d)), "id", 4, 5),
     "mdl21_silhouette": lambda s, d: _silhouette(s, d),
     "mdl23_profiles": lambda s, d: rounded(clustering.profiles(_vectors(s, d).drop("id"), [f"f{i}" for i in range(4)]), 5),
     "agg35_group_statistics": lambda s, d: rounded(clustering.group_statistics(_members(s, d), "value"), 4),
