@@ -76,3 +76,9 @@ def test_clusters_by_all_components(spark, tmp_path):
     assert len({(r["id"] % 4, r["cluster"]) for r in got}) == len({r["cluster"] for r in got}) == 4
     got = entry.queries()["mdl20_som"](spark, str(tmp_path)).collect()
     assert len({r["cluster"] for r in got}) > 1
+
+
+def test_order_of_all_aliases(spark, tmp_path):
+    spark.createDataFrame([(i, f"{'aB'[i % 2]}{i:02d}") for i in range(40)], "alias_id long, alias_name string").write.parquet(f"{tmp_path}/horizon_name_aliases.parquet")
+    got = [r["alias_id"] for r in entry.queries()["srt01_order"](spark, str(tmp_path)).collect()]
+    assert got == [*range(0, 40, 2), *range(1, 40, 2)]

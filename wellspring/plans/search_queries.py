@@ -80,7 +80,7 @@ QUERIES = {
     "set03_paths": lambda s, d: files(s, d).select("path").unionAll(table(s, d, "sources").where("file_path is not null").select("file_path")).dropDuplicates(["path"]),
     "set06_groups": lambda s, d: pm(s, d).where("oil_rate > 100").select("well_key").union(pm(s, d).where("water_rate > 100").select("well_key")).distinct(),
     "set08_subset": lambda s, d: las(s, d).where("well_id is not null").groupBy("well_id").agg(F.collect_set(F.upper("mnemonic")).alias("m")).where(F.size(F.array_except(F.array(F.lit("GR"), F.lit("RT")), "m")) == 0).select("well_id"),
-    "srt01_order": lambda s, d: table(s, d, "horizon_name_aliases").orderBy(F.lower("alias_name"), "alias_name", "alias_id").limit(30).select("alias_id"),
+    "srt01_order": lambda s, d: table(s, d, "horizon_name_aliases").orderBy(F.lower("alias_name"), "alias_name", "alias_id").select("alias_id"),
     "srt04_top_series": lambda s, d: las(s, d).groupBy(F.upper("mnemonic").alias("mnemonic")).agg(F.sum("sample_count").alias("n")).orderBy(F.desc("n"), "mnemonic").limit(24),
     "srt05_argmax": lambda s, d: las(s, d).where("well_id is not null").groupBy("well_id").agg(F.max_by("mnemonic", F.struct("sample_count", "mnemonic", "id")).alias("mnemonic")),
     "hlp11_export_scope": lambda s, d: table(s, d, "well_sources").where("well_id is not null").groupBy("well_id").agg(F.countDistinct("source_id").alias("n")).agg(F.count_if(F.col("n") > 1).alias("multi"), F.count("*").alias("wells")),
