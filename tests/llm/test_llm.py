@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,6 +125,45 @@ def test_matches(spark, copies):
     assert [out[1000 + i] for i in range(copies)] == [20] * copies
 
 
+def test_number_slip_needs_identifier_and_place(spark):
+    rows = [(1, "ABC-017", "37-00001-0010-00", 407000.0, 4001500.0, None), (2, "ABC-999", "37-00001-0010-00", None, None, None), (3, "ABC-997", None, 407000.0, 4001500.0, None), (4, "BCA-021", None, None, None, None), (5, "ABD-022", None, None, None, None)]
+    out = {r["mention_id"]: (r["entity_id"], r["confidence"]) for r in matching.match(spark.createDataFrame(rows, RECORD), _wells(spark), spark.createDataFrame([], "name string, entity_id long")).collect()}
+    assert {k: v[0] for k, v in out.items()} == {1: 10, 4: 21} and all(0.5 <= v[1] <= 1 for v in out.values())
+
+
+def test_one_description_of_a_source_has_an_entity(spark):
+    rows = [("a", 1, "ABC-017", "37-00001-0010-00", 407000.0, 4001500.0), ("a", 2, "ABC-010", None, None, None), ("a", 3, "ABC_010", None, None, None), ("b", 4, "ABC 10", None, None, None), (None, 5, "ABC 10", None, None, None)]
+    df = spark.createDataFrame(rows, "scope string, id long, name string, uwi string, x double, y double")
+    out = {r["mention_id"]: r["entity_id"] for r in matching.match(df, _wells(spark), spark.createDataFrame([], "name string, entity_id long")).collect()}
+    assert out == {1: 10, 4: 10, 5: 10}
+
+
+def _greatest_total(matrix):
+    n, m = len(matrix), len(matrix[0])
+    plans = (p for p in itertools.product(range(-1, m), repeat=n) if len({x for x in p if x >= 0}) == sum(x >= 0 for x in p))
+    return max(sum(matrix[i][x] for i, x in enumerate(p) if x >= 0) for p in plans if all(x < 0 or matrix[i][x] is not None for i, x in enumerate(p)))
+
+
+def test_assignment_against_brute_force(spark):
+    rnd = random.Random(3)
+    rows, want = [], 0.0
+    for scope in range(12):
+        n, m = rnd.randrange(1, 5), rnd.randrange(1, 5)
+        matrix = [[rnd.randrange(50, 101) / 100 if rnd.random() < 0.6 else None for _ in range(m)] for _ in range(n)]
+        got = matching.best_assignment(np.array([[float("nan") if c is None else c for c in r] for r in matrix]))
+        assert len({c for c in got if c >= 0}) == sum(c >= 0 for c in got)
+        total = _greatest_total(matrix)
+        assert sum(matrix[i][c] for i, c in enumerate(got) if c >= 0) == pytest.approx(total)
+        want += total
+        rows += [(scope * 100 + i, str(scope), 7 + j, matrix[i][j]) for i in range(n) for j in range(m) if matrix[i][j] is not None]
+    pairs = spark.createDataFrame(rows, "part long, scope string, entity_id long, confidence double")
+    worth = {(r[0], r[2]): r[3] for r in rows}
+    for dense, slack in ((matching.DENSE, 1e-9), (0, matching.STEP * len({r[0] for r in rows}))):
+        out = matching.assign(pairs, dense).collect()
+        assert len({r["part"] for r in out}) == len(out) == len({(r["part"] // 100, r["entity_id"]) for r in out})
+        assert want - slack <= sum(worth[r["part"], r["entity_id"]] for r in out) <= want + 1e-9
+
+
 def test_matches_of_empty_tables(spark):
     none = spark.createDataFrame([], RECORD)
     known = spark.createDataFrame([], "name string, entity_id long")
