@@ -75,8 +75,11 @@ def test_sections_and_searches(spark):
     got = search.preview_section(tr, 3, 5).collect()
     assert {r["inline"] for r in got} == {2} and len(got) == 5
     q = spark.createDataFrame([(1, "AB-012")], "q long, text string")
-    w = spark.createDataFrame([(1, "AB 12"), (2, "XY 12"), (3, "AB 13")], "id long, name string")
-    assert search.best_wells(q, w).orderBy("place").first()["id"] == 1
+    w = spark.createDataFrame([(1, "AB 12", "AB12", 1), (2, "XY 12", "XY12", 9), (3, "AB 012", "AB012", 1), (4, "AB-012", "AB012", 2)], "id long, name string, key string, sources int")
+    got = search.best_wells(q, w).orderBy("place").collect()
+    assert [r["id"] for r in got] == [4, 3, 1, 2] and got[0]["score"] == got[1]["score"] == 1.0
+    s = search.number_suggestions(q.union(spark.createDataFrame([(2, "AB-012"), (3, "nothing"), (4, None)], q.schema)), w).collect()
+    assert {(r["q"], r["id"]) for r in s} == {(1, 3), (2, 3)}
     t, why = ingest.training_set(spark.createDataFrame([(3, 1.0, None), (2, 1.0, 1.0)], "records int, a double, b double"), ["a", "b"], 2)
     assert t.count() == 1 and why
 

@@ -64,8 +64,9 @@ def test_two_high_and_two_low_producers(spark):
 
 
 def test_names_and_similarity():
-    assert wells.identity_similarity("AB-12", "AB 12") >= 0.78 and wells.identity_similarity("", "A") == 0.0
-    assert wells.well_match_score("GASFIELD", "GSFLD") >= 0.96
+    assert wells.identity_similarity("AB-001", "Ab 001") == 1.0 and wells.identity_similarity("", "A") == 0.0
+    assert wells.identity_similarity("GAS-7", "XY-7") == 0.78 and wells.identity_similarity("AB-7", "AB-7H") >= 0.9
+    assert wells.well_match_score("GASFIELD-4", "GSFLD 4") == 0.96 and wells.well_match_score("GAXX-4", "GBYZW 4") == 0.88 and wells.well_match_score(None, "A") == 0.0
 
 
 def test_alias_chains_with_a_circle(spark):

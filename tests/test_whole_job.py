@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 import __spark_entry__ as entry
 from wellspring.operators import clustering, search, wells
@@ -10,8 +11,8 @@ from wellspring.operators import clustering, search, wells
 
 def test_all_pairs_of_a_block(spark):
     # one digit string, skeletons of their own: more members than any window
-    names = [(i, f"{a}{b}-7", None, None) for i, (a, b) in enumerate(itertools.product("BCDFGHJK", repeat=2))]
-    df = spark.createDataFrame(names, "id long, name string, x double, y double")
+    names = [(i, f"{a}{b}-7", f"{a}{b}7", None, None) for i, (a, b) in enumerate(itertools.product("BCDFGHJK", repeat=2))]
+    df = spark.createDataFrame(names, "id long, name string, key string, x double, y double")
     every = set(itertools.combinations(range(len(names)), 2))
     assert {tuple(r) for r in wells.multi_key_pairs(df).collect()} == every
     # equal digits give at least 0.78, over the threshold
@@ -19,14 +20,42 @@ def test_all_pairs_of_a_block(spark):
 
 
 def test_all_near_names_of_a_block(spark):
-    names = [(i, f"{a}-7", None, None, None) for i, a in enumerate("ABCDEFGHIJKLMNOPQRST")]
-    df = spark.createDataFrame(names, "id long, name string, uwi string, x double, y double")
+    names = [(i, f"{a}-7", f"{a}7", None, None, None) for i, a in enumerate("ABCDEFGHIJKLMNOPQRST")]
+    df = spark.createDataFrame(names, "id long, name string, key string, uwi string, x double, y double")
     every = set(itertools.combinations(range(len(names)), 2))
-    assert {tuple(r) for r in wells.blocks(df.select("id", "name")).collect()} == every
+    assert {tuple(r) for r in wells.near_name_pairs(df.select("id", "key")).collect()} == every
     # equal digits give at least 0.78, over the threshold
     assert {(r["a"], r["b"]) for r in wells.identity_suggestions(df, top=10_000).collect()} == every
 
 
+def test_links_of_blocks_against_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i, "".join(rnd.choice(list("ABE"), 3)) + (str(rnd.integers(1, 4)) if rnd.random() < 0.7 else ""), *((float(rnd.integers(0, 5)), float(rnd.integers(0, 5))) if rnd.random() < 0.5 else (None, float("nan")))) for i in range(150)]
+    rows.append((150, None, None, None))
+    df = spark.createDataFrame(rows, "id long, key string, x double, y double")
+    digits = {r[0]: "".join(c for c in r[1] or "" if c.isdigit()) or None for r in rows}
+    bare = {r[0]: b if r[1] and len(b := r[1].replace("A", "").replace("E", "")) >= 3 else None for r in rows}
+    place = {r[0]: r[2:] if r[2] is not None else None for r in rows}
+    want = {r[0]: sum(o[0] != r[0] and any(k[r[0]] is not None and k[r[0]] == k[o[0]] for k in (digits, bare, place)) for o in rows) for r in rows}
+    got = wells.multi_key_links(df).collect()
+    assert {r["id"]: r["links"] for r in got} == want and len(got) == len(rows)
+    pairs = [tuple(r) for r in wells.multi_key_pairs(df, most=10_000).collect()]
+    assert len(pairs) == len(set(pairs)) == sum(want.values()) // 2
+    near = {r["id"]: r["links"] for r in wells.near_names(df.select("id", "key")).collect()}
+    pairs = [tuple(r) for r in wells.near_name_pairs(df.select("id", "key"), most=10_000).collect()]
+    assert near == {i: sum(i in p for p in pairs) for i in range(150)}
+    few = {tuple(r) for r in wells.near_name_pairs(df.select("id", "key"), most=5).collect()}
+    assert few <= set(pairs) and len(few) < len(pairs)
+
+
+def test_nearest_is_proven_at_any_distance(spark):
+    rows = [(1, 0.0, 0.0, "a"), (2, 1e7, 0.0, "a"), (3, 5.0, 0.0, "b"), (4, 5.0, 0.0, "c"), (5, 9e6, 1e6, None), (6, None, 1.0, "a"), (7, 40.0, 30.0, "c"), (8, 40.0, 30.0, "c")]
+    got = {r["id"]: r["distance"] for r in wells.nearest_same_formation(spark.createDataFrame(rows, "id long, x double, y double, formation string")).collect()}
+    assert got == {1: 1e7, 2: 1e7, 3: 0.0, 4: pytest.approx(46.09772228646444), 5: pytest.approx(2**0.5 * 1e6), 7: 0.0, 8: 0.0}
+    one = spark.createDataFrame([(1, 2.0, 3.0, "a")], "id long, x double, y double, formation string")
+    assert wells.nearest_same_formation(one).first()["distance"] is None
+
+
 def test_parts_of_a_hot_key(spark):
     rows = [(i, "hot") for i in range(40)] + [(i, f"c{i // 2}") for i in range(100, 120)]
     df = spark.createDataFrame(rows, "id long, key string")

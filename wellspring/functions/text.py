@@ -21,6 +21,11 @@ def nfkc_key(text: str | None) -> str | None:
     return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text).strip().upper())
 
 
+def name_key(text: str | None) -> str:
+    """Comparable well name: NFKC, upper case, 0-9 A-Z and U+4E00..U+9FFF only."""
+    return re.sub(r"[^0-9A-Z一-鿿]+", "", unicodedata.normalize("NFKC", text or "").upper())
+
+
 @F.pandas_udf(T.StringType())
 def nfkc_key_udf(texts: pd.Series) -> pd.Series:
     codes, distinct = pd.factorize(texts)

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wellspring.functions.scalars import layer_key, listed
-from wellspring.operators.wells import identity_similarity_udf, multi_key_pairs, well_match_score_udf
+from wellspring.operators.wells import digit_groups, distinct_wells, identity_similarity_udf, multi_key_pairs, well_match_score_udf, without_vowels
 
 # fixed values: evidence words of time-depth data and the seismic context that excludes them
 TIME_DEPTH_WORDS = (("checkshot", "check.?shot"), ("time_depth", "time.?depth|t-d"), ("vsp", r"\bvsp\b"), ("velocity", "velocity"))
@@ -88,14 +88,16 @@ def horizon_detail(hits: DataFrame, perforations: DataFrame, bottoms: DataFrame)
 
 
 def project_identity(wells: DataFrame, threshold: float = 0.76, top: int = 150) -> DataFrame:
-    """MDL38: pairs of wells (id, name, x, y) by similarity, with floors for equal
-    consonants .86, digits .78, places within one .98 and five .92 units."""
-    side = lambda s: wells.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("name", "x", "y")])
-    j = multi_key_pairs(wells).join(side("a"), "a").join(side("b"), "b")
-    bare = lambda c: F.regexp_replace(F.upper(c), "[^B-DF-HJ-NP-TV-Z]", "")
-    dig = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    """MDL38: pairs of wells (id, name, key, x, y) by similarity of their names, with
+    floors for equal keys without vowels .86, equal digit groups .78, places within one
+    .98 and five .92 units. Rows alike in all of these are one, under their least id. A
+    report of the top pairs."""
+    rows = distinct_wells(wells, "name", "key", "x", "y")
+    side = lambda s: rows.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("name", "key", "x", "y")])
+    j = multi_key_pairs(rows).join(side("a"), "a").join(side("b"), "b")
     far = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
-    floor = F.greatest(F.when(far <= 1, 0.98).otherwise(0.0), F.when(far <= 5, 0.92).otherwise(0.0), F.when(bare("a_name") == bare("b_name"), 0.86).otherwise(0.0), F.when(dig("a_name") == dig("b_name"), 0.78).otherwise(0.0))
+    bare, digits = without_vowels(F.col("a_key")), digit_groups(F.col("a_key"))
+    floor = F.greatest(F.when(far <= 1, 0.98).when(far <= 5, 0.92).otherwise(0.0), F.when((bare == without_vowels(F.col("b_key"))) & (bare != ""), 0.86).otherwise(0.0), F.when(digits == digit_groups(F.col("b_key")), 0.78).otherwise(0.0))
     score = F.round(F.greatest(floor, identity_similarity_udf("a_name", "b_name")), 6)
     return j.select("a", "b", score.alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "a", "b").limit(top)
 
@@ -105,15 +107,39 @@ def strong_trajectories(suggestions: DataFrame, compared: DataFrame) -> DataFram
     return suggestions.join(compared.where("max_distance <= 10"), ["a", "b"])
 
 
-def best_wells(queries: DataFrame, wells: DataFrame, top: int = 6) -> DataFrame:
-    """JOIN22, HLP15: for query names (q, text) the best wells (id, name) that share a
-    number token, or the first three letters where the query has none; ties by id."""
-    token = lambda c: F.when(F.size(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))) > 0, F.transform(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), lambda x: F.regexp_replace(x, "^0+", ""))).otherwise(F.array(F.substring(F.upper(c), 1, 3)))
-    q = queries.select("q", "text", F.explode(token(F.col("text"))).alias("t"))
-    w = wells.select("id", "name", F.explode(token(F.col("name"))).alias("t"))
-    j = q.join(w, "t").select("q", "id", well_match_score_udf("text", "name").alias("score")).where("score >= 0.5").groupBy("q", "id").agg(F.max("score").alias("score"))
-    best = j.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, top).alias("b"))
-    return best.select("q", F.posexplode("b").alias("place", "r")).select("q", (F.col("place") + 1).alias("place"), "r.id", (-F.col("r.s")).alias("score"))
+def number_suggestions(names: DataFrame, wells: DataFrame, least: float = 0.78) -> DataFrame:
+    """JOIN22: for names (q, text) the well (id, name) most alike of those that share a
+    digit group, if alike enough; ties go to the lower id. Equal texts and equal names
+    are compared once, and a hot digit group in parts."""
+    said = names.groupBy("text").agg(F.min("q").alias("first"))
+    known = wells.groupBy("name").agg(F.min("id").alias("id"))
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)))
+    left = said.select("text", F.explode(tokens(F.col("text"))).alias("t"))
+    named = known.select("id", "name", F.explode(tokens(F.col("name"))).alias("t"))
+    spread = named.groupBy("t").agg((1 + F.floor(F.count("*") / 1000)).alias("parts"))
+    right = named.join(spread, "t").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    left = left.join(spread, "t").select("text", "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = left.join(right, ["t", "part"]).select("text", "id", "name").distinct()
+    best = both.withColumn("score", F.round(identity_similarity_udf("text", "name"), 6)).groupBy("text").agg(F.max(F.struct("score", (-F.col("id")).alias("i"))).alias("b")).where(F.col("b.score") >= least)
+    return names.join(best, "text").select("q", (-F.col("b.i")).alias("id"), F.col("b.score").alias("score"))
+
+
+def best_wells(queries: DataFrame, wells: DataFrame, top: int = 6, block: int = 500) -> DataFrame:
+    """HLP15: for query names (q, text) the `top` wells (id, name, key, sources) by match
+    score of name or key, then number of sources, then id. Every query meets every well,
+    in blocks of `block` queries; equal texts are scored once."""
+    said = queries.where("text is not null").groupBy("text").agg(F.count("*").alias("n"))
+    blocks = max(1, -(-said.count() // block))
+    q = said.select("text", F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"))
+    w = wells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    score = F.round(F.greatest(well_match_score_udf("text", "name"), well_match_score_udf("text", "key")), 6)
+    each = q.join(w, "block").select("text", "id", "sources", score.alias("score"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("sources")).alias("n"), "id"))), 1, top)
+    # the best of each part of the wells first, so that no task holds all wells of a query
+    part = each.groupBy("text", F.pmod("id", F.lit(64))).agg(first.alias("b")).select("text", F.inline("b"))
+    best = part.groupBy("text").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "n", "id"))), 1, top).alias("b"))
+    placed = queries.join(best, "text").select("q", F.posexplode("b").alias("place", "r"))
+    return placed.select("q", (F.col("place") + 1).alias("place"), "r.id", (-F.col("r.s")).alias("score"))
 
 
 def relationship_search(text: DataFrame, wells: DataFrame, curve_types: DataFrame, layers: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wellspring.functions.scalars import identity_class_score
+from wellspring.functions.text import name_key
 from wellspring.tables import cut
 
 # fixed values: how far a kind of source is preferred
@@ -179,92 +180,197 @@ def pairs_sharing(rows: DataFrame, part: int = 500) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def blocks(names: DataFrame) -> DataFrame:
-    """JOIN20: pairs of near names (id, name): all in blocks of equal digits, or of
-    equal first letters where there are none; besides, in the order of all names
-    each with its next three."""
-    d = F.regexp_replace("name", "[^0-9]", "")
-    rows = names.where("name is not null").withColumn("block", F.when(d != "", d).otherwise(F.substring(F.upper("name"), 1, 4)))
-    return pairs_sharing(rows.select("id", F.col("block").alias("key"))).unionByName(next_in_order(rows, ["name"], 3)).distinct()
+def digit_groups(c: Column) -> Column:
+    """The digit groups of a key, joined; null where it has none."""
+    found = F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))
+    return F.when(F.size(found) > 0, F.array_join(found, "-"))
+
+
+def without_vowels(c: Column) -> Column:
+    return F.regexp_replace(c, "[AEIOU]", "")
+
+
+def _near_name_block(key: Column) -> Column:
+    digits = digit_groups(key)
+    return F.coalesce(F.concat(F.lit("N:"), digits), F.concat(F.lit("P:"), F.substring(key, 1, 4)))
+
+
+def near_names(names: DataFrame) -> DataFrame:
+    """JOIN20: (id, class_id, links) of names (id, key): the least id of the block of
+    equal digit groups, or of equal first four letters where there are none, and the
+    number of other rows the row is compared with: all of its block, and the next three
+    on either side in the order of all keys. Links are counted, not expanded, so a block
+    of any size costs one aggregation; near_name_pairs gives them as pairs. Rows of a
+    null key have no links and are left out; ids are unique."""
+    rows = names.where("key is not null").select("id", "key", _near_name_block(F.col("key")).alias("block"))
+    blocks_ = rows.groupBy("block").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("within"))
+    near = next_in_order(rows.select("id", "key"), ["key"], 3)
+    ends = near.join(rows.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a").join(rows.select(F.col("id").alias("b"), F.col("block").alias("block_b")), "b").where("block_a <> block_b")
+    beyond = ends.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("beyond"))
+    return rows.join(blocks_, "block").join(beyond, "id", "left").select("id", "class_id", (F.col("within") + F.coalesce("beyond", F.lit(0))).alias("links"))
+
+
+def _block_pairs(rows: DataFrame, most: int, order: list[str]) -> DataFrame:
+    """Pairs within blocks of rows (id, key, block, ...): all in blocks of `most` rows at
+    most, else those next to each other, six apart at most, in each of the orders."""
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
+    sized = rows.join(sizes, "block")
+    out = pairs_sharing(sized.where(F.col("n") <= most).select("id", F.col("block").alias("key")))
+    large = sized.where(F.col("n") > most)
+    for column in order:
+        out = out.unionByName(next_in_order(large.select("id", "block", column), ["block", column], 6, within="block"))
+    return out
+
+
+def near_name_pairs(names: DataFrame, most: int = 200) -> DataFrame:
+    """JOIN20: (a, b) of names (id, key) to compare: all in a block of `most` rows at
+    most, the next six of a larger block in the order of keys, of reversed keys and of
+    keys without vowels, and the next three in the order of all keys. near_names counts
+    what blocks hold whatever their size."""
+    rows = names.where("key is not null").select("id", "key", _near_name_block(F.col("key")).alias("block"), F.reverse("key").alias("backward"), without_vowels(F.col("key")).alias("bare"))
+    within = _block_pairs(rows, most, ["key", "backward", "bare"])
+    return within.unionByName(next_in_order(rows.select("id", "key"), ["key"], 3)).distinct()
+
+
+def _keyed(wells: DataFrame) -> DataFrame:
+    """(id, digits, bare, place): the three keys of wells (id, key, x, y)."""
+    bare = without_vowels(F.col("key"))
+    located = F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y")
+    place = F.when(located, F.concat_ws("|", F.bround("x").cast("long"), F.bround("y").cast("long")))
+    return wells.select("id", digit_groups(F.col("key")).alias("digits"), F.when(F.length(bare) >= 3, bare).alias("bare"), place.alias("place"))
+
+
+def multi_key_links(wells: DataFrame) -> DataFrame:
+    """JOIN21: (id, digits_class, bare_class, place_class, links) of wells (id, key, x, y):
+    the least id of each block the well is in, by digit groups, by the key without vowels
+    (three letters at least) and by the place in whole units, and the number of other
+    wells that share a block with it. The number comes from the sizes of the blocks and
+    of their intersections, so no pairs are made and no block is too large. Nulls are in
+    no block; a well in none has no class and no links; ids are unique."""
+    rows = _keyed(wells)
+    names = ("digits", "bare", "place")
+    out = rows
+    for some in itertools.chain.from_iterable(itertools.combinations(names, k) for k in (1, 2, 3)):
+        known = rows.where(" and ".join(f"{c} is not null" for c in some))
+        least = [F.min("id").alias(f"{some[0]}_class")] if len(some) == 1 else []
+        out = out.join(known.groupBy(*some).agg((F.count("*") - 1).alias("_".join(("n", *some))), *least), list(some), "left")
+    size = lambda *some: F.coalesce(F.col("_".join(("n", *some))), F.lit(0))
+    links = size("digits") + size("bare") + size("place") - size("digits", "bare") - size("digits", "place") - size("bare", "place") + size(*names)
+    return out.select("id", *[f"{c}_class" for c in names], links.alias("links"))
+
+
+def multi_key_pairs(wells: DataFrame, most: int = 100) -> DataFrame:
+    """JOIN21: (a, b) of wells (id, key, x, y) to compare: all that share a block of
+    `most` wells at most; of larger blocks the next six by key, by reversed key and by
+    place. multi_key_links counts what blocks hold whatever their size."""
+    rows = _keyed(wells).join(wells.select("id", "key", F.coalesce("x", F.lit(0.0)).alias("x")), "id")
+    keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), c)) for c in ("digits", "bare", "place")]))
+    each = rows.select("id", "key", F.reverse("key").alias("backward"), "x", F.explode(keys).alias("block"))
+    return _block_pairs(each, most, ["key", "backward", "x"]).distinct()
+
+
+def identity_similarity(a: str | None, b: str | None) -> float:
+    """SC06: matching-blocks ratio of two normalised names, 1 for equal ones; equal
+    digit groups give at least 0.78, and if one name begins with the other 0.90."""
+    left, right = name_key(a), name_key(b)
+    if left == right:
+        return 1.0
+    score = difflib.SequenceMatcher(None, left, right).ratio()
+    digits = re.findall(r"\d+", left)
+    if digits and digits == re.findall(r"\d+", right):
+        score = max(score, 0.90 if left.startswith(right) or right.startswith(left) else 0.78)
+    return score
 
 
-def identity_similarity(a: str, b: str) -> float:
-    """SC06: matching-blocks ratio; equal digit groups give at least 0.78, with
-    an equal first letter run at least 0.90."""
-    if not a or not b:
-        return 0.0
-    score = difflib.SequenceMatcher(None, a, b).ratio()
-    da, db = re.findall(r"\d+", a), re.findall(r"\d+", b)
-    if da and [int(x) for x in da] == [int(x) for x in db]:
-        pa, pb = (re.match(r"[^\d]*", s)[0] for s in (a, b))
-        score = max(score, 0.90 if pa and pa == pb else 0.78)
-    return score
+def _scores(score, a: pd.Series, b: pd.Series) -> pd.Series:
+    """Each distinct pair of texts is scored once."""
+    both = pd.DataFrame({"a": a, "b": b}).astype(object)
+    both = both.where(both.notna(), None)
+    codes, pairs = pd.factorize(pd.Series(list(zip(both["a"], both["b"])), dtype=object))
+    return pd.Series(np.array([score(x, y) for x, y in pairs], float)[codes] if len(pairs) else [], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
 def identity_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([identity_similarity(x, y) for x, y in zip(a, b)], dtype=float)
-
-
-def well_match_score(a: str, b: str) -> float:
-    """SC07: identity similarity; equal names without vowels give at least 0.96,
-    an equal first consonant with equal digits at least 0.88."""
-    score = identity_similarity(a, b)
-    bare = [re.sub(r"[AEIOU]", "", s.upper()) for s in (a or "", b or "")]
-    if bare[0] and bare[0] == bare[1]:
-        score = max(score, 0.96)
-    digits = [re.sub(r"\D", "", s or "") for s in (a, b)]
-    first = [re.search(r"[B-DF-HJ-NP-TV-Z]", s) for s in bare]
-    if digits[0] and digits[0] == digits[1] and all(first) and first[0][0] == first[1][0]:
-        score = max(score, 0.88)
+    return _scores(identity_similarity, a, b)
+
+
+# fixed values: endings of well names that tell of a batch, not of the well
+BATCH_ENDING = "(EXP|DEV|LOGS?|TZ)$"
+
+
+def _skeleton(key: str) -> str:
+    letters = re.sub(BATCH_ENDING, "", re.sub(r"\d+", "", key))
+    return re.sub("[AEIOU]", "", letters) or letters
+
+
+def well_match_score(a: str | None, b: str | None) -> float:
+    """SC07: identity similarity, 0 for an empty name; with equal digit groups an equal
+    skeleton (letters without batch endings and vowels) gives at least 0.96, an equal
+    first letter of it at least 0.88."""
+    left, right = name_key(a), name_key(b)
+    if not left or not right:
+        return 0.0
+    score = identity_similarity(left, right)
+    digits = re.findall(r"\d+", left)
+    if digits and digits == re.findall(r"\d+", right):
+        one, other = _skeleton(left), _skeleton(right)
+        if one and one == other:
+            score = max(score, 0.96)
+        elif one[:1] and one[:1] == other[:1]:
+            score = max(score, 0.88)
     return score
 
 
 @F.pandas_udf(T.DoubleType())
 def well_match_score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([well_match_score(x, y) for x, y in zip(a, b)], dtype=float)
+    return _scores(well_match_score, a, b)
+
+
+def distinct_wells(wells: DataFrame, *said: str) -> DataFrame:
+    """Rows that say the same become one, under their least id."""
+    return wells.groupBy(*said).agg(F.min("id").alias("id"))
 
 
 def identity_suggestions(wells: DataFrame, threshold: float = 0.72, top: int = 100) -> DataFrame:
-    """MDL37: pairs of wells (id, name, uwi, x, y) that may be one: similarity,
-    1.0 for equal uwi, 0.08 more within five units. A report of the top pairs."""
-    pairs = blocks(wells.select("id", "name"))
-    side = lambda s: wells.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("name", "uwi", "x", "y")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    """MDL37: pairs of wells (id, name, key, uwi, x, y) that may be one: similarity of
+    the names, 1.0 for equal uwi, 0.08 more within five units. Rows that are alike in all
+    of these are one, under their least id. A report of the top pairs."""
+    rows = distinct_wells(wells, "name", "key", "uwi", "x", "y")
+    side = lambda s: rows.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("name", "uwi", "x", "y")])
+    both = near_name_pairs(rows.select("id", "key")).join(side("a"), "a").join(side("b"), "b")
     near = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) <= 5
-    base = F.when(F.col("a_uwi") == F.col("b_uwi"), 1.0).otherwise(identity_similarity_udf("a_name", "b_name"))
+    base = F.when((F.col("a_uwi") == F.col("b_uwi")) & (F.col("a_uwi") != ""), 1.0).otherwise(identity_similarity_udf("a_name", "b_name"))
     score = F.least(F.lit(1.0), base + F.when(near, 0.08).otherwise(0.0))
     return both.select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "a", "b").limit(top)
 
 
-def multi_key_pairs(wells: DataFrame) -> DataFrame:
-    """JOIN21: all pairs sharing a digit string, a consonant skeleton or a rounded
-    place, whatever the size of their block."""
-    digits = F.regexp_replace("name", "[^0-9]", "")
-    bare = F.regexp_replace(F.upper("name"), "[^B-DF-HJ-NP-TV-Z]", "")
-    place = F.when(F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y"), F.concat(F.lit("p"), F.round("x").cast("long"), F.lit("|"), F.round("y").cast("long")))
-    keys = F.array_compact(F.array(F.when(digits != "", F.concat(F.lit("d"), digits)), F.when(bare != "", F.concat(F.lit("c"), bare)), place))
-    return pairs_sharing(wells.select("id", F.explode(keys).alias("key")))
-
-
-def nearest_same_formation(wells: DataFrame, cell: float, rounds: int = 6) -> DataFrame:
+def nearest_same_formation(wells: DataFrame) -> DataFrame:
     """JOIN16: distance of each well (id, x, y, formation) to the nearest of its
-    formation, else to the nearest of all. Cells of doubling width are joined
-    with their eight neighbours until a distance no greater than a cell is
-    found, which then is the least; the last round takes whatever it finds."""
+    formation, else to the nearest of all; null where there is no other well. Cells are
+    joined with their eight neighbours until a distance no greater than a cell is found,
+    which then is the least; cells start at about one well each and grow fourfold until
+    one covers all wells, so every distance is proven. Wells of one place and formation are one row with a count."""
     good = wells.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select("id", "x", "y", F.coalesce("formation", F.lit("")).alias("formation"))
-    out = good.select("id")
+    box = good.agg((F.max("x") - F.min("x")).alias("x"), (F.max("y") - F.min("y")).alias("y"), F.count("*").alias("n")).first()
+    reach = max(box["x"] or 0.0, box["y"] or 0.0)
+    sizes = [max(1.0, (box["x"] or 0.0) * (box["y"] or 0.0) / max(1, box["n"])) ** 0.5]
+    while sizes[-1] < reach:
+        sizes.append(sizes[-1] * 4)
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    out = good
     for name, keys in (("same", ["formation"]), ("any", [])):
-        open_, found = good, None
-        for r in range(rounds):
-            size = cell * 4**r
+        places = cut(good.groupBy("x", "y", *keys).agg(F.count("*").alias("n")))
+        found = places.where("n > 1").select("x", "y", *keys, F.lit(0.0).alias(name))
+        left = places.where("n = 1").count()
+        for size in sizes:
+            if not left:
+                break
             c = [F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")]
-            near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-            q = open_.select("id", "x", "y", *keys, *c, near.alias("n")).select("id", F.col("x").alias("qx"), F.col("y").alias("qy"), *keys, (F.col("cx") + F.col("n.i")).alias("cx"), (F.col("cy") + F.col("n.j")).alias("cy"))
-            p = good.select(F.col("id").alias("other"), "x", "y", *keys, *c)
-            d = q.join(p, [*keys, "cx", "cy"]).where("id <> other").groupBy("id").agg(F.min(F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))).alias("d"))
-            done = d if r == rounds - 1 else d.where(F.col("d") <= size)
-            found = done if found is None else found.unionByName(done)
-            open_ = open_.join(done, "id", "left_anti")
-        out = out.join(found.withColumnRenamed("d", name), "id", "left")
+            open_ = places.where("n = 1").join(found.select("x", "y", *keys), ["x", "y", *keys], "left_anti")
+            q = open_.select(F.col("x").alias("qx"), F.col("y").alias("qy"), *keys, *c, near.alias("n")).select("qx", "qy", *keys, (F.col("cx") + F.col("n.i")).alias("cx"), (F.col("cy") + F.col("n.j")).alias("cy"))
+            d = q.join(places.select("x", "y", *keys, *c), [*keys, "cx", "cy"]).where("x <> qx or y <> qy").groupBy(F.col("qx").alias("x"), F.col("qy").alias("y"), *keys).agg(F.min(F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))).alias(name))
+            done = cut(d.where(F.col(name) <= size))
+            found, left = found.unionByName(done), left - done.count()
+        out = out.join(found, ["x", "y", *keys], "left")
     return out.select("id", F.coalesce("same", "any").alias("distance"))

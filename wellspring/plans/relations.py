@@ -89,6 +89,24 @@ def sources_kind(spark, d):
     return table(spark, d, "sources").select(F.col("id").alias("source_id"), kind_of(F.col("data_type")).alias("kind"))
 
 
+def pair_ratio(pairs, most=16):
+    """SQL: (pid, ratio) of table `pairs` (pid, ka, kb) of keys of `most` letters at most, matching blocks found again and
+    again in what is left and right of the longest one."""
+    return f"""mb AS (SELECT * FROM (WITH RECURSIVE mb(pid, al, ah, bl, bh, k) AS (SELECT pid, 1, length(ka) + 1, 1, length(kb) + 1, 0 FROM {pairs} UNION ALL
+  SELECT pid, unnest([al, -m.i + m.k]), unnest([-m.i, ah]), unnest([bl, -m.j + m.k]), unnest([-m.j, bh]), unnest([m.k, 0]) FROM (
+   SELECT pid, al, ah, bl, bh, max(struct_pack(k := CAST(g.k AS INT), i := CAST(-g.i AS INT), j := CAST(-g.j AS INT))) AS m FROM mb JOIN {pairs} USING (pid)
+   JOIN (SELECT i, j, k FROM range(1, {most + 1}) a(i), range(1, {most + 1}) b(j), range(1, {most + 1}) c(k)) g ON g.i >= al AND g.i + g.k <= ah AND g.j >= bl AND g.j + g.k <= bh AND substr(ka, CAST(g.i AS INT), CAST(g.k AS INT)) = substr(kb, CAST(g.j AS INT), CAST(g.k AS INT)) GROUP BY ALL)) SELECT * FROM mb)),
+ ratio AS (SELECT pid, 2.0 * sum(mb.k) / nullif(any_value(length(ka) + length(kb)), 0) AS ratio FROM mb JOIN {pairs} USING (pid) GROUP BY pid)"""
+
+
+WELL_KEYS = """k AS (SELECT id, nullif(array_to_string(regexp_extract_all(normalized_key, '[0-9]+'), '-'), '') AS d, CASE WHEN length(regexp_replace(normalized_key, '[AEIOU]', '', 'g')) >= 3 THEN regexp_replace(normalized_key, '[AEIOU]', '', 'g') END AS v,
+ CASE WHEN NOT isnan(x) AND NOT isnan(y) THEN CAST(round_even(x, 0) AS BIGINT) || '|' || CAST(round_even(y, 0) AS BIGINT) END AS p FROM wells)"""
+_SAME = "regexp_matches(ka, '[0-9]') AND regexp_extract_all(ka, '[0-9]+') = regexp_extract_all(kb, '[0-9]+')"
+_BARE = lambda c: f"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace({c}, '[0-9]+', '', 'g'), '(EXP|DEV|LOGS?|TZ)$', ''), '[AEIOU]', '', 'g'), ''), regexp_replace(regexp_replace({c}, '[0-9]+', '', 'g'), '(EXP|DEV|LOGS?|TZ)$', ''))"
+SIMILARITY = f"sim AS (SELECT ka, kb, CASE WHEN ka = kb THEN 1.0 WHEN {_SAME} THEN greatest(coalesce(ratio, 0), CASE WHEN starts_with(ka, kb) OR starts_with(kb, ka) THEN 0.9 ELSE 0.78 END) ELSE coalesce(ratio, 0) END AS sim FROM pr JOIN ratio USING (pid))"
+MATCH_SCORE = f"""score AS (SELECT ka, kb, CASE WHEN ka = '' OR kb = '' THEN 0.0 WHEN {_SAME} THEN greatest(sim, CASE WHEN {_BARE('ka')} = {_BARE('kb')} AND {_BARE('ka')} <> '' THEN 0.96 WHEN {_BARE('ka')}[1] = {_BARE('kb')}[1] AND {_BARE('ka')} <> '' THEN 0.88 ELSE 0 END) ELSE sim END AS score FROM sim)"""
+
+
 _FIN = lambda c: f"CASE WHEN isfinite({c}) THEN {c} END"
 PM = (
     "pm AS (SELECT id, source_id, wellkey AS well_key, strftime(productiondate AT TIME ZONE 'UTC', '%Y-%m') AS month, "

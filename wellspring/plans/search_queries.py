@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import scalars
 from wellspring.functions.text import well_key
 from wellspring.operators import catalog, clustering, curves, search
-from wellspring.plans.relations import FILES, IV, PM, files, intervals, pm, rounded, rounding_alike
+from wellspring.plans.relations import FILES, IV, MATCH_SCORE, PM, SIMILARITY, WELL_KEYS, files, intervals, pair_ratio, pm, rounded, rounding_alike
 from wellspring.plans.relations import curves as las
 from wellspring.tables import table
 
@@ -48,6 +48,15 @@ def _texts(s, d):
     return table(s, d, "wells").select(F.col("id").alias("q"), F.concat("canonical_name", F.lit("; gr，Quarrin Shale\nnothing")).alias("text"))
 
 
+def _named(s, d):
+    return table(s, d, "wells").select("id", F.col("canonical_name").alias("name"), F.col("normalized_key").alias("key"), "x", "y")
+
+
+def _evident(s, d):
+    n = table(s, d, "well_sources").where("well_id is not null").groupBy(F.col("well_id").alias("id")).agg(F.countDistinct("source_id").alias("sources"))
+    return _named(s, d).join(n, "id", "left").select("id", "name", "key", F.coalesce("sources", F.lit(0)).alias("sources"))
+
+
 QUERIES = {
     "sc19_time_depth_evidence": lambda s, d: files(s, d).select("path", F.array_join(search.time_depth_evidence(F.concat("path", F.lit("_checkshot"))), ",").alias("e")),
     "sc21_model_items": lambda s, d: files(s, d).select("path", search.model_item(F.col("path")).alias("item")),
@@ -67,10 +76,11 @@ QUERIES = {
     "agg32_readiness": lambda s, d: pm(s, d).groupBy("well_key").agg(F.countDistinct("month").alias("m")).agg(F.count("*").alias("wells"), F.count_if(F.col("m") >= 3).alias("three"), F.count_if(F.col("m") >= 12).alias("year"), F.count_if(F.col("m") >= 60).alias("five_years")),
     "agg38_statuses": lambda s, d: pm(s, d).groupBy("status").agg(F.count("*").alias("n")),
     "mdl09_horizon_detail": lambda s, d: rounded(search.horizon_detail(_hits(s, d).select("well", "layer", "md"), _perforations(s, d), _bottoms(s, d)), 4),
-    "mdl38_project_identity": lambda s, d: search.project_identity(table(s, d, "wells").select("id", F.col("canonical_name").alias("name"), "x", "y")),
+    "mdl38_project_identity": lambda s, d: search.project_identity(_named(s, d)),
+    "join22_number_suggestions": lambda s, d: search.number_suggestions(table(s, d, "well_sources").where("well_id is null").select(F.col("id").alias("q"), F.col("normalized_name").alias("text")), _named(s, d).select("id", F.col("key").alias("name"))),
     "mdl40_unified_wells": lambda s, d: _unified(s, d),
     "mdl41_roles": lambda s, d: search.relationship_search(_texts(s, d), table(s, d, "wells").select(F.col("normalized_key").alias("key")), las(s, d).select(F.upper("mnemonic").alias("key")), table(s, d, "horizon_name_groups").select(F.col("canonical_key").alias("key"))),
-    "hlp15_best_wells": lambda s, d: search.best_wells(table(s, d, "well_sources").where("well_id is null").select(F.col("id").alias("q"), F.col("raw_name").alias("text")), table(s, d, "wells").select("id", F.col("canonical_name").alias("name"))),
+    "hlp15_best_wells": lambda s, d: search.best_wells(table(s, d, "well_sources").where("id % 50 = 0").select(F.col("id").alias("q"), F.col("normalized_name").alias("text")), _evident(s, d)),
     "agg23_inventory": lambda s, d: search.seismic_inventory(table(s, d, "sources").select(F.regexp_replace("filename", r"_\d+", "").alias("name"), F.col("record_count").alias("size"))),
     "join06_deepest": lambda s, d: intervals(s, d).join(_bottoms(s, d).withColumnRenamed("md", "deepest"), "well").where("base = deepest").select("id", "well"),
     "join23_classes": lambda s, d: clustering.class_links(table(s, d, "sources").where("batch is not null").select("id", F.col("batch").alias("key"))),
@@ -102,7 +112,20 @@ _PCT = ", ".join(f"round(quantile_cont(value, {q}), 4) AS {n}" for n, q in (("p0
 
 _TYPED = "CASE " + " ".join(f"WHEN regexp_matches(upper(trim(mnemonic)), '{p}') THEN '{n}'" for n, p, _ in curves.CURVE_TYPES) + " " + " ".join(f"WHEN regexp_matches(lower(coalesce(description, '')), '{w}') THEN '{n}'" for n, _, w in curves.CURVE_TYPES) + " END"
 
+_MKEY = "regexp_replace(upper(normalized_name), '[^0-9A-Z一-鿿]', '', 'g')"
 ORACLE = {
+    "mdl38_project_identity": f"""WITH {WELL_KEYS}, w AS (SELECT k.*, normalized_key AS key, x, y FROM k JOIN wells USING (id)), e AS (SELECT id, key, x, unnest(['d' || d, 'v' || v, 'p' || p]) AS bl FROM w),
+ n AS (SELECT *, count(*) OVER (PARTITION BY bl) AS size, row_number() OVER (PARTITION BY bl ORDER BY key, id) AS q, row_number() OVER (PARTITION BY bl ORDER BY reverse(key), id) AS r, row_number() OVER (PARTITION BY bl ORDER BY coalesce(x, 0), id) AS u FROM e WHERE bl IS NOT NULL),
+ c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM n a JOIN n b ON a.bl = b.bl AND a.id < b.id AND (a.size <= 100 OR abs(a.q - b.q) <= 6 OR abs(a.r - b.r) <= 6 OR abs(a.u - b.u) <= 6)),
+ m AS (SELECT c.*, l.key AS ka, r.key AS kb, l.v = r.v AS bare, l.d = r.d AS digits, sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2)) AS far FROM c JOIN w l ON l.id = a JOIN w r ON r.id = b),
+ pr AS (SELECT row_number() OVER () AS pid, ka, kb FROM (SELECT DISTINCT ka, kb FROM m)), {pair_ratio('pr')}, {SIMILARITY}
+ SELECT a, b, round(greatest(sim, CASE WHEN far <= 1 THEN 0.98 WHEN far <= 5 THEN 0.92 ELSE 0 END, CASE WHEN bare THEN 0.86 ELSE 0 END, CASE WHEN digits THEN 0.78 ELSE 0 END), 6) AS score FROM m JOIN sim USING (ka, kb) WHERE score >= 0.76 ORDER BY score DESC, a, b LIMIT 150""",
+    "join22_number_suggestions": f"""WITH q AS (SELECT id AS q, normalized_name AS text, {_MKEY} AS ka FROM well_sources WHERE well_id IS NULL), w AS (SELECT id, normalized_key AS kb FROM wells),
+ m AS (SELECT DISTINCT q, id, ka, kb FROM (SELECT *, unnest(regexp_extract_all(text, '[0-9]+')) AS t FROM q) JOIN (SELECT *, unnest(regexp_extract_all(kb, '[0-9]+')) AS t FROM w) USING (t)), pr AS (SELECT row_number() OVER () AS pid, ka, kb FROM (SELECT DISTINCT ka, kb FROM m)), {pair_ratio('pr', 18)}, {SIMILARITY},
+ b AS (SELECT q, id, round(sim, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(sim, 6) DESC, id) AS n FROM m JOIN sim USING (ka, kb)) SELECT q, id, score FROM b WHERE n = 1 AND score >= 0.78""",
+    "hlp15_best_wells": f"""WITH q AS (SELECT id AS q, {_MKEY} AS ka FROM well_sources WHERE id % 50 = 0), w AS (SELECT id, normalized_key AS kb, (SELECT count(DISTINCT source_id) FROM well_sources s WHERE s.well_id = wells.id) AS sources FROM wells), m AS (SELECT * FROM q, w),
+ pr AS (SELECT row_number() OVER () AS pid, ka, kb FROM (SELECT DISTINCT ka, kb FROM m)), {pair_ratio('pr', 18)}, {SIMILARITY}, {MATCH_SCORE},
+ b AS (SELECT q, id, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, sources DESC, id) AS place FROM m JOIN score USING (ka, kb)) SELECT q, place, id, score FROM b WHERE place <= 6""",
     "hlp17_type_lookup": f"SELECT CASE WHEN upper(trim(mnemonic)) = 'GR' THEN 'confirmed' WHEN {_TYPED} IS NOT NULL THEN 'automatic' ELSE 'unclassified' END AS how, count(*) AS n FROM las_curves GROUP BY 1",
     "hlp06_seeded_types": f"SELECT type FROM (VALUES {', '.join(f'({chr(39)}{t[0]}{chr(39)})' for t in curves.CURVE_TYPES)}) v(type) WHERE type NOT IN (SELECT {_TYPED} FROM las_curves WHERE {_TYPED} IS NOT NULL)",
     "sc19_time_depth_evidence": f"WITH {FILES} SELECT path, CASE WHEN regexp_matches(lower(path), 'stack|migrat|cube|volume') THEN '' ELSE 'checkshot' END AS e FROM ct",
@@ -136,7 +159,7 @@ ORACLE = {
     "set03_paths": "SELECT DISTINCT file_path AS path FROM sources WHERE file_path IS NOT NULL",
     "set06_groups": f"WITH {PM} SELECT well_key FROM pm WHERE oil_rate > 100 UNION SELECT well_key FROM pm WHERE water_rate > 100",
     "set08_subset": "SELECT well_id FROM las_curves WHERE well_id IS NOT NULL GROUP BY well_id HAVING bool_or(upper(mnemonic) = 'GR') AND bool_or(upper(mnemonic) = 'RT')",
-    "srt01_order": "SELECT alias_id FROM horizon_name_aliases ORDER BY lower(alias_name), alias_name, alias_id LIMIT 30",
+    "srt01_order": "SELECT alias_id FROM horizon_name_aliases ORDER BY lower(alias_name), alias_name, alias_id",
     "srt04_top_series": "SELECT upper(mnemonic) AS mnemonic, CAST(sum(sample_count) AS BIGINT) AS n FROM las_curves GROUP BY 1 ORDER BY n DESC, 1 LIMIT 24",
     "srt05_argmax": "SELECT well_id, arg_max(mnemonic, ROW(sample_count, mnemonic, id)) AS mnemonic FROM las_curves WHERE well_id IS NOT NULL GROUP BY well_id",
     "hlp11_export_scope": "WITH n AS (SELECT well_id, count(DISTINCT source_id) AS n FROM well_sources WHERE well_id IS NOT NULL GROUP BY 1) SELECT count(*) FILTER (n > 1) AS multi, count(*) AS wells FROM n",
@@ -145,4 +168,5 @@ ORACLE = {
     "set07_groups_by_rank": f"WITH {PM} SELECT coalesce(status, 'none') AS grp, count(DISTINCT well_key) AS wells, count(*) - count(DISTINCT well_key) AS repeats, round(quantile_cont(oil_rate, 0.1), 4) AS p10, round(quantile_cont(oil_rate, 0.5), 4) AS p50, round(quantile_cont(oil_rate, 0.9), 4) AS p90 FROM pm WHERE oil_rate IS NOT NULL GROUP BY 1",
     "snk03_availability": f"WITH h AS (SELECT DISTINCT {_KEY('well_name')} AS k FROM well_head WHERE well_name IS NOT NULL), f AS (SELECT coalesce(h.k, w.normalized_key) AS k, h.k IS NOT NULL AS a, w.id IS NOT NULL AS b FROM h FULL JOIN wells w ON w.normalized_key = h.k) SELECT count(*) FILTER (a) AS heads, count(*) FILTER (b) AS wells, count(*) FILTER (a AND b) AS heads_wells, count(*) FILTER (a AND b) AS every, count(*) AS \"any\" FROM f",
 }
-ORACLE = {k: v if k == "sc17_core_depths" else rounding_alike(v) for k, v in ORACLE.items()}
+_EXACT = ("sc17_core_depths", "mdl38_project_identity", "join22_number_suggestions", "hlp15_best_wells")  # rounded inside their operators
+ORACLE = {k: v if k in _EXACT else rounding_alike(v) for k, v in ORACLE.items()}

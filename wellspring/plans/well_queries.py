@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import scalars
 from wellspring.functions.text import clean_text, finite_number, well_key
 from wellspring.operators import catalog, curves, wells
-from wellspring.plans.relations import FILES, IV, PM, SAMPLES, SRC, files, intervals, pm, rounded, rounding_alike, samples, sources_kind
+from wellspring.plans.relations import FILES, IV, MATCH_SCORE, PM, SAMPLES, SIMILARITY, SRC, WELL_KEYS, files, intervals, pair_ratio, pm, rounded, rounding_alike, samples, sources_kind
 from wellspring.plans.relations import curves as las
 from wellspring.tables import table
 
@@ -35,6 +35,15 @@ def _chain(s, d):
     return n.where("n_nationkey > 0").select(F.col("n_nationkey").cast("string").alias("alias"), F.floor(F.col("n_nationkey") / 2).cast("string").alias("canonical"))
 
 
+def _named(s, d):
+    return _wells(s, d).select("id", F.col("canonical_name").alias("name"), F.col("normalized_key").alias("key"), "uwi", "x", "y")
+
+
+def _mention_names(s, d):
+    """Every mention's name against that of its well."""
+    return _mentions(s, d).join(_wells(s, d).select(F.col("id").alias("well_id"), F.col("normalized_key").alias("b")), "well_id").select("id", F.col("normalized_name").alias("a"), "b")
+
+
 def _places(s, d):
     return _wells(s, d).select("id", "x", "y", F.substring("normalized_key", 1, 3).alias("formation"))
 
@@ -86,10 +95,12 @@ QUERIES = {
     "flt01_box": lambda s, d: wells.in_box(_wells(s, d), 400000, 4000000, 420000, 4005000).select("id", "canonical_name"),
     "join24_merged": lambda s, d: wells.merged(_wells(s, d).select(F.col("normalized_key").alias("key"), F.lit("imported").alias("origin")), table(s, d, "well_head").select(well_key(F.col("well_name")).alias("key"), F.lit("scanned").alias("origin")).distinct(), "key"),
     "join08_alias_chains": lambda s, d: wells.transitive(_chain(s, d)),
-    "join16_nearest": lambda s, d: rounded(wells.nearest_same_formation(_places(s, d), 250.0), 4),
-    "join20_near_names": lambda s, d: wells.blocks(_wells(s, d).select("id", F.col("canonical_name").alias("name"))),
-    "join21_multi_key_pairs": lambda s, d: wells.multi_key_pairs(_wells(s, d).select("id", F.col("canonical_name").alias("name"), "x", "y")),
-    "mdl37_identity_suggestions": lambda s, d: wells.identity_suggestions(_wells(s, d).select("id", F.col("canonical_name").alias("name"), "uwi", "x", "y")),
+    "join16_nearest": lambda s, d: rounded(wells.nearest_same_formation(_places(s, d)), 4),
+    "join20_near_names": lambda s, d: wells.near_names(_wells(s, d).select("id", F.col("normalized_key").alias("key"))),
+    "join21_multi_key_links": lambda s, d: wells.multi_key_links(_named(s, d)),
+    "sc06_identity_similarity": lambda s, d: _mention_names(s, d).select("id", F.round(wells.identity_similarity_udf("a", "b"), 6).alias("score")),
+    "sc07_match_score": lambda s, d: _mention_names(s, d).select("id", F.round(wells.well_match_score_udf("a", "b"), 6).alias("score")),
+    "mdl37_identity_suggestions": lambda s, d: wells.identity_suggestions(_named(s, d)),
     "join05_sources_with_rows": lambda s, d: _sources(s, d).join(pm(s, d).select(F.col("source_id").alias("id")).distinct(), "id", "left_semi").select("id", "filename"),
     "join01_rows_by_kind": lambda s, d: pm(s, d).join(sources_kind(s, d), "source_id").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("well_key").alias("wells")),
     "join04_not_catalogued": lambda s, d: catalog.anti_catalog(_sources(s, d).select("id", "file_path"), files(s, d).where("kind <> 'production'")).select("id"),
@@ -142,7 +153,12 @@ _VALID = "value IS NOT NULL AND isfinite(value) AND abs(value) < 1e29 AND " + "
 _CLEAN = lambda c: f"CASE WHEN upper(trim({c})) NOT IN ('', 'NULL', 'NONE', 'N/A', 'NA', 'NAN', '-999.25') THEN {c} END"
 _HAS = "h AS (SELECT w.id AS well_key, bool_or(upper(c.mnemonic) = 'GR') AS gr, bool_or(upper(c.mnemonic) = 'RT') AS rt, bool_or(upper(c.mnemonic) = 'DTS') AS dts FROM wells w LEFT JOIN las_curves c ON c.well_id = w.id GROUP BY w.id)"
 _LONG = "lg AS (SELECT row_no, well, attribute, t AS text FROM (UNPIVOT (SELECT row_no, well, CASE WHEN isnan(phi) THEN NULL ELSE CAST(phi AS VARCHAR) END AS phi, CASE WHEN isnan(perm) THEN NULL ELSE CAST(perm AS VARCHAR) END AS perm, CASE WHEN isnan(sw) THEN NULL ELSE CAST(sw AS VARCHAR) END AS sw, facies FROM interpretation_v1) ON phi, perm, sw, facies INTO NAME attribute VALUE t) WHERE upper(trim(t)) NOT IN ('', 'NULL', 'NONE', 'N/A', 'NA', 'NAN', '-999.25'))"
-_NEAR = "least(e.id, e.o) AS a, greatest(e.id, e.o) AS b"
+
+_BLOCK = "CASE WHEN regexp_matches(normalized_key, '[0-9]') THEN 'N:' || array_to_string(regexp_extract_all(normalized_key, '[0-9]+'), '-') ELSE 'P:' || substr(normalized_key, 1, 4) END"
+_SAID = "m AS (SELECT s.id, regexp_replace(upper(normalized_name), '[^0-9A-Z一-鿿]', '', 'g') AS ka, normalized_key AS kb FROM well_sources s JOIN wells w ON w.id = s.well_id), pr AS (SELECT row_number() OVER () AS pid, ka, kb FROM (SELECT DISTINCT ka, kb FROM m))"
+_SIM = SIMILARITY
+_SCORE = MATCH_SCORE
+_KEYS = WELL_KEYS
 
 ORACLE = {
     "agg01_counts": "SELECT (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM sources WHERE status = 'ready') AS ready, (SELECT CAST(sum(record_count) AS BIGINT) FROM sources) AS records, (SELECT count(*) FROM wells) AS wells, (SELECT count(uwi) FROM wells) AS with_uwi, (SELECT count(DISTINCT las_file_id) FROM las_curves) AS las_files, (SELECT count(DISTINCT upper(mnemonic)) FROM las_curves) AS mnemonics",
@@ -162,12 +178,16 @@ ORACLE = {
     "join24_merged": f"SELECT normalized_key AS key, 'imported' AS origin FROM wells UNION ALL SELECT key, 'scanned' FROM (SELECT DISTINCT {_KEY('well_name')} AS key FROM well_head) h WHERE NOT EXISTS (SELECT 1 FROM wells w WHERE w.normalized_key = h.key)",
     "join08_alias_chains": "WITH RECURSIVE r(a, c) AS (SELECT n_nationkey, n_nationkey // 2 FROM nation WHERE n_nationkey > 0 UNION ALL SELECT a, c // 2 FROM r WHERE c > 0) SELECT CAST(a AS VARCHAR) AS alias, CAST(min(c) AS VARCHAR) AS canonical FROM r GROUP BY a",
     "join16_nearest": "WITH g AS (SELECT id, x, y, substr(normalized_key, 1, 3) AS f FROM wells WHERE NOT isnan(x) AND NOT isnan(y)), d AS (SELECT a.id, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) FILTER (a.f = b.f) AS s, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS o FROM g a JOIN g b ON a.id <> b.id GROUP BY a.id) SELECT id, round(coalesce(s, o), 4) AS distance FROM d",
-    "join20_near_names": f"""WITH w AS (SELECT id, canonical_name AS name, CASE WHEN regexp_replace(canonical_name, '[^0-9]', '', 'g') <> '' THEN regexp_replace(canonical_name, '[^0-9]', '', 'g') ELSE upper(substr(canonical_name, 1, 4)) END AS bl FROM wells),
- e AS ({" UNION ALL ".join([f"SELECT id, lead(id, {k}) OVER (PARTITION BY bl ORDER BY name, id) AS o FROM w" for k in range(1, 7)] + [f"SELECT id, lead(id, {k}) OVER (ORDER BY name, id) FROM w" for k in range(1, 4)])}) SELECT DISTINCT {_NEAR} FROM e WHERE o IS NOT NULL""",
-    "join21_multi_key_pairs": f"""WITH k AS (SELECT id, canonical_name AS name, 'd' || regexp_replace(canonical_name, '[^0-9]', '', 'g') AS key FROM wells WHERE regexp_replace(canonical_name, '[^0-9]', '', 'g') <> '' UNION ALL
- SELECT id, canonical_name, 'c' || regexp_replace(upper(canonical_name), '[^B-DF-HJ-NP-TV-Z]', '', 'g') FROM wells WHERE regexp_replace(upper(canonical_name), '[^B-DF-HJ-NP-TV-Z]', '', 'g') <> '' UNION ALL
- SELECT id, canonical_name, 'p' || CAST(round(x, 0) AS BIGINT) || '|' || CAST(round(y, 0) AS BIGINT) FROM wells WHERE NOT isnan(x) AND NOT isnan(y)),
- r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY name, id) AS n FROM k) SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM r a JOIN r b ON a.key = b.key AND b.n BETWEEN a.n + 1 AND a.n + 20""",
+    "join20_near_names": f"""WITH w AS (SELECT id, normalized_key AS key, {_BLOCK} AS bl FROM wells), o AS (SELECT *, row_number() OVER (ORDER BY key, id) AS n FROM w)
+ SELECT a.id, (SELECT min(id) FROM w WHERE w.bl = a.bl) AS class_id, (SELECT count(*) FROM o b WHERE b.id <> a.id AND (b.bl = a.bl OR abs(b.n - a.n) <= 3)) AS links FROM o a""",
+    "join21_multi_key_links": f"""WITH {_KEYS} SELECT a.id, CASE WHEN a.d IS NOT NULL THEN (SELECT min(id) FROM k WHERE k.d = a.d) END AS digits_class, CASE WHEN a.v IS NOT NULL THEN (SELECT min(id) FROM k WHERE k.v = a.v) END AS bare_class,
+ CASE WHEN a.p IS NOT NULL THEN (SELECT min(id) FROM k WHERE k.p = a.p) END AS place_class, (SELECT count(*) FROM k b WHERE b.id <> a.id AND (b.d = a.d OR b.v = a.v OR b.p = a.p)) AS links FROM k a""",
+    "sc06_identity_similarity": f"WITH {_SAID}, {pair_ratio('pr', 18)}, {_SIM} SELECT m.id, round(sim, 6) AS score FROM m JOIN sim USING (ka, kb)",
+    "sc07_match_score": f"WITH {_SAID}, {pair_ratio('pr', 18)}, {_SIM}, {_SCORE} SELECT m.id, round(score, 6) AS score FROM m JOIN score USING (ka, kb)",
+    "mdl37_identity_suggestions": f"""WITH w AS (SELECT *, normalized_key AS key, {_BLOCK} AS bl FROM wells), n AS (SELECT *, row_number() OVER (ORDER BY key, id) AS n, count(*) OVER (PARTITION BY bl) AS size, row_number() OVER (PARTITION BY bl ORDER BY key, id) AS q, row_number() OVER (PARTITION BY bl ORDER BY reverse(key), id) AS r, row_number() OVER (PARTITION BY bl ORDER BY regexp_replace(key, '[AEIOU]', '', 'g'), id) AS v FROM w),
+ m AS (SELECT a.id AS a, b.id AS b, a.key AS ka, b.key AS kb, a.uwi = b.uwi AS same, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 5 AS near FROM n a JOIN n b ON a.id < b.id AND (abs(a.n - b.n) <= 3 OR a.bl = b.bl AND (a.size <= 200 OR abs(a.q - b.q) <= 6 OR abs(a.r - b.r) <= 6 OR abs(a.v - b.v) <= 6))),
+ pr AS (SELECT row_number() OVER () AS pid, ka, kb FROM (SELECT DISTINCT ka, kb FROM m)), {pair_ratio('pr')}, {_SIM}
+ SELECT a, b, round(least(1.0, CASE WHEN same THEN 1.0 ELSE sim END + CASE WHEN near THEN 0.08 ELSE 0 END), 6) AS score FROM m JOIN sim USING (ka, kb) WHERE score >= 0.72 ORDER BY score DESC, a, b LIMIT 100""",
     "join05_sources_with_rows": f"WITH {PM} SELECT id, filename FROM sources WHERE id IN (SELECT source_id FROM pm)",
     "join01_rows_by_kind": f"WITH {PM}, {SRC} SELECT kind, count(*) AS n, count(DISTINCT well_key) AS wells FROM pm JOIN src ON src.id = pm.source_id GROUP BY kind",
     "join04_not_catalogued": f"WITH {FILES} SELECT id FROM sources WHERE file_path IS NOT NULL AND lower(file_path) NOT IN (SELECT lower(path) FROM ct WHERE kind <> 'production')",
@@ -215,5 +235,5 @@ ORACLE = {
     "sc32_signature": f"WITH {FILES} SELECT folder, sha256(string_agg(path || ':' || size, ';' ORDER BY path || ':' || size)) AS signature FROM ct GROUP BY folder",
     "sc36_angles": "SELECT event_id, round(((event_id * 7.5 + 180) - 360 * floor((event_id * 7.5 + 180) / 360)) - 180, 6) AS signed, round((event_id * -7.5) - 360 * floor((event_id * -7.5) / 360), 6) AS whole FROM events",
 }
-_EXACT = ("join21_multi_key_pairs", "agg30_coordinate_overlaps", "agg06_type_coverage", "mdl36_focus")  # rounded inside their operators
+_EXACT = ("mdl37_identity_suggestions", "sc06_identity_similarity", "sc07_match_score", "agg30_coordinate_overlaps", "agg06_type_coverage", "mdl36_focus")  # rounded inside their operators
 ORACLE = {k: v if k in _EXACT else rounding_alike(v) for k, v in ORACLE.items()}
