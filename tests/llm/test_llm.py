@@ -80,7 +80,18 @@ def test_well_survivors(spark):
     assert got == {(7, "kb_elevation", 1), (7, "total_depth", 2), (7, "preferred_source_id", 2)}
     assert golden.well_survivors(m.limit(0), _sources(spark), _trust(spark)).count() == 0
     wide = golden.golden_wells(m, _sources(spark), _trust(spark)).collect()
-    assert [(r["well_id"], r["kb_elevation"], r["total_depth"], r["x"]) for r in wide] == [(7, 100.0, 3010.0, 1.0)]
+    assert [(r["well_id"], r["kb_elevation"], r["total_depth"], r["x"], r["preferred_source_id"]) for r in wide] == [(7, 100.0, 3010.0, 1.0, 1)]
+
+
+def test_preferred_source_depends_on_the_chosen(spark):
+    # source 1 is the most trusted, but only a far-off value comes from it; the preferred one is of the chosen
+    rows = [(i, 7, src, "A", None, None, None, None, kb, td, None, None) for i, src, kb, td in ((1, 2, 100.0, None), (2, 3, 100.5, 3000.0), (3, 2, 101.0, None), (4, 1, 900.0, None), (5, 3, None, 3001.0))]
+    got = {tuple(r) for r in golden.well_survivors(spark.createDataFrame(rows, MENTION), _sources(spark), _trust(spark)).collect()}
+    assert got == {(7, "kb_elevation", 3), (7, "total_depth", 5), (7, "preferred_source_id", 3)}
+    # a search that may not have its best preferred source takes the next one that fits
+    kb, td = [((-1, 0, 5), {"kb_import": "2"})], [((-2, 0, 6), {"td_import": "3"})]
+    preferred = [((0, 0, 9), {"kb_import": "9"}), ((-2, 0, 6), {"td_import": "3"}), ((-1, 0, 5), {"kb_import": "2"})]
+    assert golden.best_bundles({"kb": kb, "td": td, "preferred": preferred}) == {"kb": 0, "td": 0, "preferred": 2}
 
 
 def test_source_types(spark):

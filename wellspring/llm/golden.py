@@ -103,58 +103,80 @@ def survivors(candidates: DataFrame, determinants: tuple[str, ...] = ()) -> Data
     return groups.select("entity", F.explode(_choose("rows")).alias("c")).select("entity", "c.bundle", "c.record_id")
 
 
-def _trusted_mentions(mentions: DataFrame, sources: DataFrame, trust: DataFrame, least_rows: int) -> DataFrame:
-    """Mentions of wells with several of them, with the state and trust of their
-    import. Sources join by equality; the trust list is fixed (one row a type)."""
+def _trusted_mentions(mentions: DataFrame, sources: DataFrame, trust: DataFrame) -> DataFrame:
+    """Mentions of wells with the state and trust of their import.
+    Sources join by equality; the trust list is fixed (one row a type)."""
     imports = sources.select(F.col("id").alias("source_id"), "status", F.unix_micros("imported_at").alias("recency"), source_type(F.col("data_type")).alias("type"))
     imports = imports.join(F.broadcast(trust.select(F.col("data_type").alias("type"), "trust_rank")), "type", "left")
-    rows = mentions.where("well_id is not null")
-    several = rows.groupBy("well_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).select("well_id")
-    unknown = 1 << 20
-    return rows.join(several, "well_id").join(imports, "source_id", "left").withColumns(
-        {"rank": F.coalesce("trust_rank", F.lit(unknown)), "recency": F.coalesce("recency", F.lit(-(1 << 62))), "ready": F.coalesce(F.col("status") == "ready", F.lit(False))}
+    rows = mentions.where("well_id is not null").join(imports, "source_id", "left")
+    return rows.withColumns(
+        {"rank": F.coalesce("trust_rank", F.lit(1 << 20)), "recency": F.coalesce("recency", F.lit(-(1 << 62))), "ready": F.coalesce(F.col("status") == "ready", F.lit(False))}
     )
 
 
-def _measured(rows: DataFrame, field: str, priority: int) -> DataFrame:
-    """Candidates of one measured field: present, no placeholder, and within a
-    fifth of the middle of the well's values that are no placeholders."""
-    v = F.when(~F.isnan(field) & ~F.col(field).isin(*PLACEHOLDERS), F.col(field))
-    middle = rows.groupBy("well_id").agg(F.percentile(v, 0.5).alias("mid")).where("mid is not null")
-    fits = F.abs(v - F.col("mid")) <= F.abs(F.col("mid")) * 0.2 + 1e-9
-    return rows.join(middle, "well_id").where(F.col("ready") & fits).select(
-        F.col("well_id").alias("entity"), F.lit(field).alias("bundle"), F.lit(priority).alias("priority"), F.col("id").alias("record_id"), "rank", "recency"
-    )
+def _middles(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """rows with the number of their well's mentions and the middle of each field over
+    the well's values that are no placeholders, as <field>_mid, in one aggregation."""
+    good = {c: F.when(~F.isnan(c) & ~F.col(c).isin(*PLACEHOLDERS), F.col(c)) for c in fields}
+    return rows.join(rows.groupBy("well_id").agg(F.count("*").alias("mentions"), *[F.percentile(good[c], 0.5).alias(f"{c}_mid") for c in fields]), "well_id")
+
+
+def _usable(field: str) -> Column:
+    """Present, no placeholder, and within a fifth of the middle."""
+    mid = F.col(f"{field}_mid")
+    return F.coalesce(F.col("ready") & ~F.isnan(field) & ~F.col(field).isin(*PLACEHOLDERS) & (F.abs(F.col(field) - mid) <= F.abs(mid) * 0.2 + 1e-9), F.lit(False))
+
+
+def _offer(bundle: str, priority: int, usable: Column, **stated: Column) -> Column:
+    """A candidate of a bundle with what it states, or null where it is not usable."""
+    said = [(stated[d] if d in stated else F.lit(None)).cast("string").alias(d) for d in DETERMINANTS]
+    return F.when(usable, F.struct(F.lit(bundle).alias("bundle"), F.lit(priority).alias("priority"), *said))
+
+
+# what candidates state: the imports that elevation and depth come from, and the identifier
+DETERMINANTS = ("kb_import", "td_import", "uwi_key")
+
+
+def _offered(rows: DataFrame, offers: list[Column]) -> DataFrame:
+    each = rows.select(F.col("well_id").alias("entity"), F.col("id").alias("record_id"), "rank", "recency", F.explode(F.array_compact(F.array(*offers))).alias("o"))
+    return each.select("entity", "record_id", "rank", "recency", "o.*")
+
+
+def _measured() -> list[Column]:
+    """Candidates of elevation, depth and the preferred source. The preferred source
+    depends on the other two: it states the import that one of them must come from, and
+    within an import a mention usable for that field is the one that field survives from."""
+    kb, td, at = _usable("kb_elevation"), _usable("total_depth"), F.col("source_id")
+    return [
+        _offer("kb_elevation", 1, kb, kb_import=at), _offer("total_depth", 2, td, td_import=at),
+        _offer("preferred_source_id", 3, kb, kb_import=at), _offer("preferred_source_id", 3, td, td_import=at),
+    ]
 
 
 def well_survivors(mentions: DataFrame, sources: DataFrame, trust: DataFrame) -> DataFrame:
     """p2_found: well_id, field_name, mention_id of kb_elevation, total_depth and
-    preferred_source_id of every well with at least two mentions."""
-    rows = _trusted_mentions(mentions.select("id", "well_id", "source_id", "kb_elevation", "total_depth"), sources, trust, 2)
-    candidates = _measured(rows, "kb_elevation", 1).unionByName(_measured(rows, "total_depth", 2))
-    # the preferred source is a bundle of its own: any candidate mention may give it
-    either = candidates.withColumns({"bundle": F.lit("preferred_source_id"), "priority": F.lit(3)})
-    chosen = survivors(candidates.unionByName(either))
+    preferred_source_id of every well with at least two mentions. The search chooses the
+    three together: the preferred source under the dependency that its mention is one
+    that elevation or depth survives from."""
+    rows = _trusted_mentions(mentions.select("id", "well_id", "source_id", "kb_elevation", "total_depth"), sources, trust)
+    rows = _middles(rows, ("kb_elevation", "total_depth"))
+    chosen = survivors(_offered(rows.where("mentions >= 2"), _measured()), DETERMINANTS)
     return chosen.select(F.col("entity").alias("well_id"), F.col("bundle").alias("field_name"), F.col("record_id").alias("mention_id"))
 
 
 def golden_wells(mentions: DataFrame, sources: DataFrame, trust: DataFrame) -> DataFrame:
-    """One surviving record per well with several mentions: kb_elevation,
-    total_depth, the coordinates (x, y, crs) as one bundle that must not come
-    from a mention of another uwi than the identity bundle (uwi, raw_name)
-    states, and the preferred source."""
+    """One surviving record per well with several mentions: kb_elevation, total_depth
+    and the preferred source as in well_survivors, identity (uwi, raw_name) and place
+    (x, y, crs) as bundles; the place must not come from a mention of another uwi than
+    the identity states. Wells without any usable value have no row."""
     cols = ["id", "well_id", "source_id", "raw_name", "uwi", "x", "y", "crs", "kb_elevation", "total_depth"]
-    rows = _trusted_mentions(mentions.select(*cols), sources, trust, 2)
+    rows = _middles(_trusted_mentions(mentions.select(*cols), sources, trust), ("kb_elevation", "total_depth"))
     uwi = F.nullif(F.rpad(F.regexp_replace("uwi", "[^0-9]", ""), 13, "0"), F.lit("0" * 13))
-    measured = _measured(rows, "kb_elevation", 3).unionByName(_measured(rows, "total_depth", 4)).withColumn("uwi_key", F.lit(None).cast("string"))
-    base = [F.col("well_id").alias("entity"), F.col("id").alias("record_id"), "rank", "recency", uwi.alias("uwi_key")]
-    ready = rows.where("ready")
-    identity = ready.where(uwi.isNotNull()).select(*base, F.lit("identity").alias("bundle"), F.lit(1).alias("priority"))
-    place = ready.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(*base, F.lit("place").alias("bundle"), F.lit(2).alias("priority"))
-    chosen = survivors(measured.unionByName(identity).unionByName(place), ("uwi_key",))
-    wide = chosen.groupBy(F.col("entity").alias("well_id")).agg(*[F.max(F.when(F.col("bundle") == b, F.col("record_id"))).alias(b) for b in ("identity", "place", "kb_elevation", "total_depth")])
-    out = wide
-    for b, fields in (("identity", ["raw_name", "uwi"]), ("place", ["x", "y", "crs"]), ("kb_elevation", ["kb_elevation"]), ("total_depth", ["total_depth"])):
-        from_ = mentions.select(F.col("id").alias(b), *[F.col(c).alias(f"{c}_") for c in fields])
-        out = out.join(from_, b, "left")
-    return out.select("well_id", "raw_name_", "uwi_", "x_", "y_", "crs_", "kb_elevation_", "total_depth_").toDF("well_id", "raw_name", "uwi", "x", "y", "crs", "kb_elevation", "total_depth")
+    located = F.coalesce(F.col("ready") & F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"), F.lit(False))
+    offers = [*_measured(), _offer("identity", 4, F.col("ready") & uwi.isNotNull(), uwi_key=uwi), _offer("place", 5, located, uwi_key=uwi)]
+    chosen = survivors(_offered(rows.where("mentions >= 2"), offers), DETERMINANTS)
+    said = mentions.select(F.col("id").alias("record_id"), *cols[2:]).dropDuplicates(["record_id"])
+    of = lambda bundle, c: F.max(F.when(F.col("bundle") == bundle, F.col(c))).alias(c)
+    fields = {"identity": ("raw_name", "uwi"), "place": ("x", "y", "crs"), "kb_elevation": ("kb_elevation",), "total_depth": ("total_depth",), "preferred_source_id": ("source_id",)}
+    wide = chosen.join(said, "record_id").groupBy(F.col("entity").alias("well_id")).agg(*[of(b, c) for b, cs in fields.items() for c in cs])
+    return wide.withColumnRenamed("source_id", "preferred_source_id")

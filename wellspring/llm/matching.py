@@ -101,7 +101,7 @@ def _codes(letters: DataFrame, known: DataFrame, least_share: float) -> DataFram
     learned = known.groupBy("letters", "code").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(W.partitionBy("letters"))
     seen = learned.select("letters", "code", share.alias("share")).where(F.col("share") >= least_share)
-    full = seen.groupBy("letters").agg(F.collect_set("code").alias("codes"))
+    full = cut(seen.groupBy("letters").agg(F.collect_set("code").alias("codes")))
     cuts = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
     keys = lambda c: F.explode(F.when(F.length(c) > 3, F.array_distinct(F.array_append(cuts(c), c))).otherwise(F.array(F.array_join(F.array_sort(F.split(c, "")), ""))))
     new = letters.select("letters").distinct().join(full, "letters", "left_anti").where("letters <> ''")
@@ -307,7 +307,7 @@ def match(mentions: DataFrame, entities: DataFrame, known: DataFrame, window: in
     fine; ties go to the lower entity id; other columns are ignored.
     """
     scope = F.coalesce(F.col("scope").cast("string"), F.lit("")) if "scope" in mentions.columns else F.lit("")
-    m, e = _features(mentions, "name", scope.alias("scope")), _features(entities, "name").dropDuplicates(["id"])
+    m, e = cut(_features(mentions, "name", scope.alias("scope"))), cut(_features(entities, "name").dropDuplicates(["id"]))
     taught = known.select(F.col("entity_id").alias("id"), _parsed("name").alias("k")).join(e.select("id", F.col("letters").alias("code")), "id")
     taught = taught.where("k.letters is not null and code is not null").groupBy(F.col("k.letters").alias("letters"), "code").agg(F.count("*").alias("n"))
     itself = e.where("letters is not null").groupBy("letters").agg(F.count("*").alias("n")).select("letters", F.col("letters").alias("code"), "n")
@@ -318,7 +318,8 @@ def match(mentions: DataFrame, entities: DataFrame, known: DataFrame, window: in
     right = e.select(F.col("id").alias("entity_id"), *[F.col(c).alias(f"e_{c}") for c in ("letters", "number", "side", "uwi", "x", "y")])
     scored = pairs.join(right, "entity_id").join(left.dropDuplicates(["mention_id"]), "mention_id")
     said = F.struct(F.coalesce(F.array_min("m_codes"), "m_letters"), "m_number", "m_side", F.when(F.col("m_number").isNull(), F.struct("m_uwi", "m_x", "m_y")))
-    scored = scored.select("mention_id", "scope", said.alias("said"), "entity_id", F.round(_confidence(scored), 6).alias("confidence")).where(F.col("confidence") >= least)
+    scored = scored.select("mention_id", "scope", said.alias("said"), "entity_id", F.round(_confidence(scored), 6).alias("confidence"))
+    scored = cut(scored.where(F.col("confidence") >= least))
     best = scored.groupBy("mention_id").agg(F.max(F.struct("confidence", (-F.col("entity_id")).alias("e"))).alias("b")).select("mention_id", F.col("b.e").alias("best"))
     scored = cut(scored.join(best, "mention_id").withColumn("part", F.xxhash64("scope", "said", "best")).drop("said", "best"))
     given = assign(scored.groupBy("part", "scope", "entity_id").agg(F.max("confidence").alias("confidence")))
