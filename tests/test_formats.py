@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from wellspring.sources import binary_formats as bf
+from wellspring.sources import seismic
 from wellspring.sources import sinks
 from wellspring.sources import text_formats as tf
 
@@ -67,27 +68,61 @@ def test_perforations(spark):
     assert [(r["well"], str(r["day"]), r["thickness"], r["not_positive"]) for r in out] == [("A", "2001-02-03", 2.0, False), ("B", "2002-04-03", 0.0, True)]
 
 
-def test_segy(spark, tmp_path):
-    n, traces = 4, [(1, 10, 100, 200), (1, 11, 110, 200), (2, 10, 100, 210)]
+def _segy(text, traces, code=5, extended=0, encoding="cp500", cut=0):
+    """A file of traces (fields by place, samples)."""
     binary = bytearray(400)
-    struct.pack_into(">h", binary, 16, 2000)
-    struct.pack_into(">h", binary, 20, n)
-    struct.pack_into(">h", binary, 24, 5)
-    body = b""
-    for i, c, x, y in traces:
+    for at, v in ((16, 2000), (20, len(traces[0][1])), (24, code)):
+        struct.pack_into(">H", binary, at, v)
+    struct.pack_into(">h", binary, 304, extended)
+    out = text.ljust(3200).encode(encoding) + bytes(binary) + b" " * 3200 * max(extended, 0)
+    for fields, samples in traces:
         h = bytearray(240)
-        struct.pack_into(">h", h, 70, -10)
-        for at, v in zip((188, 192, 180, 184), (i, c, x * 10, y * 10)):
-            struct.pack_into(">i", h, at, v)
-        body += bytes(h) + np.array([i, c, 0.5, -1], ">f4").tobytes()
-    (tmp_path / "a.sgy").write_bytes(b" " * 3200 + bytes(binary) + body)
-    out = bf.segy_traces(spark, str(tmp_path), True).orderBy("trace").collect()
-    assert [(r["inline"], r["crossline"], r["x"], r["y"]) for r in out] == [(i, c, float(x), float(y)) for i, c, x, y in traces]
-    assert out[1]["v"] == [1.0, 11.0, 0.5, -1.0] and out[0]["exact"] and out[0]["layout"] == "rev1"
-
-
-def test_hexadecimal_floats():
-    assert bf.decode_samples(bytes.fromhex("42640000c276a00041100000"), 1).tolist() == [100.0, -118.625, 1.0]
+        for (at, kind), v in fields.items():
+            struct.pack_into(">" + kind, h, at - 1, v)
+        struct.pack_into(">H", h, 114, len(samples))
+        out += bytes(h) + np.array(samples, ">f4").tobytes()
+    return out[: len(out) - cut]
+
+
+def test_segy_of_the_standard_layout(spark, tmp_path):
+    places = [(1, 10, 100, 200), (1, 11, 110, 200), (2, 10, 100, 210), (2, 11, 110, 210)]
+    traces = [({(71, "h"): -10, (189, "i"): i, (193, "i"): c, (181, "i"): x * 10, (185, "i"): y * 10, (109, "h"): 4}, [i, c, 0.5, -1]) for i, c, x, y in places]
+    (tmp_path / "a.sgy").write_bytes(_segy("C01 plain", traces, extended=1, encoding="ascii"))
+    out = seismic.segy_traces(spark, str(tmp_path), True, each=3).orderBy("trace").collect()
+    assert [(r["trace"], r["inline"], r["crossline"], r["x"], r["y"]) for r in out] == [(k, i, c, float(x), float(y)) for k, (i, c, x, y) in enumerate(places)]
+    assert out[1]["v"] == [1.0, 11.0, 0.5, -1.0] and out[0]["layout"] == "segy_rev1"
+    f = seismic.segy_files(spark, str(tmp_path)).first()
+    assert (f["traces"], f["exact"], f["step_us"], f["code"]) == (4, True, 2000, 5)
+    s = seismic.segy_scan(spark, str(tmp_path)).first()
+    assert (s["dimension"], s["trace_count"], s["x_min"], s["x_max"], s["inline_max"], s["warnings"]) == ("3D", 4, 100.0, 110.0, 2, "")
+    assert s["footprint_area"] == pytest.approx(100) and (s["delay_ms_min"], s["end_ms_max"]) == (4, 10.0)
+    assert (s["inline_spacing"], s["crossline_spacing"]) == (10.0, 10.0)
+
+
+def test_segy_with_line_numbers_before_coordinates(spark, tmp_path):
+    lines = [(i, c) for i in (310, 311) for c in (4100, 4102)]
+    traces = [({(71, "h"): -100, (181, "i"): i, (185, "i"): c, (189, "i"): (700_000 + c * 20) * 100, (193, "i"): (3_100_000 + i * 25) * 100}, [1.0]) for i, c in lines]
+    (tmp_path / "b.segy").write_bytes(_segy("C01 SURVEY: NEAR 3D".ljust(80) + "C02 RANGE OF INLINE: 310-311 RANGE OF XLINE: 4100-4102", traces))
+    s = seismic.segy_scan(spark, str(tmp_path)).first()
+    assert (s["layout"], s["dimension"], s["inline_min"], s["crossline_max"]) == ("petrel_pep_swapped", "3D", 310, 4102)
+    assert (s["inline_spacing"], s["crossline_spacing"]) == (25.0, 20.0) and s["text_preview"].startswith("C01 SURVEY: NEAR 3D")
+
+
+def test_segy_line_without_line_numbers(spark, tmp_path):
+    traces = [({(73, "i"): 610_000 + k * 30, (77, "i"): 2_000_000, (189, "i"): 610_000 + k * 30, (193, "i"): 2_000_000}, [1.0, 2.0]) for k in range(5)]
+    (tmp_path / "c.sgy").write_bytes(_segy("C01 LINEA 2D: EAST", traces))
+    (tmp_path / "d.sgy").write_bytes(_segy("C01 LINEA 2D: EAST", [*traces, ({}, [1.0])], cut=2))  # other lengths, cut off
+    (tmp_path / "e.sgy").write_bytes(b"x")
+    s = {r["path"][-5]: r for r in seismic.segy_scan(spark, str(tmp_path)).collect()}
+    assert (s["c"]["layout"], s["c"]["dimension"], s["c"]["inline_min"], s["c"]["x_max"], s["c"]["inline_spacing"]) == ("source_xy_2d", "2D", None, 610_120.0, None)
+    assert s["d"]["trace_count"] == 6 and "cut off" in s["d"]["warnings"] and s["e"]["trace_count"] is None and "shorter" in s["e"]["warnings"]
+
+
+def test_sample_formats():
+    assert seismic.decode_samples(bytes.fromhex("42640000c276a00041100000"), 1).tolist() == [100.0, -118.625, 1.0]
+    assert seismic.decode_samples(bytes.fromhex("ffffff00000100007f"), 7).tolist() == [-1.0, 1.0, 127.0]
+    assert seismic.decode_samples(bytes.fromhex("ffffff000001"), 15).tolist() == [2.0**24 - 1, 1.0]
+    assert seismic.decode_samples(np.array([1, -2], ">i8").tobytes(), 9).tolist() == [1.0, -2.0]
 
 
 def test_polygons(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""Binary and structured formats: SEG-Y, shapefile polygons, GeoJSON, workbooks, delimited text."""
+"""Binary and structured formats: shapefile polygons, GeoJSON, workbooks, delimited text."""
 
 from __future__ import annotations
 
@@ -15,54 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wellspring.sources.files import decoded, parsed
 
-# fixed values: bytes per sample of the format codes, and their NumPy types
-SAMPLE_BYTES = {1: 4, 2: 4, 3: 2, 5: 4, 6: 8, 8: 1, 9: 8, 10: 4, 11: 2, 12: 8, 16: 1}
-_KINDS = {2: ">i4", 3: ">i2", 5: ">f4", 6: ">f8", 8: "i1", 9: ">i8", 10: ">u4", 11: ">u2", 12: ">u8", 16: "u1"}
-# fixed values: byte places (from 1) of inline, crossline, x, y in common layouts
-LAYOUTS = {"rev1": (189, 193, 181, 185), "swapped": (193, 189, 181, 185), "sp_cdp": (17, 21, 73, 77), "field": (9, 21, 73, 77), "source": (189, 193, 73, 77), "ensemble": (21, 25, 181, 185)}
-
-
-def decode_samples(raw: bytes, code: int) -> np.ndarray:
-    """SRC29: samples of a trace; code 1 is the hexadecimal float."""
-    if code != 1:
-        return np.frombuffer(raw, _KINDS[code]).astype(float)
-    u = np.frombuffer(raw, ">u4").astype(np.uint64)
-    sign = np.where(u >> np.uint64(31), -1.0, 1.0)
-    power = ((u >> np.uint64(24)) & np.uint64(0x7F)).astype(float) - 64
-    return sign * (u & np.uint64(0xFFFFFF)).astype(float) / 2**24 * 16.0**power
-
-
-def segy_layout(headers: list[bytes]) -> str:
-    """SRC27: the layout under which line numbers and places vary most plausibly."""
-    def score(name: str) -> tuple:
-        i, c, x, y = (np.array([struct.unpack(">i", h[p - 1 : p + 3])[0] for h in headers]) for p in LAYOUTS[name])
-        sane = [0 < len(np.unique(v)) and np.abs(v).max() < 1e9 and (v != 0).mean() > 0.9 for v in (i, c, x, y)]
-        steady = np.mean(np.diff(i) == 0) if len(i) > 1 else 0
-        return (sum(sane), len(np.unique(c)) > 1, steady)
-
-    return max(LAYOUTS, key=score)
-
-
-def segy_traces(spark: SparkSession, path: str, with_samples: bool = False) -> DataFrame:
-    """SRC26, SRC28: one row per trace: numbers, scaled place, samples if asked for."""
-
-    def rows(p: str, content: bytes) -> list[dict]:
-        step, n, code = (struct.unpack(">h", content[3200 + at : 3202 + at])[0] for at in (16, 20, 24))
-        size = 240 + n * SAMPLE_BYTES[code]
-        count = (len(content) - 3600) // size
-        heads = [content[3600 + k * size : 3840 + k * size] for k in range(count)]
-        layout = segy_layout(heads[:512])
-        out = []
-        for k, h in enumerate(heads):
-            i, c, x, y = (struct.unpack(">i", h[b - 1 : b + 3])[0] for b in LAYOUTS[layout])
-            s = struct.unpack(">h", h[70:72])[0]
-            f = float(s) if s > 0 else 1 / -s if s < 0 else 1.0
-            raw = content[3840 + k * size : 3600 + (k + 1) * size]
-            out.append({"path": p, "trace": k, "inline": i, "crossline": c, "x": x * f, "y": y * f, "samples": n, "step_us": step, "layout": layout, "exact": (len(content) - 3600) % size == 0, "v": decode_samples(raw, code).tolist() if with_samples else None})
-        return out
-
-    return parsed(spark, path, "*.{sgy,segy,SGY,SEGY}", rows, "path string, trace long, inline int, crossline int, x double, y double, samples int, step_us int, layout string, exact boolean, v array<double>")
-
 
 def shapefile_rings(spark: SparkSession, path: str) -> DataFrame:
     """SRC25: ring points (path, polygon, ring, seq, x, y) of polygon shapes, and of
