@@ -57,9 +57,9 @@ def test_two_high_and_two_low_producers(spark):
     c = {r["well"]: r["cluster"] for r in out.collect()}
     assert c["a"] == c["b"] != c["c"] == c["d"] and history == sorted(history, reverse=True)
     assert clustering.silhouette(out, "well").first()["silhouette"] > 0.5
-    ranks = {r["well"]: r["rank"] for r in clustering.ranked(out, centres, [1, 1]).collect()}
-    assert ranks["c"] == 1 and ranks["a"] == 2
-    s = {r["well"]: r["cluster"] for r in clustering.som(z, "well", 2, 10).collect()}
+    rank = {r["well"]: r["rank"] for r in clustering.ranked(out, centres, [1, 1]).collect()}
+    assert rank["c"] == 1 and rank["a"] == 2
+    s = {r["well"]: r["cluster"] for r in clustering.som(z, "well", 2, 10)[0].collect()}
     assert s["a"] == s["b"] != s["c"]
 
 
@@ -97,3 +97,28 @@ def test_neighbours_cross_partitions(spark):
     rows = spark.createDataFrame([(i, f"n{i:03d}") for i in range(50)], "id long, name string")
     got = {tuple(r) for r in wells.next_in_order(rows, ["name"], 3).collect()}
     assert got == {(i, j) for i in range(50) for j in range(i + 1, min(i + 4, 50))}
+
+
+def test_curve_types_and_decisions(spark):
+    said = [("LLD", None, "resistivity_deep"), ("ILM", None, "resistivity_medium"), ("MSFL", "", "resistivity_shallow"), ("RLL8", None, "laterolog"), ("gr_edit", None, "gamma_ray"), ("GRAPE", None, None), ("X1", "Natural gamma", "gamma_ray"), ("Y", "deep resistivity", "laterolog"), ("DENS2", None, "density"), (None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(said)], "id int, mnemonic string, description string, want string")
+    for r in df.select("*", curves.curve_rules(F.col("mnemonic"), F.col("description")).alias("got")).collect():
+        assert (r["got"] and r["got"]["type"]) == r["want"], r
+    types = spark.createDataFrame([("gamma_ray", "GR", "GR", 1), ("porosity", "P", None, 1)], "type_key string, name string, role string, created_at int")
+    new = spark.createDataFrame([("Effective Porosity!", "porosity", 2), ("Porosity", "", 3), ("孔", None, 4)], "name string, role string, created_at int")
+    assert [r["type_key"] for r in curves.created_types(types, new).orderBy("created_at", "type_key").collect()] == ["gamma_ray", "porosity", "porosity_2", "porosity_3", "custom"]
+    had = spark.createDataFrame([("GR", "gamma_ray", "automatic", 1), ("RT", "porosity", "automatic", 1)], "mnemonic string, type_key string, status string, updated_at int")
+    decided = spark.createDataFrame([("gr", "porosity", 2), ("gr", "gamma_ray", 3), ("RT", None, 2), ("SP", "no such type", 2)], "mnemonic string, type_key string, updated_at int")
+    now = curves.assigned(had, decided, types)
+    assert {tuple(r)[:3] for r in now.collect()} == {("GR", "gamma_ray", "confirmed"), ("RT", "unclassified", "confirmed")}
+    rivals = spark.createDataFrame([("GR", "phi"), ("RT", "phi"), ("K", "perm")], "mnemonic string, type_key string")
+    assert {r["mnemonic"] for r in curves.without_rivals(rivals, now).collect()} == {"RT", "K"}
+
+
+def test_focus_prefers_long_complete_curves(spark):
+    schema = "id long, well_id long, mnemonic string, description string, unit string, sample_count long, start double, stop double, step double, value_min double, value_max double"
+    rows = [(1, 7, "GR", None, "API", 1001, 0.0, 100.0, 0.1, 0.0, 9.0), (2, 7, "GRC", None, "gapi", 500, 0.0, 50.0, 0.1, 0.0, 9.0), (3, 7, "SGR", None, None, None, 0.0, 100.0, None, None, None), (4, 7, "TWT", None, "ms", 9, 0.0, 1.0, 0.1, 0.0, 1.0), (5, 8, "CGR", None, "API", None, None, None, 0.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, schema)
+    assert {tuple(r) for r in curves.focus(df).collect()} == {(7, "gamma_ray", 1, 100.0, 3), (8, "gamma_ray", 5, 24.7, 1)}
+    decided = spark.createDataFrame([(7, "gamma_ray", 3, [1])], "well_id long, curve_type string, id long, excluded array<long>")
+    assert {(r["well_id"], r["curve_id"], r["candidates"]) for r in curves.focus(df, decided).collect()} == {(7, 3, 2), (8, 5, 1)}

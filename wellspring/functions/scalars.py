@@ -13,7 +13,7 @@ FOOT = 0.3048
 BARRELS_PER_M3 = 6.28981077
 GAS_PER_BOE = 6000.0
 SENTINELS = (-999.25, -999.0, -9999.0, -9999.25, -99999.0, 999.25, 9999.0)
-TIME_DEPTH_PREFIXES = ("TWT", "OWT", "TIME", "TVT", "TDR")
+TIME_DEPTH_PREFIXES = ("ONEWAYTIME", "OWT", "TWT", "GENERALTIME", "VELOCITY")
 
 
 def layer_key(name: Column) -> Column:

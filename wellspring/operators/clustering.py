@@ -7,31 +7,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wellspring.operators.ranks import quantiles
 from wellspring.tables import cut
 
 
 def standardised(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
     """MDL18: z-scores (population deviation, 1 where there is none) as one array;
     mean and deviation over known values, unknown ones take the median."""
-    s = rows.agg(*[F.percentile(n, 0.5).alias(f"m_{n}") for n in names], *[F.avg(n).alias(f"a_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
+    middle = quantiles(rows.select(*names).unpivot([], names, "feature", "value"), "value", [0.5], ("feature",))
+    m = middle.agg(*[F.max(F.when(F.col("feature") == n, F.col("p")[0])).alias(f"m_{n}") for n in names])
+    s = rows.agg(*[F.avg(n).alias(f"a_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).crossJoin(m)  # one row each
     z = lambda n: (F.coalesce(F.col(n), F.col(f"m_{n}")) - F.col(f"a_{n}")) / F.when(F.col(f"s_{n}") > 0, F.col(f"s_{n}")).otherwise(1.0)
     return rows.crossJoin(s).select(key, F.array(*[z(n) for n in names]).alias("v"))  # one row of statistics
 
 
-def _squared(centres: list[list[float]], v: Column) -> Column:
-    """Array of squared distances from v to each centre."""
-    one = lambda c: F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return F.array(*[one(c) for c in centres])
+def _numbered(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre (the lowest of equal ones) and squared distance."""
+    d = np.stack([((v - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    n = d.argmin(axis=1)
+    return n, d[np.arange(len(v)), n]
 
 
 def nearest(rows: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """Number of the nearest centre (the lowest of equal ones) and its distance."""
-    d = rows.withColumn("d2", _squared(centres, F.col("v")))
-    return d.withColumns({"cluster": (F.array_position("d2", F.array_min("d2")) - 1).cast("int"), "near2": F.array_min("d2")}).drop("d2")
+    """Rows (..., v) with the number of the nearest centre and its squared distance."""
+    at = np.array(centres, float)
+
+    @F.pandas_udf("cluster int, near2 double")
+    def one(v: pd.Series) -> pd.DataFrame:
+        n, d = _numbered(np.array(v.tolist(), float).reshape(len(v), -1), at)
+        return pd.DataFrame({"cluster": n, "near2": d})
+
+    return rows.withColumn("_n", one("v")).select("*", "_n.cluster", "_n.near2").drop("_n")
+
+
+def _sums(rows: DataFrame, centres: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Per centre the number and sum of the rows nearest to it, and the sums of squared
+    and plain distances, in one scan; a row a partition and centre reaches the driver."""
+    at = np.array(centres, float)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, e, d = np.zeros(len(at), np.int64), np.zeros(at.shape), 0.0, 0.0
+        for b in batches:
+            v = np.array(b["v"].tolist(), float).reshape(len(b), -1)
+            if len(v):
+                c, near = _numbered(v, at)
+                np.add.at(n, c, 1)
+                np.add.at(total, c, v)
+                e, d = e + near.sum(), d + np.sqrt(near).sum()
+        yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "n": [n.tolist()], "s": [total.ravel().tolist()], "e": [e], "d": [d]})
+
+    got = sorted(rows.select("v").mapInPandas(scan, "pid int, n array<long>, s array<double>, e double, d double").collect(), key=lambda r: r["pid"])
+    return sum(np.array(r["n"]) for r in got), sum(np.array(r["s"]).reshape(at.shape) for r in got), sum(r["e"] for r in got), sum(r["d"] for r in got)
 
 
 def farthest_centres(rows: DataFrame, key: str, k: int) -> list[list[float]]:
@@ -39,8 +70,8 @@ def farthest_centres(rows: DataFrame, key: str, k: int) -> list[list[float]]:
     the seeds so far; ties go to the lowest key. One aggregation per seed."""
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
     first = rows.agg(F.min_by("v", F.struct(total, key)).alias("v")).first()["v"]
-    centres = [list(first)]
-    while len(centres) < k:
+    centres = [list(first)] if first else []
+    while first and len(centres) < k:
         far = nearest(rows, centres).agg(F.min_by("v", F.struct(-F.col("near2"), F.col(key))).alias("v")).first()["v"]
         centres.append(list(far))
     return centres
@@ -49,48 +80,74 @@ def farthest_centres(rows: DataFrame, key: str, k: int) -> list[list[float]]:
 def kmeans(rows: DataFrame, key: str, k: int, most: int = 100) -> tuple[DataFrame, list[list[float]], list[float]]:
     """MDL19: Lloyd's iterations from farthest seeds over rows (key, v) until the
     centres repeat; an empty cluster keeps its centre. Every iteration is one
-    scan with map-side sums; only centres reach the driver. Gives the rows with
-    their cluster, the centres and the inertia of each round."""
+    scan with sums per partition; only those reach the driver. Gives the rows with
+    their cluster, the centres and the inertia of each round. An empty table has no
+    centres and gives no rows."""
     kept = cut(rows.select(key, "v"))
     centres, history = farthest_centres(kept, key, k), []
-    size = len(centres[0])
+    if not centres:
+        return kept.withColumn("cluster", F.lit(0)), [], []
     for _ in range(most):
-        got = nearest(kept, centres).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("near2").alias("e"), *[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(size)]).collect()
-        history.append(round(sum(r["e"] for r in got), 6))
-        new = [list(c) for c in centres]
-        for r in got:
-            new[r["cluster"]] = [r[f"s{i}"] / r["n"] for i in range(size)]
+        n, total, e, _ = _sums(kept, centres)
+        history.append(round(e, 6))
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
         if np.allclose(new, centres, rtol=0, atol=1e-12):
             break
-        centres = new
+        centres = new.tolist()
     return nearest(kept, centres).select(key, "v", "cluster"), centres, history
 
 
-def som(rows: DataFrame, key: str, k: int, epochs: int = 20, ring: bool = False) -> DataFrame:
-    """MDL20: one-dimensional self-organising map. The updates depend on each other
-    row by row; partitions train maps of their own from common seeds, which are
-    averaged by rows after each epoch, so no task holds all rows."""
-    kept = cut(rows.select(key, "v"))
-    centres = np.array(sorted(farthest_centres(kept, key, k), key=sum))
-    size = centres.shape[1]
-    for e in range(epochs):
-        rate, radius = 0.5 * np.exp(-3 * e / epochs), max(k / 2 * np.exp(-3 * e / epochs), 0.3)
+def _schedule(epoch: int, epochs: int, k: int, rate: float, radius: float | None) -> tuple[float, float]:
+    """Rate and radius of an epoch: both fall by e to the third; the radius to .15 at least."""
+    fall = np.exp(-3.0 * epoch / max(1, epochs - 1))
+    return max(0.01, min(1.0, rate)) * fall, max(0.15, max(0.5, max(1.0, k / 2) if radius is None else radius) * fall)
+
+
+def _influence(k: int, radius: float, ring: bool) -> np.ndarray:
+    """How far a row of one neuron moves each neuron."""
+    d = np.abs(np.arange(k)[:, None] - np.arange(k)[None, :])
+    d = np.minimum(d, k - d) if ring else d
+    return np.exp(-(d**2) / (2 * radius * radius))
 
-        def train(batches: Iterator[pd.DataFrame], start=centres, rate=rate, radius=radius) -> Iterator[pd.DataFrame]:
-            c, n = start.copy(), 0
-            for b in batches:
-                for v in b["v"]:
-                    d = np.abs(np.arange(k) - np.argmin(((c - v) ** 2).sum(axis=1)))
-                    d = np.minimum(d, k - d) if ring else d
-                    c += rate * np.exp(-((d / radius) ** 2) / 2)[:, None] * (np.asarray(v) - c)
-                    n += 1
-            if n:
-                yield pd.DataFrame({"n": [n], "c": [c.ravel().tolist()]})
 
-        got = kept.mapInPandas(train, "n long, c array<double>").agg(F.sum("n").alias("n"), *[F.sum(F.col("c")[i] * F.col("n")).alias(f"s{i}") for i in range(k * size)]).first()
-        if got["n"]:
-            centres = np.array([got[f"s{i}"] / got["n"] for i in range(k * size)]).reshape(k, size)
-    return nearest(kept, centres.tolist()).select(key, "cluster")
+def som(rows: DataFrame, key: str, k: int, epochs: int = 20, ring: bool = False, radius: float | None = None) -> tuple[DataFrame, list[list[float]], list[float]]:
+    """MDL20: one-dimensional self-organising map in its batch form: each epoch (5 to
+    500) moves every neuron to the mean of all rows, weighted by the influence of their
+    winners. One scan an epoch; the result does not depend on partitions or the order of
+    rows. Gives rows with their cluster, the neurons and the mean distance of each epoch.
+    online_som is the form that moves row by row."""
+    kept = cut(rows.select(key, "v"))
+    centres, history, epochs = farthest_centres(kept, key, k), [], max(5, min(epochs, 500))
+    if not centres:
+        return kept.select(key, F.lit(0).alias("cluster")), [], []
+    n, total, _, _ = _sums(kept, centres)
+    for e in range(epochs):
+        h = _influence(k, _schedule(e, epochs, k, 1.0, radius)[1], ring)
+        weight = h.T @ n
+        centres = np.where(weight[:, None] > 1e-300, (h.T @ total) / np.maximum(weight, 1e-300)[:, None], centres).tolist()
+        n, total, _, d = _sums(kept, centres)
+        history.append(round(d / max(1, n.sum()), 6))
+    return nearest(kept, centres).select(key, "cluster"), centres, history
+
+
+def online_som(rows: DataFrame, key: str, k: int, epochs: int = 20, ring: bool = False, rate: float = 0.45, radius: float | None = None) -> tuple[DataFrame, list[list[float]], list[float]]:
+    """MDL20: the map that moves after every row, in the order of the key. Every row
+    depends on the one before, so the rows stream through the driver, a partition at a
+    time, once an epoch: for tables of a size a person would train on."""
+    kept = cut(rows.select(key, "v").orderBy(key))
+    seeds, history, epochs = farthest_centres(kept, key, k), [], max(5, min(epochs, 500))
+    if not seeds:
+        return kept.select(key, F.lit(0).alias("cluster")), [], []
+    at = np.array(seeds, float)
+    for e in range(epochs):
+        speed, reach = _schedule(e, epochs, k, rate, radius)
+        h = _influence(k, reach, ring)
+        for row in kept.select("v").toLocalIterator():
+            v = np.array(row["v"], float)
+            at += speed * h[int(((at - v) ** 2).sum(axis=1).argmin())][:, None] * (v - at)
+        n, _, _, d = _sums(kept, at.tolist())
+        history.append(round(d / max(1, n.sum()), 6))
+    return nearest(kept, at.tolist()).select(key, "cluster"), at.tolist(), history
 
 
 def silhouette(rows: DataFrame, key: str, part: int = 1000) -> DataFrame:
@@ -133,12 +190,15 @@ def ranked(rows: DataFrame, centres: list[list[float]], directions: list[int]) -
 def profiles(rows: DataFrame, names: list[str]) -> DataFrame:
     """MDL23, AGG35: quartiles of each feature per cluster."""
     long = rows.unpivot("cluster", names, "feature", "value")
-    return long.groupBy("cluster", "feature").agg(F.count("value").alias("n"), F.percentile("value", [0.25, 0.5, 0.75]).alias("p")).select("cluster", "feature", "n", *[F.col("p")[i].alias(x) for i, x in enumerate(("q1", "q2", "q3"))])
+    n = long.groupBy("cluster", "feature").agg(F.count("value").alias("n"))
+    p = quantiles(long, "value", [0.25, 0.5, 0.75], ("cluster", "feature"))
+    return n.join(p, ["cluster", "feature"], "left").select("cluster", "feature", "n", *[F.col("p")[i].alias(x) for i, x in enumerate(("q1", "q2", "q3"))])
 
 
 def group_statistics(members: DataFrame, value: str) -> DataFrame:
     """AGG35, SET06: per group distinct members, repeats and P10, P50, P90."""
-    return members.groupBy("grp").agg(F.countDistinct("well").alias("wells"), (F.count("*") - F.countDistinct("well")).alias("repeats"), F.percentile(value, [0.1, 0.5, 0.9]).alias("p")).select("grp", "wells", "repeats", *[F.col("p")[i].alias(x) for i, x in enumerate(("p10", "p50", "p90"))])
+    n = members.groupBy("grp", "well").agg(F.count("*").alias("n")).groupBy("grp").agg(F.count("well").alias("wells"), (F.sum("n") - F.count("well")).alias("repeats"))
+    return n.join(quantiles(members, value, [0.1, 0.5, 0.9], ("grp",)), "grp", "left").select("grp", "wells", "repeats", *[F.col("p")[i].alias(x) for i, x in enumerate(("p10", "p50", "p90"))])
 
 
 def plan_agreement(plans: DataFrame) -> DataFrame:
@@ -160,7 +220,7 @@ def jaccard_by_rank(plans: DataFrame, a: str, b: str) -> DataFrame:
 def parallel_axis(rows: DataFrame, name: str, higher_is_better: bool = True) -> DataFrame:
     """MDL26: a feature between its 2nd and 98th percentile as 0 to 1, clamped,
     turned round where lower is better."""
-    p = rows.agg(F.percentile(name, [0.02, 0.98]).alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    p = quantiles(rows, name, [0.02, 0.98]).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     x = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(name) - F.col("lo")) / (F.col("hi") - F.col("lo"))))).otherwise(0.5)
     return rows.crossJoin(p).withColumn("axis", x if higher_is_better else 1 - x).drop("lo", "hi")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wellspring.functions.scalars import extension, file_kind, is_time_depth
 from wellspring.functions.text import clean_text, finite
+from wellspring.operators.ranks import quantiles
 
 # fixed values: interpretation attributes by their spellings, exact or contained
 ATTRIBUTES = (("porosity", "phi|por|porosity|孔隙度"), ("permeability", "perm|k|permeability|渗透率"), ("saturation", "sw|so|saturation|饱和度"), ("facies", "facies|lithology|岩性"), ("shale", "vsh|vcl|shale"))
@@ -265,7 +266,7 @@ def scattered_hits(path: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
     from wellspring.operators.surfaces import nearest_nodes
     from wellspring.operators.trajectory import first_crossing
 
-    sign = nodes.agg(F.when(F.percentile("z", 0.5) < 0, -1.0).otherwise(1.0).alias("sign"))  # one row
+    sign = quantiles(nodes, "z", [0.5]).select(F.when(F.col("p")[0] < 0, -1.0).otherwise(1.0).alias("sign"))  # one row
     pts = path.withColumn("id", F.struct("well", "md"))
     near = nearest_nodes(pts.select("id", "x", "y"), nodes, cell, 2.5 * cell).crossJoin(sign)
     return first_crossing(pts.join(near, "id").select("well", "md", (F.col("tvdss") - F.col("z") * F.col("sign")).alias("diff")))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wellspring.operators.ranks import quantiles
 from wellspring.functions.scalars import GAS_PER_BOE, changed, days_in_month, water_cut_percent
 from wellspring.functions.text import finite
 
@@ -240,6 +241,6 @@ def coverage(feats: DataFrame, names: list[str]) -> DataFrame:
 
 def graded(feats: DataFrame, name: str) -> DataFrame:
     """SC27: low, mid or high by terciles of all wells."""
-    cut = feats.agg(F.percentile(name, 1 / 3).alias("p1"), F.percentile(name, 2 / 3).alias("p2"))
+    cut = quantiles(feats, name, [1 / 3, 2 / 3]).select(F.col("p")[0].alias("p1"), F.col("p")[1].alias("p2"))
     g = F.when(F.col(name) <= F.col("p1"), "low").when(F.col(name) <= F.col("p2"), "mid").otherwise("high")
     return feats.where(F.col(name).isNotNull()).crossJoin(cut).select("well_key", g.alias("grade"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wellspring.operators.ranks import quantiles
 from wellspring.functions.scalars import BARRELS_PER_M3
 
 
@@ -76,7 +77,7 @@ def resampled(nodes: DataFrame, source: tuple, target: tuple) -> DataFrame:
 
 def quality(nodes: DataFrame) -> DataFrame:
     """MDL30: nodes, share missing, percentiles and values beyond three quartile ranges."""
-    s = nodes.agg(F.count("*").alias("n"), F.count("value").alias("valid"), F.percentile("value", [0.05, 0.25, 0.5, 0.75, 0.95]).alias("p"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    s = nodes.agg(F.count("*").alias("n"), F.count("value").alias("valid"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).crossJoin(quantiles(nodes, "value", [0.05, 0.25, 0.5, 0.75, 0.95]))  # one row each
     low, high = F.col("p")[1] - 3 * (F.col("p")[3] - F.col("p")[1]), F.col("p")[3] + 3 * (F.col("p")[3] - F.col("p")[1])
     out = nodes.crossJoin(s.select(low.alias("low"), high.alias("high"))).agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outliers"))  # one row
     return s.crossJoin(out).select("n", "valid", ((F.col("n") - F.col("valid")) / F.col("n") * 100).alias("missing_pct"), *[F.col("p")[i].alias(x) for i, x in enumerate(("p05", "p25", "p50", "p75", "p95"))], "mean", "std", "outliers")

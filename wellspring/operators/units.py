@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wellspring.operators.ranks import quantiles
 from wellspring.functions.text import finite
 from wellspring.functions.unit_text import stated_unit
 
@@ -169,9 +170,11 @@ def well_head_units(well_head: DataFrame, unit_factors: DataFrame) -> DataFrame:
         F.regexp_extract(F.upper("well_name"), "([A-Z]{2,})", 1).alias("letters"), stated_length("remark", "kb_elevation").alias("said"),
     )
     metres = F.when(F.col("kb") > 0, F.col("kb") * F.coalesce(_by_unit(F.col("said"), f), F.lit(1.0)))
-    for by in ("field", "area", "letters"):
-        middle = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.percentile(metres, 0.5).alias(f"mid_{by}"))
-        rows = rows.join(middle, by, "left")
+    groups = ("field", "area", "letters")
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(g).alias("by"), F.col(g).alias("of")) for g in groups])).alias("g"), metres.alias("m")).where("g.of is not null")
+    middles = quantiles(each.select("g.by", "g.of", "m"), "m", [0.5], ("by", "of"))
+    for g in groups:
+        rows = rows.join(middles.where(F.col("by") == g).select(F.col("of").alias(g), F.col("p")[0].alias(f"mid_{g}")), g, "left")
     mid = F.coalesce("mid_field", "mid_area", "mid_letters")
     far = lambda u: F.abs(F.ln(F.when(F.col("kb") > 0, F.col("kb") * f[u])) - F.ln(F.when(mid > 0, mid)))
     nearest = F.least(*[F.struct(far(u).alias("far"), F.lit(u).alias("u")) for u in ("m", "ft", "cm")])

@@ -9,7 +9,7 @@ from wellspring.plans.relations import NODES, ST, heads, nodes, rounded, roundin
 from wellspring.tables import table
 
 GRID = (0.0, 0.0, 10.0, 10.0)  # origin and spacing of the node grid
-ROWS, COLS = 50, 40  # at least so many rows
+COLS = 40
 
 
 def _path(s, d):
@@ -33,11 +33,12 @@ def _diff(s, d):
 
 
 def _rows(n):
-    """Rows of the grid of these nodes, or of the least grid if it has more."""
-    return max(ROWS, (n.agg(F.max("row")).first()[0] or 0) + 1)
+    """Rows of the grid of these nodes."""
+    return (n.agg(F.max("row")).first()[0] or 0) + 1
 
 
-def _points(s, d, rows=ROWS):
+def _points(s, d, rows=None):
+    rows = rows or _rows(nodes(s, d))
     return table(s, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 13 % 420).cast("double").alias("x"), (F.col("event_id") * 29 % (rows * 10 + 30)).cast("double").alias("y"))
 
 
@@ -52,6 +53,17 @@ def _volumes(s, d):
     return surfaces.volumes(n, _rows(n), COLS, 10.0, 10.0, {"net": 0.8, "porosity": 20, "saturation": 0.7, "volume_factor": 1.2, "recovery": 30, "gas_oil_ratio": 90})
 
 
+def _resampled(s, d):
+    n = nodes(s, d)
+    rows = _rows(n)
+    return surfaces.resampled(n, (*GRID, rows, COLS), (5.0, 5.0, 7.0, 7.0, rows, COLS))
+
+
+def _preview(s, d):
+    n = nodes(s, d)
+    return surfaces.preview(n, _rows(n), COLS, 20)
+
+
 def _missing_map(s, d):
     n = nodes(s, d)
     return surfaces.missing_map(n, _rows(n), COLS)
@@ -80,27 +92,34 @@ def _several(s, d):
     return a.unionByName(b).unionByName(c)
 
 
-def _vectors(s, d, k=4):
-    e = table(s, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(k)], F.col("label").cast("int").alias("cluster"))
+def _components(s, d):
+    return table(s, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
 
 
-def _scaled(s, d, k=4):
-    return clustering.standardised(_vectors(s, d, k).drop("cluster"), "id", [f"f{i}" for i in range(k)])
+def _vectors(s, d):
+    """All components of the vectors, under their number."""
+    e = table(s, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(_components(s, d))], F.col("label").cast("int").alias("cluster"))
 
 
-def _components(s, d):
-    return table(s, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+def _scaled(s, d):
+    v = _vectors(s, d).drop("cluster")
+    return clustering.standardised(v, "id", [c for c in v.columns if c != "id"])
 
 
 def _kmeans(s, d):
-    rows, centres, _ = clustering.kmeans(_scaled(s, d, _components(s, d)), "id", 4, 500)
+    rows, centres, _ = clustering.kmeans(_scaled(s, d), "id", 4, 500)
     return clustering.ranked(rows.drop("v"), centres, [1] * len(centres[0]))
 
 
 def _silhouette(s, d):
-    v = _vectors(s, d)
-    return clustering.silhouette(v.select("id", F.array("f0", "f1", "f2", "f3").alias("v"), "cluster"), "id")
+    e = table(s, d, "embeddings")
+    return clustering.silhouette(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("int").alias("cluster")), "id")
+
+
+def _profiles(s, d):
+    v = _vectors(s, d).drop("id")
+    return clustering.profiles(v, [c for c in v.columns if c != "cluster"])
 
 
 def _plans(s, d):
@@ -128,20 +147,20 @@ QUERIES = {
     "geo02_polygon_areas": lambda s, d: rounded(surfaces.polygon_areas(_rings(s, d))),
     "flt02_points_in_polygons": lambda s, d: surfaces.points_in_polygons(_points(s, d), _rings(s, d), 64.0),
     "join18_sampled": lambda s, d: rounded(_sampled(s, d), 4),
-    "mdl27_resampled": lambda s, d: rounded(surfaces.resampled(nodes(s, d), (*GRID, ROWS, COLS), (5.0, 5.0, 7.0, 7.0, 40, 40)), 4),
+    "mdl27_resampled": lambda s, d: rounded(_resampled(s, d), 4),
     "mdl28_volumes": lambda s, d: rounded(_volumes(s, d), 2),
-    "mdl29_preview": lambda s, d: rounded(surfaces.preview(nodes(s, d), ROWS, COLS, 20), 4),
+    "mdl29_preview": lambda s, d: rounded(_preview(s, d), 4),
     "mdl30_quality": lambda s, d: rounded(surfaces.quality(nodes(s, d)), 4),
     "mdl30_missing_map": lambda s, d: rounded(_missing_map(s, d), 4),
     "mdl32_correlations": lambda s, d: surfaces.correlations(_several(s, d), ["a", "b", "c"]),
     "join17_nearest_nodes": lambda s, d: rounded(surfaces.nearest_nodes(_points(s, d), nodes(s, d).where("value is not null").select((F.col("col") * 10.0).alias("x"), (F.col("row") * 10.0 + F.col("col") * 0.013).alias("y"), F.col("value").alias("z")), 10.0, 25.0).select("id", "distance"), 4),
     "mdl07_surface_hits": lambda s, d: rounded(_hits(s, d), 3),
     "mdl10_plane_fit": lambda s, d: rounded(surfaces.plane_fit(nodes(s, d).select(F.col("row").alias("inline"), F.col("col").alias("crossline"), (F.col("row") * 12.5 + F.col("col") * 3 + 1000 + F.col("value") / 100).alias("x"), (F.col("col") * 25.0 - F.col("row") * 2 + 5).alias("y")).where("x is not null")), 5),
-    "mdl18_standardised": lambda s, d: rounded(_scaled(s, d).select("id", *[F.col("v")[i].alias(f"z{i}") for i in range(4)]), 5),
+    "mdl18_standardised": lambda s, d: rounded(_scaled(s, d).select("id", F.posexplode("v").alias("component", "z")), 5),
     "mdl19_kmeans": _kmeans,
-    "mdl20_som": lambda s, d: clustering.som(_scaled(s, d, _components(s, d)), "id", 4, 5),
+    "mdl20_som": lambda s, d: clustering.som(_scaled(s, d), "id", 4, 50)[0],
     "mdl21_silhouette": lambda s, d: _silhouette(s, d),
-    "mdl23_profiles": lambda s, d: rounded(clustering.profiles(_vectors(s, d).drop("id"), [f"f{i}" for i in range(4)]), 5),
+    "mdl23_profiles": lambda s, d: rounded(_profiles(s, d), 5),
     "agg35_group_statistics": lambda s, d: rounded(clustering.group_statistics(_members(s, d), "value"), 4),
     "mdl25_plan_agreement": lambda s, d: rounded(clustering.plan_agreement(_plans(s, d)), 5),
     "set07_jaccard": lambda s, d: rounded(clustering.jaccard_by_rank(_plans(s, d), "p", "q"), 6),
@@ -156,8 +175,9 @@ _MC = f"""{ST}, v AS (SELECT well, md, arg_max(inc, id) AS inc, arg_max(azi, id)
  mc AS (SELECT well, md, dog / {_R} AS dogleg, sum(k * (sin(i0) * cos(a0) + sin(i1) * cos(a1))) OVER w AS north, sum(k * (sin(i0) * sin(a0) + sin(i1) * sin(a1))) OVER w AS east, sum(k * (cos(i0) + cos(i1))) OVER w AS tvd FROM h WINDOW w AS (PARTITION BY well ORDER BY md ROWS UNBOUNDED PRECEDING))"""
 _XYZ = f"{_MC}, xyz AS (SELECT well, md, CAST(substr(well, 2) AS INT) * 10.0 + east AS x, CAST(substr(well, 2) AS INT) * 20.0 + north AS y, 100.0 - tvd AS z FROM mc)"
 _SEG = "sg AS (SELECT *, lead(md) OVER w AS m1, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1 FROM {t} WINDOW w AS (PARTITION BY well ORDER BY md))"
-_PTS = "pt AS (SELECT event_id AS id, CAST(event_id * 13 % 420 AS DOUBLE) AS x, CAST(event_id * 29 % 530 AS DOUBLE) AS y FROM events)"
-_VEC = "vc AS (SELECT vec_id AS id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(4)) + ", CAST(label AS INT) AS cluster FROM embeddings)"
+_PTS = "pt AS (SELECT event_id AS id, CAST(event_id * 13 % 420 AS DOUBLE) AS x, CAST(event_id * 29 % ((SELECT max(row) + 1 FROM nodes) * 10 + 30) AS DOUBLE) AS y FROM events)"
+_LASTROW = "(SELECT max(row) FROM nodes)"
+_VEC = "vc AS (SELECT vec_id AS id, CAST(label AS INT) AS cluster, unnest(range(len(embedding))) AS component, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 _PL = "a AS (SELECT o_custkey AS well, count(*) AS n, max(o_orderkey) AS m FROM orders GROUP BY 1), pl AS (SELECT well, 'p' AS plan, n % 4 + 1 AS rank FROM a UNION ALL SELECT well, 'q', m % 4 + 1 FROM a)"
 _BASE = f"WITH {NODES}"
 
@@ -178,24 +198,24 @@ ORACLE = {
  c AS (SELECT *, azi - lag(azi) OVER w + 180 AS q, inc - lag(inc) OVER w AS di FROM b WINDOW w AS (PARTITION BY well ORDER BY md))
  SELECT well, md, round(inc, 3) AS inc, round(azi, 3) AS azi, round(sqrt(pow(di, 2) + pow((q - 360 * floor(q / 360) - 180) * sin(radians(inc)), 2)) / nullif(dm, 0) * 30, 3) AS severity FROM c WHERE inc IS NOT NULL""",
     "mdl06_copies": f"WITH {ST}, g AS (SELECT well, string_agg(CAST(md AS VARCHAR) || '|' || CAST(inc AS VARCHAR), ';' ORDER BY md, inc) AS s, count(*) AS n FROM st GROUP BY well), k AS (SELECT s, count(*) AS copies, any_value(n) AS stations FROM g GROUP BY s) SELECT copies, stations, count(*) AS n FROM k GROUP BY ALL",
-    "mdl21_silhouette": f"""WITH {_VEC}, d AS (SELECT a.id, a.cluster AS ca, b.cluster AS cb, avg(sqrt({' + '.join(f'pow(a.f{i} - b.f{i}, 2)' for i in range(4))})) AS d FROM vc a JOIN vc b ON a.id <> b.id GROUP BY ALL),
+    "mdl21_silhouette": """WITH e AS (SELECT vec_id AS id, CAST(label AS INT) AS cluster, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), d AS (SELECT a.id, a.cluster AS ca, b.cluster AS cb, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.id <> b.id GROUP BY ALL),
  p AS (SELECT id, min(d) FILTER (ca = cb) AS own, min(d) FILTER (ca <> cb) AS other FROM d GROUP BY id) SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / nullif(greatest(own, other), 0) END), 4) AS silhouette, count(*) AS n FROM p""",
     "geo02_polygon_areas": "SELECT polygon, CAST(area AS DOUBLE) AS area, CAST(min_x AS DOUBLE) AS min_x, CAST(max_x AS DOUBLE) AS max_x, CAST(min_y AS DOUBLE) AS min_y, CAST(max_y AS DOUBLE) AS max_y FROM (VALUES ('square', 37500.0, 50.5, 250.5, 50.5, 250.5), ('triangle', 20000.0, 200.5, 400.5, 300.5, 500.5)) t(polygon, area, min_x, max_x, min_y, max_y)",
-    "flt02_points_in_polygons": f"WITH {_PTS} SELECT id, 'square' AS polygon FROM pt WHERE x > 50.5 AND x < 250.5 AND y > 50.5 AND y < 250.5 AND NOT (x > 100.5 AND x < 150.5 AND y > 100.5 AND y < 150.5) UNION ALL SELECT id, 'triangle' FROM pt WHERE y > 300.5 AND y - 300.5 < 2 * (x - 200.5) AND y - 300.5 < 2 * (400.5 - x)",
-    "join18_sampled": f"{_BASE}, {_PTS}, p AS (SELECT *, CAST(round_even(x / 10.0, 0) AS INT) AS c, CAST(round_even(y / 10.0, 0) AS INT) AS r FROM pt) SELECT p.id, CASE WHEN NOT (r BETWEEN 0 AND 49 AND c BETWEEN 0 AND 39) THEN 'outside' WHEN value IS NULL THEN 'missing' ELSE 'ok' END AS status, round(CASE WHEN r BETWEEN 0 AND 49 AND c BETWEEN 0 AND 39 THEN value END, 4) AS value, round(CASE WHEN r BETWEEN 0 AND 49 AND c BETWEEN 0 AND 39 THEN sqrt(pow(x - c * 10.0, 2) + pow(y - r * 10.0, 2)) END, 4) AS distance FROM p LEFT JOIN nodes ON nodes.row = r AND nodes.col = c",
-    "mdl27_resampled": f"{_BASE}, t AS (SELECT CAST(i // 40 AS INT) AS row, CAST(i % 40 AS INT) AS col FROM range(0, 1600) r(i)) SELECT t.row, t.col, round(value, 4) AS value FROM t LEFT JOIN nodes n ON n.row = CAST(round_even((5.0 + t.row * 7.0) / 10.0, 0) AS INT) AND n.col = CAST(round_even((5.0 + t.col * 7.0) / 10.0, 0) AS INT)",
-    "mdl28_volumes": f"{_BASE}, g AS (SELECT *, CASE WHEN row IN (0, 49) THEN 0.5 ELSE 1 END * CASE WHEN col IN (0, 39) THEN 0.5 ELSE 1 END AS w FROM nodes WHERE value > 0), v AS (SELECT count(*) AS nodes, sum(w) * 100 AS area, sum(value * w) * 100 AS bulk FROM g), o AS (SELECT *, bulk * 0.8 * 0.2 AS pore, bulk * 0.8 * 0.2 * 0.7 / 1.2 AS oil FROM v) SELECT nodes, round(area, 2) AS area, round(bulk, 2) AS bulk, round(pore, 2) AS pore, round(oil, 2) AS in_place, round(oil * 0.3, 2) AS recoverable, round(oil * 6.28981077, 2) AS in_place_bbl, round(oil * 90, 2) AS gas FROM o",
-    "mdl29_preview": f"{_BASE} SELECT row, col, round(value, 4) AS value FROM nodes WHERE row % 3 = 0 AND col % 2 = 0",
+    "flt02_points_in_polygons": f"{_BASE}, {_PTS} SELECT id, 'square' AS polygon FROM pt WHERE x > 50.5 AND x < 250.5 AND y > 50.5 AND y < 250.5 AND NOT (x > 100.5 AND x < 150.5 AND y > 100.5 AND y < 150.5) UNION ALL SELECT id, 'triangle' FROM pt WHERE y > 300.5 AND y - 300.5 < 2 * (x - 200.5) AND y - 300.5 < 2 * (400.5 - x)",
+    "join18_sampled": f"{_BASE}, {_PTS}, p AS (SELECT *, CAST(round_even(x / 10.0, 0) AS INT) AS c, CAST(round_even(y / 10.0, 0) AS INT) AS r FROM pt) SELECT p.id, CASE WHEN NOT (r BETWEEN 0 AND {_LASTROW} AND c BETWEEN 0 AND 39) THEN 'outside' WHEN value IS NULL THEN 'missing' ELSE 'ok' END AS status, round(CASE WHEN r BETWEEN 0 AND {_LASTROW} AND c BETWEEN 0 AND 39 THEN value END, 4) AS value, round(CASE WHEN r BETWEEN 0 AND {_LASTROW} AND c BETWEEN 0 AND 39 THEN sqrt(pow(x - c * 10.0, 2) + pow(y - r * 10.0, 2)) END, 4) AS distance FROM p LEFT JOIN nodes ON nodes.row = r AND nodes.col = c",
+    "mdl27_resampled": f"{_BASE}, t AS (SELECT CAST(i // 40 AS INT) AS row, CAST(i % 40 AS INT) AS col FROM range(0, ({_LASTROW} + 1) * 40) r(i)) SELECT t.row, t.col, round(value, 4) AS value FROM t LEFT JOIN nodes n ON n.row = CAST(round_even((5.0 + t.row * 7.0) / 10.0, 0) AS INT) AND n.col = CAST(round_even((5.0 + t.col * 7.0) / 10.0, 0) AS INT)",
+    "mdl28_volumes": f"{_BASE}, g AS (SELECT *, CASE WHEN row IN (0, {_LASTROW}) THEN 0.5 ELSE 1 END * CASE WHEN col IN (0, 39) THEN 0.5 ELSE 1 END AS w FROM nodes WHERE value > 0), v AS (SELECT count(*) AS nodes, sum(w) * 100 AS area, sum(value * w) * 100 AS bulk FROM g), o AS (SELECT *, bulk * 0.8 * 0.2 AS pore, bulk * 0.8 * 0.2 * 0.7 / 1.2 AS oil FROM v) SELECT nodes, round(area, 2) AS area, round(bulk, 2) AS bulk, round(pore, 2) AS pore, round(oil, 2) AS in_place, round(oil * 0.3, 2) AS recoverable, round(oil * 6.28981077, 2) AS in_place_bbl, round(oil * 90, 2) AS gas FROM o",
+    "mdl29_preview": f"{_BASE} SELECT row, col, round(value, 4) AS value FROM nodes WHERE row % CAST(ceil(({_LASTROW} + 1) / 20.0) AS INT) = 0 AND col % 2 = 0",
     "mdl30_quality": f"{_BASE}, q AS (SELECT count(*) AS n, count(value) AS valid, " + ", ".join(f"quantile_cont(value, {x}) AS {n}" for n, x in (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))) + ", avg(value) AS mean, stddev_pop(value) AS std FROM nodes) SELECT any_value(q.n) AS n, any_value(valid) AS valid, round(any_value((q.n - valid) / q.n * 100), 4) AS missing_pct, " + ", ".join(f"round(any_value({x}), 4) AS {x}" for x in ("p05", "p25", "p50", "p75", "p95", "mean", "std")) + ", count(*) FILTER (value < p25 - 3 * (p75 - p25) OR value > p75 + 3 * (p75 - p25)) AS outliers FROM nodes, q",
-    "mdl30_missing_map": f"{_BASE}, b AS (SELECT CASE WHEN 49 - row < 2 * 4 THEN (49 - row) // 4 ELSE 2 + (49 - row - 8) // 3 END AS br, CASE WHEN col < 8 * 3 THEN col // 3 ELSE 8 + (col - 24) // 2 END AS bc, value FROM nodes) SELECT CAST(br AS INT) AS block_row, CAST(bc AS INT) AS block_col, round(count(*) FILTER (value IS NULL) / count(*) * 100, 4) AS missing_pct FROM b GROUP BY ALL",
+    "mdl30_missing_map": f"{_BASE}, g AS (SELECT (max(row) + 1) // 16 AS q, (max(row) + 1) % 16 AS r, max(row) AS m FROM nodes), b AS (SELECT CASE WHEN m - row < r * (q + 1) THEN (m - row) // (q + 1) ELSE r + (m - row - r * (q + 1)) // greatest(q, 1) END AS br, CASE WHEN col < 8 * 3 THEN col // 3 ELSE 8 + (col - 24) // 2 END AS bc, value FROM nodes, g) SELECT CAST(br AS INT) AS block_row, CAST(bc AS INT) AS block_col, round(count(*) FILTER (value IS NULL) / count(*) * 100, 4) AS missing_pct FROM b GROUP BY ALL",
     "mdl32_correlations": f"{_BASE}, w AS (SELECT value AS a, value * 2 + col % 3 AS b, CAST((row * 31 + col * 17) % 23 AS DOUBLE) AS c FROM nodes WHERE value IS NOT NULL), r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM w) SELECT x[1] AS a, x[2] AS b, round(r, 4) AS r, abs(round(r, 4)) >= 0.9 AS strong FROM (SELECT ['a', 'b'] AS x, ab AS r FROM r UNION ALL SELECT ['a', 'c'], ac FROM r UNION ALL SELECT ['b', 'c'], bc FROM r)",
     "join17_nearest_nodes": f"{_BASE}, {_PTS}, n AS (SELECT col * 10.0 AS x, row * 10.0 + col * 0.013 AS y FROM nodes WHERE value IS NOT NULL), d AS (SELECT p.id, min(sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2))) AS d FROM pt p JOIN n ON abs(p.x - n.x) <= 25 AND abs(p.y - n.y) <= 25 GROUP BY p.id) SELECT id, round(d, 4) AS distance FROM d WHERE d <= 25",
     "mdl10_plane_fit": f"""{_BASE}, t AS (SELECT row AS i, col AS c, row * 12.5 + col * 3 + 1000 + value / 100 AS x, col * 25.0 - row * 2 + 5 AS y FROM nodes WHERE value IS NOT NULL), m AS (SELECT count(*) AS n, avg(i) AS mi, avg(c) AS mc, avg(x) AS mx, avg(y) AS my FROM t),
  s AS (SELECT any_value(n) AS n, any_value(mi) AS mi, any_value(mc) AS mc, any_value(mx) AS mx, any_value(my) AS my, sum((i-mi)*(i-mi)) AS ii, sum((i-mi)*(c-mc)) AS ic, sum((c-mc)*(c-mc)) AS cc, sum((i-mi)*(x-mx)) AS ix, sum((c-mc)*(x-mx)) AS cx, sum((i-mi)*(y-my)) AS iy, sum((c-mc)*(y-my)) AS cy FROM t, m),
  k AS (SELECT *, (ix*cc - cx*ic) / (ii*cc - ic*ic) AS xi, (cx*ii - ix*ic) / (ii*cc - ic*ic) AS xc, (iy*cc - cy*ic) / (ii*cc - ic*ic) AS yi, (cy*ii - iy*ic) / (ii*cc - ic*ic) AS yc FROM s)
  SELECT n, round(xi, 5) AS x_inline, round(xc, 5) AS x_crossline, round(mx - xi * mi - xc * mc, 5) AS x_0, round(yi, 5) AS y_inline, round(yc, 5) AS y_crossline, round(my - yi * mi - yc * mc, 5) AS y_0 FROM k""",
-    "mdl18_standardised": f"WITH {_VEC}, s AS (SELECT " + ", ".join(f"avg(f{i}) AS a{i}, stddev_pop(f{i}) AS s{i}" for i in range(4)) + " FROM vc) SELECT id, " + ", ".join(f"round((f{i} - a{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END, 5) AS z{i}" for i in range(4)) + " FROM vc, s",
-    "mdl23_profiles": f"WITH {_VEC}, l AS (" + " UNION ALL ".join(f"SELECT cluster, 'f{i}' AS feature, f{i} AS v FROM vc" for i in range(4)) + ") SELECT cluster, feature, count(*) AS n, round(quantile_cont(v, 0.25), 5) AS q1, round(quantile_cont(v, 0.5), 5) AS q2, round(quantile_cont(v, 0.75), 5) AS q3 FROM l GROUP BY ALL",
+    "mdl18_standardised": f"WITH {_VEC}, s AS (SELECT component, avg(v) AS a, stddev_pop(v) AS s FROM vc GROUP BY component) SELECT id, CAST(component AS INT) AS component, round((v - a) / CASE WHEN s > 0 THEN s ELSE 1 END, 5) AS z FROM vc JOIN s USING (component)",
+    "mdl23_profiles": f"WITH {_VEC} SELECT cluster, 'f' || component AS feature, count(*) AS n, round(quantile_cont(v, 0.25), 5) AS q1, round(quantile_cont(v, 0.5), 5) AS q2, round(quantile_cont(v, 0.75), 5) AS q3 FROM vc GROUP BY ALL",
     "agg35_group_statistics": "SELECT o_orderpriority AS grp, count(DISTINCT o_custkey) AS wells, count(*) - count(DISTINCT o_custkey) AS repeats, round(quantile_cont(o_totalprice / 100, 0.1), 4) AS p10, round(quantile_cont(o_totalprice / 100, 0.5), 4) AS p50, round(quantile_cont(o_totalprice / 100, 0.9), 4) AS p90 FROM orders GROUP BY 1",
     "mdl25_plan_agreement": f"WITH {_PL}, s AS (SELECT well, quantile_cont(rank / 4.0, 0.9) - quantile_cont(rank / 4.0, 0.1) AS d FROM pl GROUP BY well) SELECT well, round(d, 5) AS spread, round(greatest(0.0, 1 - d), 5) AS reliability, d <= 0.2 AS stable FROM s",
     "set07_jaccard": f"WITH {_PL}, x AS (SELECT rank, well FROM pl WHERE plan = 'p'), y AS (SELECT rank, well FROM pl WHERE plan = 'q') SELECT CAST(rank AS INT) AS rank, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard FROM (SELECT coalesce(x.rank, y.rank) AS rank, x.well IS NOT NULL AS a, y.well IS NOT NULL AS b FROM x FULL JOIN y ON x.rank = y.rank AND x.well = y.well) GROUP BY rank",

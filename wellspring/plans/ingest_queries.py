@@ -37,7 +37,7 @@ QUERIES = {
     "sc11_attribute_types": lambda s, d: table(s, d, "curve_reference").select("curve_key", ingest.attribute_type(F.col("curve_name"))["type"].alias("type")),
     "sc26_extension_rank": lambda s, d: files(s, d).select("path", ingest.extension_rank(F.col("path")).alias("r")),
     "agg05_profile": lambda s, d: ingest.profile_statistics(las(s, d)),
-    "flt07_curve_filter": lambda s, d: ingest.curve_filter(curves.typed(las(s, d)), ["gr", "RT "], None, "classified", [1, 2, 3, 4]).select("id"),
+    "flt07_curve_filter": lambda s, d: ingest.curve_filter(curves.typed(las(s, d)), ["gr", "RT "], None, "classified").select("id"),
     "flt14_found_in": lambda s, d: ingest.found_in(table(s, d, "sources"), ("filename", "batch", "warning"), "ROWS"). select("id"),
     "agg24_time_depth": lambda s, d: ingest.time_depth_inventory(las(s, d), table(s, d, "sources")),
     "win20_newest_survey": lambda s, d: ingest.newest_survey(_surveys(s, d), table(s, d, "sources")).select("well", "source_id", "id"),
@@ -61,9 +61,9 @@ ORACLE = {
     "sc11_attribute_types": "SELECT curve_key, CASE " + " ".join(f"WHEN lower(trim(curve_name)) IN ({', '.join(chr(39) + w + chr(39) for w in ws.split('|'))}) THEN '{t}'" for t, ws in ingest.ATTRIBUTES) + " " + " ".join(f"WHEN regexp_matches(lower(trim(curve_name)), '{'|'.join(w for w in ws.split('|') if len(w) >= 3)}') THEN '{t}'" for t, ws in ingest.ATTRIBUTES) + " END AS type FROM curve_reference",
     "sc26_extension_rank": f"WITH {FILES} SELECT path, CASE ext WHEN 'las' THEN 0 WHEN 'dev' THEN 1 WHEN 'csv' THEN 2 WHEN 'xlsx' THEN 3 WHEN 'txt' THEN 4 ELSE 9 END AS r FROM ct",
     "agg05_profile": "WITH p AS (SELECT upper(trim(mnemonic)) AS mnemonic, well_id, sum(sample_count) AS s, min(value_min) FILTER (isfinite(value_min)) AS l, max(value_max) FILTER (isfinite(value_max)) AS h, count(*) AS f FROM las_curves WHERE well_id IS NOT NULL GROUP BY ALL) SELECT mnemonic, count(*) AS wells, CAST(sum(s) AS BIGINT) AS samples, max(f) AS most_files, min(l) AS low, max(h) AS high FROM p GROUP BY 1",
-    "flt07_curve_filter": "SELECT id FROM las_curves WHERE upper(trim(mnemonic)) IN ('GR', 'RT') AND well_id IN (1, 2, 3, 4)",
+    "flt07_curve_filter": "SELECT id FROM las_curves WHERE upper(trim(mnemonic)) IN ('GR', 'RT')",
     "flt14_found_in": "SELECT id FROM sources WHERE contains(lower(filename), 'rows') OR contains(lower(batch), 'rows') OR contains(lower(warning), 'rows')",
-    "agg24_time_depth": "SELECT upper(mnemonic) AS mnemonic, count(DISTINCT las_file_id) AS files, count(DISTINCT well_id) AS wells, count(*) AS curves FROM las_curves WHERE regexp_matches(regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g'), '^(TWT|OWT|TIME|TVT|TDR)') AND source_id IN (SELECT id FROM sources WHERE status = 'ready') GROUP BY 1",
+    "agg24_time_depth": "SELECT upper(mnemonic) AS mnemonic, count(DISTINCT las_file_id) AS files, count(DISTINCT well_id) AS wells, count(*) AS curves FROM las_curves WHERE regexp_matches(regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g'), '^(ONEWAYTIME|OWT|TWT|GENERALTIME|VELOCITY)') AND source_id IN (SELECT id FROM sources WHERE status = 'ready') GROUP BY 1",
     "win20_newest_survey": f"WITH {ST}, s AS (SELECT well, id % 20 + 1 AS source_id, id FROM st), k AS (SELECT well, arg_max(source_id, ROW(coalesce(epoch_us(imported_at), 0), source_id)) AS source_id FROM s JOIN sources ON sources.id = source_id GROUP BY well) SELECT s.well, s.source_id, s.id FROM s JOIN k ON k.well = s.well AND k.source_id = s.source_id",
     "src35_preflight": f"WITH {FILES} SELECT kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM ct WHERE NOT contains(path, '/batch02/') GROUP BY kind",
     "snk08_delivery": f"WITH {FILES}, b AS (SELECT well_key, kind, min(path) AS path, count(*) AS candidates FROM ct WHERE kind = 'well_log' GROUP BY ALL) SELECT normalized_key AS well_key, 'well_log' AS kind, path, candidates, path IS NULL AS missing FROM wells LEFT JOIN b ON b.well_key = normalized_key",

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wellspring.operators import catalog, production
+from wellspring.operators.curves import CURVE_TYPES, DESCRIBED, mnemonic_pattern
 from wellspring.operators.wells import kind_of
 from wellspring.tables import table
 
@@ -70,6 +71,13 @@ def curves(spark, d):
     return table(spark, d, "las_curves")
 
 
+def spanned_curves(spark, d):
+    """Curves with a depth range and step; every seventh without a step."""
+    c = curves(spark, d)
+    step = F.when(F.col("id") % 7 != 0, 0.1 + F.col("id") % 3 * 0.05)
+    return c.withColumns({"start": 1000.0 + F.col("id") % 500, "step": step}).withColumn("stop", F.col("start") + F.col("sample_count") * F.coalesce("step", F.lit(0.1)) * (1 + F.col("id") % 4 / 10))
+
+
 def samples(spark, d):
     return table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("series"), (F.col("l_extendedprice") / 100).alias("value"))
 
@@ -121,6 +129,8 @@ ST = "st AS (SELECT 'E' || user_id AS well, event_id AS id, CAST((row_number() O
 NODES = "nodes AS (SELECT CAST(p_partkey // 40 AS INT) AS row, CAST(p_partkey % 40 AS INT) AS col, CASE WHEN p_partkey % 37 <> 0 THEN p_retailprice / 100 END AS value FROM part)"
 SAMPLES = "samples AS (SELECT l_returnflag || l_linestatus AS series, l_extendedprice / 100 AS value FROM lineitem)"
 KIND = "CASE WHEN regexp_matches(t, 'well.?head|井头') THEN 'well_head' WHEN regexp_matches(t, 'dev|井斜') THEN 'deviation' WHEN regexp_matches(t, 'core') THEN 'core' WHEN regexp_matches(t, 'las') THEN 'las' WHEN regexp_matches(t, 'interp') THEN 'interpretation' WHEN regexp_matches(t, 'prod') THEN 'production' ELSE 'other' END"
+SPANNED = "sc AS (SELECT *, start + sample_count * coalesce(step, 0.1) * (1 + id % 4 / 10) AS stop FROM (SELECT *, 1000.0 + id % 500 AS start, CASE WHEN id % 7 <> 0 THEN CAST(0.1 AS DOUBLE) + id % 3 * CAST(0.05 AS DOUBLE) END AS step FROM las_curves))"
+CURVE_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g'), '{mnemonic_pattern(w)}') THEN '{t}'" for t, _, w in CURVE_TYPES) + " " + " ".join(f"WHEN regexp_matches(upper(coalesce(description, '')), '{w}') THEN '{t}'" for t, w in DESCRIBED) + " END"
 SRC = f"src AS (SELECT *, {KIND} AS kind FROM (SELECT *, lower(coalesce(data_type, '')) AS t FROM sources))"
 IV = "iv AS (SELECT row_no AS id, upper(well) AS well, least(top_md, base_md) AS top, greatest(top_md, base_md) AS base FROM interpretation_v1 WHERE NOT isnan(top_md) AND NOT isnan(base_md) AND top_md >= 0 AND base_md >= 0 AND top_md <> base_md)"
 FILES = """fl AS (SELECT file_path AS path, record_count * 100 AS size, lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) AS ext, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS folder,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import scalars
 from wellspring.functions.text import well_key
 from wellspring.operators import catalog, clustering, curves, search
-from wellspring.plans.relations import FILES, IV, MATCH_SCORE, PM, SIMILARITY, WELL_KEYS, files, intervals, pair_ratio, pm, rounded, rounding_alike
+from wellspring.plans.relations import CURVE_TYPE, FILES, IV, MATCH_SCORE, PM, SIMILARITY, WELL_KEYS, files, intervals, pair_ratio, pm, rounded, rounding_alike
 from wellspring.plans.relations import curves as las
 from wellspring.tables import table
 
@@ -110,7 +110,7 @@ _VR = "vr AS (SELECT p_brand AS layer, CAST(p_size AS VARCHAR) AS version, count
 _OKV = lambda c: f"{c} IS NOT NULL AND isfinite({c}) AND abs({c}) < 1e29 AND " + " AND ".join(f"abs({c} - ({x})) > 1e-6" for x in scalars.SENTINELS)
 _PCT = ", ".join(f"round(quantile_cont(value, {q}), 4) AS {n}" for n, q in (("p05", .05), ("p25", .25), ("p50", .5), ("p75", .75), ("p95", .95)))
 
-_TYPED = "CASE " + " ".join(f"WHEN regexp_matches(upper(trim(mnemonic)), '{p}') THEN '{n}'" for n, p, _ in curves.CURVE_TYPES) + " " + " ".join(f"WHEN regexp_matches(lower(coalesce(description, '')), '{w}') THEN '{n}'" for n, _, w in curves.CURVE_TYPES) + " END"
+_TYPED = CURVE_TYPE
 
 _MKEY = "regexp_replace(upper(normalized_name), '[^0-9A-Z一-鿿]', '', 'g')"
 ORACLE = {
@@ -155,7 +155,7 @@ ORACLE = {
     "join23_classes": "SELECT id, min(id) OVER (PARTITION BY batch) AS class_id, count(*) OVER (PARTITION BY batch) - 1 AS links FROM sources WHERE batch IS NOT NULL",
     "join25_paths": "SELECT c.id, coalesce(file_path, filename) AS path FROM las_curves c LEFT JOIN sources s ON s.id = c.source_id",
     "join02_fan_out": "SELECT w.id AS well_id, (SELECT nullif(count(DISTINCT mnemonic), 0) FROM las_curves c WHERE c.well_id = w.id) AS mnemonics, (SELECT nullif(count(DISTINCT source_id), 0) FROM well_sources m WHERE m.well_id = w.id) AS sources FROM wells w",
-    "join03_left_filtered": "SELECT w.id AS well_id, (SELECT nullif(count(*), 0) FROM las_curves c WHERE c.well_id = w.id AND NOT regexp_matches(regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g'), '^(TWT|OWT|TIME|TVT|TDR)')) AS n FROM wells w",
+    "join03_left_filtered": "SELECT w.id AS well_id, (SELECT nullif(count(*), 0) FROM las_curves c WHERE c.well_id = w.id AND NOT regexp_matches(regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g'), '^(ONEWAYTIME|OWT|TWT|GENERALTIME|VELOCITY)')) AS n FROM wells w",
     "set03_paths": "SELECT DISTINCT file_path AS path FROM sources WHERE file_path IS NOT NULL",
     "set06_groups": f"WITH {PM} SELECT well_key FROM pm WHERE oil_rate > 100 UNION SELECT well_key FROM pm WHERE water_rate > 100",
     "set08_subset": "SELECT well_id FROM las_curves WHERE well_id IS NOT NULL GROUP BY well_id HAVING bool_or(upper(mnemonic) = 'GR') AND bool_or(upper(mnemonic) = 'RT')",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import scalars
 from wellspring.functions.text import clean_text, finite_number, well_key
 from wellspring.operators import catalog, curves, wells
-from wellspring.plans.relations import FILES, IV, MATCH_SCORE, PM, SAMPLES, SIMILARITY, SRC, WELL_KEYS, files, intervals, pair_ratio, pm, rounded, rounding_alike, samples, sources_kind
+from wellspring.plans.relations import CURVE_TYPE, FILES, IV, MATCH_SCORE, PM, SAMPLES, SIMILARITY, SPANNED, SRC, WELL_KEYS, files, intervals, pair_ratio, pm, rounded, rounding_alike, samples, sources_kind, spanned_curves
 from wellspring.plans.relations import curves as las
 from wellspring.tables import table
 
@@ -72,10 +72,6 @@ def _flat(s, d, m):
     return c.select("well_id", F.col("value_min").alias("low"), F.col("value_max").alias("high"))
 
 
-def _few_wells(s, d):
-    return [1, 2, 3]
-
-
 def _scalar_counts(s, d):
     src = _sources(s, d).agg(F.count("*").alias("sources"), F.count_if(F.col("status") == "ready").alias("ready"), F.sum("record_count").alias("records"))
     w = _wells(s, d).agg(F.count("*").alias("wells"), F.count("uwi").alias("with_uwi"))
@@ -118,9 +114,9 @@ QUERIES = {
     "flt09_time_depth": lambda s, d: curves.time_depth_curves(las(s, d)),
     "join10_within": lambda s, d: curves.within(_points(s, d), intervals(s, d), "well", 25.0).select("well", "point", "id"),
     "join11_overlaps": lambda s, d: rounded(curves.overlaps(_distinct(s, d), _distinct(s, d), "well", 25.0).where("a_id < b_id"), 4),
-    "mdl36_focus": lambda s, d: curves.focus(las(s, d)),
+    "mdl36_focus": lambda s, d: curves.focus(spanned_curves(s, d)),
     "mdl46_typed_curves": lambda s, d: curves.typed(las(s, d)).select("id", "curve_type", "how"),
-    "agg39_presence": lambda s, d: curves.presence(las(s, d).select("well_id", F.upper("mnemonic").alias("mnemonic")), "mnemonic", _few_wells(s, d)),
+    "agg39_presence": lambda s, d: curves.presence(las(s, d).select("well_id", F.upper("mnemonic").alias("mnemonic")), "mnemonic"),
     "ing07_unpivoted": lambda s, d: curves.unpivoted(table(s, d, "interpretation_v1").select("row_no", "well", "phi", "perm", "sw", "facies"), ["row_no", "well"]).select("row_no", "attribute", F.round(F.col("number") + 1.3e-7, 6).alias("number")),
     "agg04_interpretation": lambda s, d: curves.unpivoted(table(s, d, "interpretation_v1").select("row_no", "well", "phi", "perm", "sw", "facies"), ["row_no", "well"]).groupBy("attribute").agg(F.count("*").alias("n"), F.countDistinct("well").alias("wells")),
     "src34_catalog": lambda s, d: files(s, d),
@@ -135,7 +131,7 @@ QUERIES = {
     "mdl44_tiers": lambda s, d: catalog.tiers(_wells(s, d).select("id", F.col("canonical_name").alias("name")), "s-01"),
     "agg27_layer_registry": lambda s, d: catalog.layer_registry(table(s, d, "horizon_name_aliases")),
     "snk15_latest": lambda s, d: catalog.latest(table(s, d, "horizon_name_aliases").select(F.col("alias_key").alias("k"), "alias_id", "created_at", "alias_name"), ["k"], ["created_at", "alias_id"]).select("k", "alias_id", "alias_name"),
-    "hlp24_sources_newest": lambda s, d: _sources(s, d).orderBy(F.desc("imported_at"), F.desc("id")).select("id", "filename").limit(15),
+    "hlp24_sources_newest": lambda s, d: _sources(s, d).orderBy(F.desc("imported_at"), F.desc("id")).select("id", "filename"),
     "sc01_text_keys": lambda s, d: table(s, d, "well_head").select("row_no", well_key(F.col("well_name")).alias("k"), clean_text(F.col("remark")).alias("remark"), finite_number(F.col("total_depth").cast("string")).alias("depth")),
     "sc04_layer_keys": lambda s, d: table(s, d, "horizon_name_aliases").select("alias_id", scalars.layer_key(F.col("alias_name")).alias("k")),
     "sc05_file_keys": lambda s, d: _sources(s, d).select("id", scalars.file_well_key(F.col("filename")).alias("k"), scalars.extension(F.col("filename")).alias("ext")),
@@ -147,7 +143,7 @@ QUERIES = {
 }
 
 _KEY = lambda c: f"regexp_replace(upper(trim({c})), '[^0-9A-Z一-鿿]', '', 'g')"
-_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(upper(trim(mnemonic)), '{p}') THEN '{n}'" for n, p, _ in curves.CURVE_TYPES) + " " + " ".join(f"WHEN regexp_matches(lower(coalesce(description, '')), '{w}') THEN '{n}'" for n, _, w in curves.CURVE_TYPES) + " END"
+_TYPE = CURVE_TYPE
 _TY = f"ty AS (SELECT *, {_TYPE} AS curve_type FROM las_curves)"
 _VALID = "value IS NOT NULL AND isfinite(value) AND abs(value) < 1e29 AND " + " AND ".join(f"abs(value - ({x})) > 1e-6" for x in scalars.SENTINELS)
 _CLEAN = lambda c: f"CASE WHEN upper(trim({c})) NOT IN ('', 'NULL', 'NONE', 'N/A', 'NA', 'NAN', '-999.25') THEN {c} END"
@@ -202,14 +198,16 @@ ORACLE = {
     "agg09_histogram": f"WITH {SAMPLES}, v AS (SELECT * FROM samples WHERE {_VALID}), l AS (SELECT series, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM v GROUP BY series), b AS (SELECT series, CAST(least(27, greatest(0, floor((value - lo) / (hi - lo) * 28))) AS INT) AS bin, count(*) AS n FROM v JOIN l USING (series) GROUP BY ALL), e AS (SELECT series, CAST(r.range AS INT) AS bin FROM l, range(0, 28) r) SELECT e.series, e.bin, coalesce(n, 0) AS n FROM e LEFT JOIN b USING (series, bin)",
     "flt05_filter_all": f"WITH {_HAS} SELECT well_key FROM h WHERE coalesce(gr, false) AND coalesce(rt, false) AND NOT coalesce(dts, false)",
     "flt05_filter_any": f"WITH {_HAS} SELECT well_key FROM h WHERE coalesce(gr, false) OR coalesce(rt, false) OR NOT coalesce(dts, false)",
-    "flt09_time_depth": "WITH m AS (SELECT id, regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g') AS k FROM las_curves) SELECT id, CASE WHEN k LIKE 'TWT%' THEN 'twt' WHEN k LIKE 'OWT%' THEN 'owt' ELSE 'time_depth' END AS relation FROM m WHERE regexp_matches(k, '^(TWT|OWT|TIME|TVT|TDR)')",
+    "flt09_time_depth": "WITH m AS (SELECT id, regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g') AS k FROM las_curves) SELECT id, CASE WHEN k LIKE 'TWT%' THEN 'twt' WHEN regexp_matches(k, '^(OWT|ONEWAYTIME)') THEN 'owt' ELSE 'time_depth' END AS relation FROM m WHERE regexp_matches(k, '^(ONEWAYTIME|OWT|TWT|GENERALTIME|VELOCITY)')",
     "join10_within": f"WITH {IV} SELECT p.well, p.id AS point, i.id FROM iv p JOIN iv i ON i.well = p.well AND (p.top + p.base) / 2 BETWEEN i.top AND i.base",
     "join11_overlaps": f"WITH {IV}, u AS (SELECT well, top, base, min(id) AS id FROM iv GROUP BY ALL) SELECT a.well, a.id AS a_id, b.id AS b_id, round(least(a.base, b.base) - greatest(a.top, b.top), 4) AS shared, b.top <= a.top AND b.base >= a.base AS covered FROM u a JOIN u b ON a.well = b.well AND a.id < b.id AND greatest(a.top, b.top) < least(a.base, b.base)",
-    "mdl36_focus": f"""WITH {_TY}, r AS (SELECT * FROM ty WHERE well_id IS NOT NULL AND curve_type IS NOT NULL), m AS (SELECT well_id, curve_type, max(sample_count) AS most FROM r GROUP BY ALL), u AS (SELECT curve_type, upper(trim({_CLEAN('unit')})) AS u, count(*) AS n, min(id) AS f FROM r WHERE {_CLEAN('unit')} IS NOT NULL GROUP BY ALL), k AS (SELECT curve_type, arg_max(u, ROW(n, -f)) AS usual FROM u GROUP BY curve_type),
- s AS (SELECT r.*, round(0.74 * sample_count / greatest(most, 1) + CASE WHEN length(trim(mnemonic)) <= 4 THEN 0.10 ELSE 0 END + CASE WHEN upper(trim(unit)) = usual THEN 0.06 ELSE 0 END + CASE WHEN value_max > value_min THEN 0.10 ELSE 0 END, 6) AS score FROM r JOIN m USING (well_id, curve_type) LEFT JOIN k USING (curve_type))
- SELECT well_id, curve_type, arg_max(id, ROW(score, -id)) AS curve_id, max(score) AS score, count(*) AS candidates FROM s GROUP BY ALL""",
+    "mdl36_focus": f"""WITH {SPANNED}, ty AS (SELECT *, {_TYPE} AS curve_type FROM sc), r AS (SELECT *, nullif(upper(trim(unit)), '') AS u, greatest(0, stop - start) AS span, nullif(abs(step), 0) AS st FROM ty WHERE well_id IS NOT NULL AND curve_type IS NOT NULL AND NOT regexp_matches(regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g'), '^(ONEWAYTIME|OWT|TWT|GENERALTIME|VELOCITY)')),
+ m AS (SELECT well_id, curve_type, max(span) AS most FROM r GROUP BY ALL), n AS (SELECT curve_type, u, count(*) AS n, min(id) AS f FROM r WHERE u IS NOT NULL GROUP BY ALL), k AS (SELECT curve_type, arg_max(u, ROW(n, -f)) AS usual FROM n GROUP BY curve_type),
+ s AS (SELECT r.*, round((0.40 * span / coalesce(nullif(most, 0), 1) + 0.34 * CASE WHEN sample_count IS NULL THEN 0.55 WHEN st IS NULL THEN 1 ELSE least(1, sample_count / (span / st + 1)) END + CASE WHEN regexp_replace(upper(mnemonic), '[^A-Z0-9]', '', 'g') = CASE curve_type {" ".join(f"WHEN '{t}' THEN '{r}'" for t, r, _ in curves.CURVE_TYPES)} END THEN 0.10 ELSE 0 END
+  + CASE WHEN usual IS NULL OR u IS NULL OR u = usual THEN 0.06 ELSE 0 END + CASE WHEN value_max > value_min THEN 0.06 ELSE 0 END + CASE WHEN st IS NOT NULL THEN 0.04 ELSE 0 END) * 100, 1) AS score FROM r JOIN m USING (well_id, curve_type) LEFT JOIN k USING (curve_type))
+ SELECT well_id, curve_type, arg_max(id, ROW(score, span, upper(mnemonic), -id)) AS curve_id, max(score) AS score, count(*) AS candidates FROM s GROUP BY ALL""",
     "mdl46_typed_curves": f"WITH {_TY} SELECT id, curve_type, CASE WHEN curve_type IS NOT NULL THEN 'automatic' ELSE 'unclassified' END AS how FROM ty",
-    "agg39_presence": "SELECT upper(mnemonic) AS mnemonic, " + ", ".join(f"bool_or(well_id = {w}) AS w{i}" for i, w in enumerate((1, 2, 3))) + ", bool_or(well_id = 1) AND bool_or(well_id = 2) AND bool_or(well_id = 3) AS common FROM las_curves WHERE well_id IN (1, 2, 3) GROUP BY 1",
+    "agg39_presence": "WITH p AS (SELECT DISTINCT upper(mnemonic) AS mnemonic, well_id FROM las_curves WHERE well_id IS NOT NULL), n AS (SELECT mnemonic, count(*) AS wells FROM p GROUP BY 1) SELECT mnemonic, well_id, wells, wells = (SELECT count(DISTINCT well_id) FROM p) AS common FROM p JOIN n USING (mnemonic)",
     "ing07_unpivoted": f"WITH {_LONG} SELECT row_no, attribute, round(CASE WHEN isfinite(try_cast(text AS DOUBLE)) THEN try_cast(text AS DOUBLE) END, 6) AS number FROM lg",
     "agg04_interpretation": f"WITH {_LONG} SELECT attribute, count(*) AS n, count(DISTINCT well) AS wells FROM lg GROUP BY attribute",
     "src34_catalog": f"WITH {FILES} SELECT path, size, ext, kind, folder, well_key FROM ct",
@@ -225,7 +223,7 @@ ORACLE = {
     "mdl44_tiers": "SELECT id, canonical_name AS name, CASE WHEN contains(upper(canonical_name), 'S-01') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.94 AS DOUBLE) END AS score FROM wells WHERE contains(upper(canonical_name), 'S-01') OR contains(regexp_replace(upper(canonical_name), '[^0-9A-Z]', '', 'g'), 'S01')",
     "agg27_layer_registry": "WITH k AS (SELECT regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace(alias_name, '\\.[A-Za-z0-9]{1,4}$', '')), '[\\s_\\-.]*(V|VER|REV)\\s*\\d+$', ''), '[\\s_\\-.]*20\\d{2}$', ''), '[^0-9A-Z一-鿿]', '', 'g') AS layer, project_root, canonical_key FROM horizon_name_aliases) SELECT layer, count(*) AS names, count(DISTINCT project_root) AS projects, min(canonical_key) AS canonical FROM k GROUP BY layer",
     "snk15_latest": "SELECT alias_key AS k, arg_max(alias_id, ROW(created_at, alias_id)) AS alias_id, arg_max(alias_name, ROW(created_at, alias_id)) AS alias_name FROM horizon_name_aliases GROUP BY 1",
-    "hlp24_sources_newest": "SELECT id, filename FROM sources ORDER BY imported_at DESC NULLS LAST, id DESC LIMIT 15",
+    "hlp24_sources_newest": "SELECT id, filename FROM sources ORDER BY imported_at DESC NULLS LAST, id DESC",
     "sc01_text_keys": f"SELECT row_no, {_KEY('well_name')} AS k, {_CLEAN('remark')} AS remark, CASE WHEN isfinite(total_depth) THEN total_depth END AS depth FROM well_head",
     "sc04_layer_keys": "SELECT alias_id, regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace(alias_name, '\\.[A-Za-z0-9]{1,4}$', '')), '[\\s_\\-.]*(V|VER|REV)\\s*\\d+$', ''), '[\\s_\\-.]*20\\d{2}$', ''), '[^0-9A-Z一-鿿]', '', 'g') AS k FROM horizon_name_aliases",
     "sc05_file_keys": "SELECT id, regexp_replace(regexp_replace(upper(regexp_replace(regexp_replace(filename, '^.*[/\\\\]', ''), '\\.[A-Za-z0-9]{1,4}$', '')), '[\\s_\\-]*(COPY|RUN\\s*\\d+|FINAL|V\\d+)$', ''), '[^0-9A-Z]', '', 'g') AS k, lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM sources",
