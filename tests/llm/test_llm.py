@@ -318,17 +318,32 @@ def test_document_subjects(spark):
         (1, "Mud weight was raised to 1.04 and losses slowed.", "x"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, subject_code string")
-    got = {(r["doc_id"], r["subject_code"]) for r in subjects.document_subjects(df).collect()}
+    labels = spark.createDataFrame([(1, "drilling"), (1, "drilling"), (None, "law"), (99, "law")], "doc_id long, subject_code string")
+    got = {(r["doc_id"], r["subject_code"]) for r in subjects.document_subjects(df, labels).collect()}
     assert {(1, "drilling"), (1, "sport"), (5, "production"), (6, "petrophysics"), (8, "geophysics")} <= got and not {d for d, _ in got} & {2, 3, 4, 7}
-    labels = spark.createDataFrame([(1, "drilling")], "doc_id long, subject_code string")
     areas = spark.createDataFrame([("production", "p"), ("drilling", "d")], "subject_code string, description string")
     assert [tuple(r) for r in subjects.unlabelled_subjects(df, labels, areas).collect()] == [(5, "production")]
-    assert subjects.document_subjects(df.limit(0)).count() == 0
+    assert subjects.document_subjects(df.limit(0), labels).count() == 0
+    assert subjects.document_subjects(df, labels.limit(0)).count() >= 5
+
+
+def test_terms_are_weighed_and_learned_from_labels(spark):
+    texts = [("The zorbel was wound tightly and the plim held again. A referee spoke.", "safety"), ("Seals of the zorbel gave way in the night. The referee was ill.", "safety")] * 4 + [("The orchard bloomed early in the south.", "law"), ("Nobody came to the meeting in the south.", "law")] * 4
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(texts)], "doc_id long, subject_code string")
+    got = {(t, s): w for t, s, w in subjects.learned_terms(docs, labels)}
+    assert got["zorbel", "safety"] > 2 and got["orchard", "law"] > 1 and ("the", "safety") not in got and ("the", "law") not in got
+    assert ("referee*", "sport") not in got and got["goalkeeper*", "sport"] == 1.0  # the labels speak against one, and do not show the other
+    one = subjects.calibration(spark.createDataFrame([(0, "safety", 0.2), (1, "safety", 0.4), (8, "safety", 0.16)], "doc_id long, subject_code string, share double"), labels.where("doc_id in (0, 1, 8)"))
+    assert subjects.best_thresholds(one) == {"safety": 0.2, "law": 0.25}
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
 def test_labelled_sample_is_met(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/subject_labels.parquet")
-    r = subjects.calibration(docs, labels, (subjects.THRESHOLD,)).first()
-    assert r["hits"] / (r["hits"] + r["misses"]) > 0.9 and r["hits"] / (r["hits"] + r["false_positives"]) > 0.9
+    # half of the labels teach, the other half judges
+    known, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").select("doc_id", "subject_code").distinct()
+    got = subjects.document_subjects(docs, known).distinct().join(held.select("doc_id").distinct(), "doc_id", "left_semi")
+    hits = got.join(held, ["doc_id", "subject_code"], "left_semi").count()
+    assert hits / held.count() > 0.9 and hits / got.count() > 0.9

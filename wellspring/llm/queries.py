@@ -57,9 +57,14 @@ def p10_found(spark, d):
     return subjects.unlabelled_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
 
 
+def p10_calibration(spark, d):
+    """Agreement with the labelled sample at every threshold of each subject."""
+    return subjects.calibrated_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_golden": p2_golden, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found,
-    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
+    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_calibration": p10_calibration,
 }
 
 _TYPE = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(data_type)), '{w}') THEN '{t}'" for t, w in golden.TYPE_WORDS.items()) + " END"
