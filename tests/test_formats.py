@@ -6,10 +6,10 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wellspring.sources import binary_formats as bf
-from wellspring.sources import seismic
-from wellspring.sources import sinks
+from wellspring.sources import headers, seismic, sinks
 from wellspring.sources import text_formats as tf
 
 LAS = "~Version\n VERS. 2.0 :\n WRAP. {wrap} :\n~Well\n STRT.M 100.0 :\n STOP.M 102.0 :\n STEP.M 1.0 :\n NULL. -999.25 :\n WELL. W-1 : WELL\n~Curve\n DEPT.M : depth\n GR.API : gamma ray\n RT.OHMM : deep\n~ASCII\n{data}\n"
@@ -144,9 +144,50 @@ def test_workbook_and_delimited(spark, tmp_path):
     assert sorted((r["name"], r["text"]) for r in bf.workbook_cells(spark, str(tmp_path)).collect()) == [("COLUMN_2", "7"), ("Well", "W1")]
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.csv").write_text("Well Name;X;Y\nA;1;2\n")
-    df = bf.read_delimited(spark, str(tmp_path / "d"))
-    assert df.columns == ["Well Name", "X", "Y"] and bf.field_map(df.columns) == {"well": "Well Name", "x": "X", "y": "Y"}
-    assert bf.detect_type("a/b.csv", df.columns) == "well_head" and bf.detect_type("q.las", []) == "las" and bf.detect_type("my_prod.txt", []) == "production"
+    df = headers.read_delimited(spark, str(tmp_path / "d"))
+    assert df.columns == ["Well Name", "X", "Y"] and headers.field_map(df.columns) == {"well": "Well Name", "x": "X", "y": "Y"}
+    assert [tuple(r) for r in df.collect()] == [("A", "1", "2")]
+
+
+@pytest.mark.parametrize("encoding, sep", [("utf-8-sig", "\t"), ("utf-8", ","), ("gb18030", ";"), ("latin-1", ",")])
+def test_encodings_and_separators(spark, tmp_path, encoding, sep):
+    first, name = ("Señ", "Peñ") if encoding == "latin-1" else ("井号", "塔里木")
+    (tmp_path / "t.txt").write_bytes(f"{first}{sep}OILPRODRATE{sep}\n{name}{sep}3.5{sep}x\n".encode(encoding))
+    df = headers.read_delimited(spark, str(tmp_path / "t.txt"))
+    assert df.columns == [first, "OILPRODRATE", "COLUMN_3"] and [tuple(r) for r in df.collect()] == [(name, "3.5", "x")]
+
+
+def test_types_by_headers_and_names():
+    assert headers.field_map(["井号", "生产日期", "日产油", "含水", "OILPRODRATE"]) == {"well": "井号", "production_month": "生产日期", "oil_rate": "OILPRODRATE", "water_cut": "含水"}
+    told = lambda p, h=None: headers.detect_type(p, h)
+    assert told("a/b.csv", ["WELL_NAME", "X", "Y"]) == "well_head" and told("q.LAS") == "las" and told("x.mdb") == "production" and told("L.SEGY") == "seismic" and told("p.geojson") == "polygon"
+    assert told("my_prod.txt", ["well", "qo"]) == "production" and told("perforation.csv", ["WELL", "TOP", "BASE"]) == "production" and told("t.csv", ["WELL", "TOP", "BASE"]) == "interpretation"
+    assert told("n.csv", ["ALIAS", "CANONICAL"]) == "alias" and told("d.csv", ["Well", "MD", "Incl", "Azimuth"]) == "deviation" and told("c.csv", ["Well", "PERM"]) == "interpretation"
+    assert told("z.csv", ["X", "Y", "Name"]) == "polygon" and told("井斜.txt") == "deviation" and told("岩心.txt") == "core" and told("解释.txt") == "interpretation" and told("readme") == "well_head"
+
+
+def test_predicted_types(spark):
+    want = {"a/W1.las": ("las", True), "checkshots/W1.las": ("time_depth", True), "x.accdb": ("ofm_mdb", True), "l.sgy": ("seismic", True), "b.shp": ("polygon", False), "b.json": ("polygon", True), "w.dev": ("deviation", False), "horizons/top.txt": ("horizon", False), "断层.txt": ("fault", False),
+            "c.tif": ("image", False), "b.dbf": ("sidecar", False), "well head.csv": ("well_head", True), "wellpath/a.txt": ("deviation", True), "孔渗.xlsx": ("interpretation", True), "core.csv": ("core", True), "alias.csv": ("alias", True), "区块.csv": ("polygon", True), "q.tsv": ("table", True), "readme.md": ("other", False)}
+    df = spark.createDataFrame([(p,) for p in want], "path string").select("path", headers.predicted_type(F.col("path")).alias("t"))
+    assert {r["path"]: tuple(r["t"]) for r in df.collect()} == want
+
+
+def test_log_headers_without_data(spark, tmp_path):
+    (tmp_path / "a.las").write_bytes(LAS.format(wrap="NO", data="100 1 2\n101 3 4").encode() + b"9 9 9\n" * 40_000)
+    got = tf.las_headers(spark, str(tmp_path)).orderBy("place").collect()
+    assert [(r["well"], r["mnemonic"], r["unit"], r["start"]) for r in got] == [("W-1", "DEPT", "M", 100.0), ("W-1", "GR", "API", 100.0), ("W-1", "RT", "OHMM", 100.0)]
+    lines = tf.las_header_lines(spark, str(tmp_path)).orderBy("place").collect()
+    assert lines[0]["line"] == "~Version" and lines[-1]["section"] == "C" and lines[-1]["line"] == " RT.OHMM : deep"
+    s = spark.createDataFrame([("a", "GR", float(i), float(i) if i % 2 else None) for i in range(100)], "path string, mnemonic string, md double, value double")
+    one, two = (sorted(map(tuple, tf.curve_reservoir(s.repartition(n), 10).collect())) for n in (1, 4))
+    assert one == two and len(one) == 10
+
+
+def test_trajectory_summary(spark):
+    rows = [("a.dev", v) for v in ("# WELL TRACE FROM PROJECT", "# WELL NAME: AB-1", "# WELL HEAD X-COORDINATE: 500.5", "# WELL HEAD Y-COORDINATE: 2000", "# WELL KB: 12.5", "MD X Y Z TVD", "0 500 2000 12 0", "10.5 500 2000 2 10")] + [("b.dev", "no stations")]
+    got = {r["path"]: r for r in tf.dev_summary(spark, spark.createDataFrame(rows, "path string, value string")).collect()}
+    assert (got["a.dev"]["x"], got["a.dev"]["y"], got["a.dev"]["datum"], got["a.dev"]["stations"], got["a.dev"]["base_md"]) == (500.5, 2000.0, 12.5, 2, 10.5) and got["b.dev"]["stations"] == 0
 
 
 def test_versioned_tables(spark, tmp_path):

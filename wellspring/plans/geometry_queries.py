@@ -180,6 +180,7 @@ _LASTROW = "(SELECT max(row) FROM nodes)"
 _VEC = "vc AS (SELECT vec_id AS id, CAST(label AS INT) AS cluster, unnest(range(len(embedding))) AS component, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 _PL = "a AS (SELECT o_custkey AS well, count(*) AS n, max(o_orderkey) AS m FROM orders GROUP BY 1), pl AS (SELECT well, 'p' AS plan, n % 4 + 1 AS rank FROM a UNION ALL SELECT well, 'q', m % 4 + 1 FROM a)"
 _BASE = f"WITH {NODES}"
+_RINGS = "SELECT {} FROM (SELECT polygon, CAST(area AS DOUBLE) AS area, CAST(min_x AS DOUBLE) AS min_x, CAST(max_x AS DOUBLE) AS max_x, CAST(min_y AS DOUBLE) AS min_y, CAST(max_y AS DOUBLE) AS max_y FROM (VALUES ('square', 37500.0, 50.5, 250.5, 50.5, 250.5), ('triangle', 20000.0, 200.5, 400.5, 300.5, 500.5)) t(polygon, area, min_x, max_x, min_y, max_y))"
 
 ORACLE = {
     "mdl01_minimum_curvature": f"WITH {_MC} SELECT well, md, round(dogleg, 4) AS dogleg, round(north, 4) AS north, round(east, 4) AS east, round(tvd, 4) AS tvd FROM mc",
@@ -200,7 +201,7 @@ ORACLE = {
     "mdl06_copies": f"WITH {ST}, g AS (SELECT well, string_agg(CAST(md AS VARCHAR) || '|' || CAST(inc AS VARCHAR), ';' ORDER BY md, inc) AS s, count(*) AS n FROM st GROUP BY well), k AS (SELECT s, count(*) AS copies, any_value(n) AS stations FROM g GROUP BY s) SELECT copies, stations, count(*) AS n FROM k GROUP BY ALL",
     "mdl21_silhouette": """WITH e AS (SELECT vec_id AS id, CAST(label AS INT) AS cluster, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), d AS (SELECT a.id, a.cluster AS ca, b.cluster AS cb, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.id <> b.id GROUP BY ALL),
  p AS (SELECT id, min(d) FILTER (ca = cb) AS own, min(d) FILTER (ca <> cb) AS other FROM d GROUP BY id) SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / nullif(greatest(own, other), 0) END), 4) AS silhouette, count(*) AS n FROM p""",
-    "geo02_polygon_areas": "SELECT polygon, CAST(area AS DOUBLE) AS area, CAST(min_x AS DOUBLE) AS min_x, CAST(max_x AS DOUBLE) AS max_x, CAST(min_y AS DOUBLE) AS min_y, CAST(max_y AS DOUBLE) AS max_y FROM (VALUES ('square', 37500.0, 50.5, 250.5, 50.5, 250.5), ('triangle', 20000.0, 200.5, 400.5, 300.5, 500.5)) t(polygon, area, min_x, max_x, min_y, max_y)",
+    "geo02_polygon_areas": _RINGS.format("*"),
     "flt02_points_in_polygons": f"{_BASE}, {_PTS} SELECT id, 'square' AS polygon FROM pt WHERE x > 50.5 AND x < 250.5 AND y > 50.5 AND y < 250.5 AND NOT (x > 100.5 AND x < 150.5 AND y > 100.5 AND y < 150.5) UNION ALL SELECT id, 'triangle' FROM pt WHERE y > 300.5 AND y - 300.5 < 2 * (x - 200.5) AND y - 300.5 < 2 * (400.5 - x)",
     "join18_sampled": f"{_BASE}, {_PTS}, p AS (SELECT *, CAST(round_even(x / 10.0, 0) AS INT) AS c, CAST(round_even(y / 10.0, 0) AS INT) AS r FROM pt) SELECT p.id, CASE WHEN NOT (r BETWEEN 0 AND {_LASTROW} AND c BETWEEN 0 AND 39) THEN 'outside' WHEN value IS NULL THEN 'missing' ELSE 'ok' END AS status, round(CASE WHEN r BETWEEN 0 AND {_LASTROW} AND c BETWEEN 0 AND 39 THEN value END, 4) AS value, round(CASE WHEN r BETWEEN 0 AND {_LASTROW} AND c BETWEEN 0 AND 39 THEN sqrt(pow(x - c * 10.0, 2) + pow(y - r * 10.0, 2)) END, 4) AS distance FROM p LEFT JOIN nodes ON nodes.row = r AND nodes.col = c",
     "mdl27_resampled": f"{_BASE}, t AS (SELECT CAST(i // 40 AS INT) AS row, CAST(i % 40 AS INT) AS col FROM range(0, ({_LASTROW} + 1) * 40) r(i)) SELECT t.row, t.col, round(value, 4) AS value FROM t LEFT JOIN nodes n ON n.row = CAST(round_even((5.0 + t.row * 7.0) / 10.0, 0) AS INT) AND n.col = CAST(round_even((5.0 + t.col * 7.0) / 10.0, 0) AS INT)",

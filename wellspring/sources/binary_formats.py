@@ -1,8 +1,7 @@
-"""Binary and structured formats: shapefile polygons, GeoJSON, workbooks, delimited text."""
+"""Binary and structured formats: shapefile polygons, GeoJSON, workbooks."""
 
 from __future__ import annotations
 
-import csv
 import io
 import json
 import re
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wellspring.sources.files import decoded, parsed
 
 
-def shapefile_rings(spark: SparkSession, path: str) -> DataFrame:
+def shapefile_rings(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """SRC25: ring points (path, polygon, ring, seq, x, y) of polygon shapes, and of
     lines that close; rings of fewer than three points drop."""
 
@@ -46,7 +45,7 @@ def shapefile_rings(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark, path, "*.shp", rows, "path string, polygon string, ring int, seq int, x double, y double")
 
 
-def geojson_rings(spark: SparkSession, path: str) -> DataFrame:
+def geojson_rings(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """SRC23: ring points of polygons; parts of a multipolygon are polygons of their own."""
 
     def rows(p: str, content: bytes) -> list[dict]:
@@ -65,7 +64,7 @@ def geojson_rings(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark, path, "*.geojson", rows, "path string, polygon string, ring int, seq int, x double, y double")
 
 
-def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
+def workbook_cells(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """SRC02: cells (path, sheet, row_no, name, text) of workbooks under their column
     names; a blank name is COLUMN_n."""
 
@@ -94,49 +93,3 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
         return out
 
     return parsed(spark, path, "*.xlsx", rows, "path string, sheet string, row_no int, name string, text string")
-
-
-# fixed values: header spellings of logical fields, first match wins
-FIELD_ALIASES = {
-    "well": ["well", "wellname", "well_name", "name", "井名", "井号"], "uwi": ["uwi", "api"], "x": ["x", "surfacex", "easting", "xcoord"], "y": ["y", "surfacey", "northing", "ycoord"],
-    "kb": ["kb", "kbelevation", "elev", "datum"], "td": ["td", "totaldepth"], "md": ["md", "depth", "dept"], "inc": ["inc", "incl", "inclination"], "azi": ["azi", "azimuth"],
-    "date": ["date", "month", "productiondate", "日期"], "days_on": ["dayson", "days", "daysonproduction"], "oil_rate": ["oilrate", "qo", "oil"], "water_rate": ["waterrate", "qw", "water"],
-}
-
-
-def field_map(headers: list[str]) -> dict[str, str]:
-    """SRC04: logical field to header, by ordered spellings."""
-    by_key = {re.sub(r"[^0-9a-z一-鿿]", "", h.lower()): h for h in reversed(headers)}
-    out = {}
-    for field, names in FIELD_ALIASES.items():
-        hit = next((by_key[k] for n in names if (k := re.sub(r"[^0-9a-z一-鿿]", "", n)) in by_key), None)
-        if hit is not None:
-            out[field] = hit
-    return out
-
-
-def detect_type(path: str, headers: list[str]) -> str:
-    """SRC03: type of a file by ending, header signature, then words in its name."""
-    ext = path.rsplit(".", 1)[-1].lower()
-    if ext in ("las", "dev", "sgy", "segy", "shp", "geojson", "zgy"):
-        return {"las": "las", "dev": "deviation", "sgy": "seismic", "segy": "seismic", "zgy": "seismic", "shp": "polygon", "geojson": "polygon"}[ext]
-    have = set(field_map(headers))
-    for kind, needs in (("deviation", {"md", "inc", "azi"}), ("production", {"date", "oil_rate"}), ("well_head", {"well", "x", "y"})):
-        if needs <= have:
-            return kind
-    name = path.lower()
-    return next((k for k, w in (("production", "prod"), ("interpretation", "interp"), ("core", "core"), ("well_head", "head")) if w in name), "other")
-
-
-def read_delimited(spark: SparkSession, path: str, head_bytes: int = 65536) -> DataFrame:
-    """SRC01: delimited text as strings; encoding and delimiter are told from the
-    first bytes of the first file, then Spark reads all of it in parallel."""
-    first = spark.read.format("binaryFile").load(path).select("path").orderBy("path").first()["path"]
-    lines = spark.read.text(first).limit(50).collect()  # at most 50 lines
-    raw = "\n".join(r["value"] or "" for r in lines)[:head_bytes]
-    try:
-        sep = csv.Sniffer().sniff(raw, ",\t;").delimiter
-    except csv.Error:
-        sep = ","
-    encoding = "gb18030" if "�" in raw else "utf-8"
-    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False)

@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspring.operators.ingest import convex_hulls
+from wellspring.sources.files import opened
 
 HEAD, TRACE, TEXT = 3600, 240, 3200
 PROBED = 512  # trace headers a layout is told from
@@ -110,12 +110,6 @@ def segy_layout(headers: list[bytes], text: str = "") -> str:
     return max(LAYOUTS, key=fit)
 
 
-def _opened(path: str):
-    """A readable, seekable file of any filesystem pyarrow knows."""
-    where, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-    return where.open_input_file(name)
-
-
 def _walked(handle, start: int, size: int, samples: int, width: int, most: int) -> Iterator[tuple[int, bytes, int, bool]]:
     """(place, header, samples, whole) of at most `most` traces from a byte place on."""
     at = start
@@ -145,7 +139,7 @@ def segy_files(spark: SparkSession, path: str) -> DataFrame:
         out = {"path": p, "size": size}
         if size < HEAD:
             return out | {"warning": "shorter than the file header"}
-        with _opened(p) as handle:
+        with opened(p) as handle:
             head = handle.read(HEAD)
             step, samples, code = (struct.unpack(">H", head[TEXT + at : TEXT + at + 2])[0] for at in (16, 20, 24))
             extended = struct.unpack(">h", head[TEXT + 304 : TEXT + 306])[0]
@@ -186,7 +180,7 @@ def segy_traces(spark: SparkSession, path: str, with_samples: bool = False, each
     def read(r) -> pd.DataFrame | None:
         length = (r.size - r.start) // r.traces if r.traces else 0
         first = int(r.part) * each if r.fixed else 0
-        with _opened(r.path) as handle:
+        with opened(r.path) as handle:
             got = list(_walked(handle, int(r.start + first * length), int(r.size), int(r.head_samples), int(r.width), each if r.fixed else -1))
             if not got:
                 return None

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import shlex
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wellspring.sources.files import decoded, number, parsed
+from wellspring.sources.files import LOG_ENCODINGS, decoded, number, opened, parsed, text_lines
 
 _LINE = re.compile(r"^\s*([^.\s]+)\s*\.(\S*)\s*(.*?)\s*(?::\s*(.*))?$")
 
@@ -19,7 +22,7 @@ def _las(content: bytes) -> tuple[dict, list[tuple[str, str, str]], np.ndarray]:
     A wrapped file is cut into rows by its number of curves; short rows drop."""
     section, head, curves, numbers = "", {}, [], []
     wrap = False
-    for line in decoded(content).splitlines():
+    for line in decoded(content, LOG_ENCODINGS).splitlines():
         if not line.strip() or line.lstrip().startswith("#"):
             continue
         if line.lstrip().startswith("~"):
@@ -50,19 +53,63 @@ def _las(content: bytes) -> tuple[dict, list[tuple[str, str, str]], np.ndarray]:
     return head, curves, data
 
 
-def las_headers(spark: SparkSession, path: str) -> DataFrame:
-    """SRC05: one row per curve of each LAS file: well, depth range, mnemonic, unit."""
+_HEADER = "path string, well string, uwi string, start double, stop double, step double, depth_unit string, place int, mnemonic string, unit string, description string"
+
+
+def _header_rows(p: str, content: bytes) -> list[dict]:
+    head, curves, _ = _las(content.split(b"~A")[0])
+    get = lambda k: head.get(k, (None, None))
+    return [{"path": p, "well": get("WELL")[0], "uwi": get("UWI")[0], "start": number(get("STRT")[0]), "stop": number(get("STOP")[0]), "step": number(get("STEP")[0]), "depth_unit": get("STRT")[1], "place": i, "mnemonic": m, "unit": u, "description": d} for i, (m, u, d) in enumerate(curves)]
+
+
+def _head_of(path: str, chunk: int = 65536) -> bytes:
+    """A log file up to its data section."""
+    raw = b""
+    with opened(path) as f:
+        while b"~A" not in raw and (more := f.read(chunk)):
+            raw += more
+    return raw.split(b"~A")[0]
+
+
+def las_headers(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """SRC05: one row per curve of each LAS file: well, depth range, mnemonic, unit. Of
+    files only the part before their data is read."""
+    if isinstance(path, DataFrame):
+        return parsed(spark, path, "", _header_rows, _HEADER)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.[lL][aA][sS]").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                yield pd.DataFrame(_header_rows(p, _head_of(p)), columns=[c.split()[0] for c in _HEADER.split(", ")])
+
+    return listed.mapInPandas(run, _HEADER)
+
+
+def las_header_lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """SRC08: the header lines of LAS files as they stand (path, place, section, line),
+    for exports that keep them."""
 
     def rows(p: str, content: bytes) -> list[dict]:
-        head, curves, _ = _las(content.split(b"~A")[0])
-        get = lambda k: head.get(k, (None, None))
-        return [{"path": p, "well": get("WELL")[0], "uwi": get("UWI")[0], "start": number(get("STRT")[0]), "stop": number(get("STOP")[0]), "step": number(get("STEP")[0]), "depth_unit": get("STRT")[1], "place": i, "mnemonic": m, "unit": u, "description": d} for i, (m, u, d) in enumerate(curves)]
+        out, section = [], ""
+        for i, line in enumerate(decoded(content.split(b"~A")[0], LOG_ENCODINGS).splitlines()):
+            section = line.strip()[1:2].upper() if line.lstrip().startswith("~") else section
+            out.append({"path": p, "place": i, "section": section, "line": line})
+        return out
+
+    return parsed(spark, path, "*.[lL][aA][sS]", rows, "path string, place int, section string, line string")
+
 
-    return parsed(spark, path, "*.[lL][aA][sS]", rows, "path string, well string, uwi string, start double, stop double, step double, depth_unit string, place int, mnemonic string, unit string, description string")
+def curve_reservoir(samples: DataFrame, size: int = 2048, seed: int = 42) -> DataFrame:
+    """SRC07: at most `size` samples of each file and curve (path, mnemonic, md, value),
+    those of the least seeded hash of their depth: the same ones however the file is
+    read. A sampling operator; a file's curve is its unit."""
+    w = W.partitionBy("path", "mnemonic").orderBy(F.xxhash64(F.lit(seed), "md"), "md", "value")
+    return samples.where("value is not null").withColumn("n", F.row_number().over(w)).where(F.col("n") <= size).drop("n")
 
 
-def las_samples(spark: SparkSession, path: str, mnemonics: tuple[str, ...] | None = None) -> DataFrame:
-    """SRC06-SRC08: long samples (path, well, mnemonic, md, value) of LAS files, of
+def las_samples(spark: SparkSession, path: str | DataFrame, mnemonics: tuple[str, ...] | None = None) -> DataFrame:
+    """SRC06, SRC07: long samples (path, well, mnemonic, md, value) of LAS files, of
     some curves only if named; the depth is DEPT, DEPTH, MD or the first curve."""
 
     def rows(p: str, content: bytes) -> list[dict]:
@@ -84,10 +131,10 @@ def las_statistics(samples: DataFrame) -> DataFrame:
     return s.select("path", "mnemonic", "n", "low", "high", "mean", "std", *[F.col("p")[i].alias(c) for i, c in enumerate(("p05", "p50", "p95"))])
 
 
-def dev_stations(spark: SparkSession, path: str) -> DataFrame:
-    """SRC10, SRC11: stations (path, md, x, y, z, tvd) of trajectory files: lines of at
+def dev_stations(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """SRC10: stations (path, md, x, y, z, tvd) of trajectory files: lines of at
     least five numbers. Plain text, so large files split."""
-    t = spark.read.option("pathGlobFilter", "*.dev").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").alias("p"))
+    t = text_lines(spark, path, "*.dev").select("path", F.split(F.trim("value"), r"\s+").alias("p"))
     n = [F.try_element_at("p", F.lit(i + 1)).try_cast("double") for i in range(5)]
     ok = F.size("p") >= 5
     for c in n:
@@ -95,6 +142,20 @@ def dev_stations(spark: SparkSession, path: str) -> DataFrame:
     return t.where(ok).select("path", *[c.alias(a) for c, a in zip(n, ("md", "x", "y", "z", "tvd"))])
 
 
+def dev_summary(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """SRC11: per trajectory file the well, head coordinates and datum its comment lines
+    tell, and the number and range of its stations."""
+    lines = text_lines(spark, path, "*.dev")
+    told = lambda pattern: F.max(F.nullif(F.trim(F.regexp_extract("value", pattern, 1)), F.lit("")))
+    num = r"[:=\s]\s*(-?\d+(?:\.\d+)?)"
+    head = lines.groupBy("path").agg(
+        told(r"(?i)^\s*#\s*WELL(?:\s+NAME)?\s*[:=\s]\s*(.+)$").alias("well"), told(r"(?i)^\s*#.*HEAD\s+X(?:-COORDINATE)?\s*" + num).try_cast("double").alias("x"),
+        told(r"(?i)^\s*#.*HEAD\s+Y(?:-COORDINATE)?\s*" + num).try_cast("double").alias("y"), told(r"(?i)^\s*#.*(?:KB|DATUM)[^:=]*" + num).try_cast("double").alias("datum"),
+    )
+    body = dev_stations(spark, path).groupBy("path").agg(F.count("*").alias("stations"), F.min("md").alias("top_md"), F.max("md").alias("base_md"))
+    return head.join(body, "path", "left").withColumn("stations", F.coalesce("stations", F.lit(0)))
+
+
 def _header_table(text: str) -> list[dict]:
     """Rows of text tables with BEGIN HEADER / END HEADER column lists; a file may
     have several of them."""
@@ -118,7 +179,7 @@ def _header_table(text: str) -> list[dict]:
     return out
 
 
-def well_tops(spark: SparkSession, path: str, pattern: str = "*.tops") -> DataFrame:
+def well_tops(spark: SparkSession, path: str | DataFrame, pattern: str = "*.tops") -> DataFrame:
     """SRC12, SRC13: picks (path, well, surface, type, md, x, y, z)."""
 
     def rows(p: str, content: bytes) -> list[dict]:
@@ -127,7 +188,7 @@ def well_tops(spark: SparkSession, path: str, pattern: str = "*.tops") -> DataFr
     return parsed(spark, path, pattern, rows, "path string, well string, surface string, type string, md double, x double, y double, z double")
 
 
-def well_heads(spark: SparkSession, path: str, pattern: str = "*.wh") -> DataFrame:
+def well_heads(spark: SparkSession, path: str | DataFrame, pattern: str = "*.wh") -> DataFrame:
     """SRC09: well heads (path, well, uwi, x, y, kb, td)."""
 
     def rows(p: str, content: bytes) -> list[dict]:
@@ -137,7 +198,7 @@ def well_heads(spark: SparkSession, path: str, pattern: str = "*.wh") -> DataFra
     return parsed(spark, path, pattern, rows, "path string, well string, uwi string, x double, y double, kb double, td double")
 
 
-def checkshots(spark: SparkSession, path: str, pattern: str = "*.cks") -> DataFrame:
+def checkshots(spark: SparkSession, path: str | DataFrame, pattern: str = "*.cks") -> DataFrame:
     """SRC14: time-depth points (path, well, md, time)."""
 
     def rows(p: str, content: bytes) -> list[dict]:
@@ -170,7 +231,7 @@ def _zmap(text: str) -> tuple[np.ndarray, tuple]:
     return values, tuple(parts[2:6])
 
 
-def grid_nodes(spark: SparkSession, path: str, pattern: str = "*.{grd,zmap}") -> DataFrame:
+def grid_nodes(spark: SparkSession, path: str | DataFrame, pattern: str = "*.{grd,zmap}") -> DataFrame:
     """SRC15-SRC17: nodes (path, row, col, x, y, value) of FSASCI and ZMAP+ grids, row
     0 in the south; null nodes have a null value."""
 
@@ -184,10 +245,10 @@ def grid_nodes(spark: SparkSession, path: str, pattern: str = "*.{grd,zmap}") ->
     return parsed(spark, path, pattern, rows, "path string, row int, col int, x double, y double, value double")
 
 
-def xyz_points(spark: SparkSession, path: str, pattern: str = "*.xyz") -> DataFrame:
+def xyz_points(spark: SparkSession, path: str | DataFrame, pattern: str = "*.xyz") -> DataFrame:
     """SRC18: points (path, x, y, z): the last three numbers of lines of three or,
     with line numbers before them, five."""
-    t = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"[\s,;]+").alias("p"))
+    t = text_lines(spark, path, pattern).select("path", F.split(F.trim("value"), r"[\s,;]+").alias("p"))
     n = [F.try_element_at("p", F.lit(i)).try_cast("double") for i in (-3, -2, -1)]
     return t.where(F.size("p").isin(3, 5) & n[0].isNotNull() & n[1].isNotNull() & n[2].isNotNull()).select("path", *[c.alias(a) for c, a in zip(n, "xyz")])
 
@@ -196,8 +257,6 @@ def perforations(rows: DataFrame) -> DataFrame:
     """SRC36, WIN14, HLP22: details under block headers of a sheet (sheet, row_no, marker,
     name, kind, date, top, base) inherit the header's well; thickness; rows
     without kind or ends drop. Sheets are the unit a person can fill."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("sheet").orderBy("row_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     dates = [F.try_to_timestamp("date", F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "yyyyMMdd")]
     filled = rows.withColumn("well", F.last(F.when(F.col("marker") == "WELL", F.col("name")), True).over(w)).where("coalesce(marker, '') <> 'WELL'")
