@@ -229,7 +229,15 @@ def test_entries(spark):
     assert sorted(tuple(r) for r in canonical.curve_entries(c, ref).collect()) == [(2, "GR"), (2, "GR"), (3, "GR")]
     assert canonical.curve_entries(c.limit(0), ref).count() == 0
     h = spark.createDataFrame([(1, "Quarrin Sh", None), (2, "Quarrin Sh", "QUARRINSHALE")], "alias_id long, alias_name string, canonical_key string")
-    assert [tuple(r) for r in canonical.horizon_entries(h, spark.createDataFrame(HORIZONS, "canonical_key string, canonical_name string")).collect()] == [(1, "QUARRINSHALE")]
+    groups = spark.createDataFrame(HORIZONS, "canonical_key string, canonical_name string")
+    assert [tuple(r) for r in canonical.horizon_entries(h, groups).collect()] == [(1, "QUARRINSHALE")]
+    # names that only the table itself spells, and aliases given as a table
+    h = spark.createDataFrame([(1, "Old K7 reef", None), (2, "OLD-K7 REEF", "QUARRINSHALE"), (3, "both", "QUARRINSHALE"), (4, "both", "QUARRINSANDSTONE"), (5, "Both", None), (6, None, None)], h.schema)
+    assert sorted(tuple(r) for r in canonical.horizon_entries(h, groups).collect()) == [(1, "QUARRINSHALE"), (5, "UNMATCHED"), (6, "UNMATCHED")]
+    c = spark.createDataFrame([(1, "GR", "natural count rate"), (2, "QQ7", "Natural count rate."), (3, "zzgam", None), (4, "ild", None)], "id long, mnemonic string, description string")
+    assert sorted(tuple(r) for r in canonical.curve_entries(c, ref).collect()) == [(2, "GR"), (3, "UNMATCHED"), (4, "RT")]
+    aliases = spark.createDataFrame([("zzgam", "GR"), ("zzgam", "no such entry"), (None, "GR")], "alias string, entry string")
+    assert sorted(tuple(r) for r in canonical.curve_entries(c, ref, aliases).collect()) == [(2, "GR"), (3, "GR"), (4, "UNMATCHED")]
 
 
 # -- tokenizing

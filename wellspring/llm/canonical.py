@@ -4,7 +4,11 @@ Names and aliases of the list go into a multi-pattern automaton. It finds the
 mentions embedded in a value; the longest mentions that do not overlap win. A
 value without a mention is compared with every entry by token-set similarity,
 in which tokens match up to a slip (one edit, a swap of neighbours included).
-What stays below the threshold or is equally near two entries is unmatched.
+What stays below the threshold or is equally near two entries is unmatched, unless
+the tables themselves spell it: a name that others have mapped, always to one entry.
+
+Aliases are a table (alias, entry) and a parameter; CURVES below is the one for log
+curves, of public mnemonics. An entry without aliases is found by its key and name.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ from dataclasses import dataclass
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNMATCHED = "UNMATCHED"
 SIMILAR = 0.75  # least token-set similarity; calibrated on the aliases with a known entry
 
-# fixed values: spellings of log curves by reference key (public mnemonics of logging companies, and names)
+# fixed values: the alias table of log curves by reference key (public mnemonics of logging companies, and names)
 CURVES = {
     "GR": "grgc|grc|gamma|gam|natural gamma ray|gamma ray|自然伽马",
     "SP": "ssp|spont|spbr|self potential|spontaneous potential|自然电位",
@@ -154,9 +158,18 @@ class CanonicalList:
         return top[0][0]
 
 
-def curve_list(reference: list[tuple[str, str]]) -> CanonicalList:
-    """Reference curves (key, name) with their known spellings."""
-    return CanonicalList({k: [k, n or k, *CURVES.get(k, "").split("|")] for k, n in reference})
+def curve_aliases() -> list[tuple[str, str]]:
+    """The alias table of log curves: (alias, entry)."""
+    return [(alias, key) for key, line in CURVES.items() for alias in line.split("|")]
+
+
+def curve_list(reference: list[tuple[str, str]], aliases: list[tuple[str, str]] | None = None) -> CanonicalList:
+    """Reference curves (key, name) with their aliases."""
+    spellings = {k: [k, n or k] for k, n in reference}
+    for alias, key in curve_aliases() if aliases is None else aliases:
+        if key in spellings:
+            spellings[key].append(alias)
+    return CanonicalList(spellings)
 
 
 def horizon_list(groups: list[tuple[str, str]]) -> CanonicalList:
@@ -207,43 +220,69 @@ def resolve_horizon(listed: CanonicalList, name: str | None) -> str:
 
 
 @functools.lru_cache(maxsize=8)
-def _compiled(kind: str, keys: tuple):
+def _compiled(kind: str, keys: tuple, aliases: tuple | None = None):
     """One compiled list and its remembered answers per worker process."""
     if kind == "curve":
-        return functools.lru_cache(maxsize=200_000)(functools.partial(resolve_curve, curve_list(list(keys))))
+        return functools.lru_cache(maxsize=200_000)(functools.partial(resolve_curve, curve_list(list(keys), None if aliases is None else list(aliases))))
     return functools.lru_cache(maxsize=200_000)(functools.partial(resolve_horizon, horizon_list(list(keys))))
 
 
-def _resolve_udf(kind: str, keys: list):
-    keys = tuple(keys)
+def _resolve_udf(kind: str, keys: list, aliases: list | None = None):
+    """Every distinct value of a batch is resolved once."""
+    keys, aliases = tuple(keys), None if aliases is None else tuple(aliases)
+
+    def answers(values: pd.Series, resolve) -> pd.Series:
+        codes, distinct = pd.factorize(values)
+        said = [resolve(*v) for v in distinct]
+        return pd.Series([said[c] for c in codes], dtype=object)
+
+    def plain(names: pd.Series) -> pd.Series:
+        return names.astype(object).where(names.notna(), None)
 
     def one(names: pd.Series) -> pd.Series:
-        resolve = _compiled(kind, keys)
-        return pd.Series([resolve(n) for n in names.astype(object).where(names.notna(), None)], dtype=object)
+        return answers(pd.Series([(n,) for n in plain(names)], dtype=object), _compiled(kind, keys))
 
     def two(names: pd.Series, texts: pd.Series) -> pd.Series:
-        resolve = _compiled(kind, keys)
-        pairs = zip(names.astype(object).where(names.notna(), None), texts.astype(object).where(texts.notna(), None))
-        return pd.Series([resolve(*p) for p in pairs], dtype=object)
+        return answers(pd.Series(list(zip(plain(names), plain(texts))), dtype=object), _compiled(kind, keys, aliases))
 
     return F.pandas_udf(two if kind == "curve" else one, T.StringType())
 
 
-def curve_entries(curves: DataFrame, reference: DataFrame) -> DataFrame:
+def squeezed(c: str) -> Column:
+    """Letters and digits of a name, small; null where there are none."""
+    return F.nullif(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", ""), F.lit(""))
+
+
+def _also_known(resolved: DataFrame, spelled: DataFrame) -> DataFrame:
+    """record_id, canonical_key of rows (record_id, spelling, canonical_key): unmatched
+    ones take the entry that all rows spelled (spelling, entry) alike have. Spellings join
+    by equality; rows without one are spread by their id."""
+    learned = spelled.where("spelling is not null and entry is not null").groupBy("spelling").agg(F.min("entry").alias("entry"), F.max("entry").alias("other")).where("entry = other").select("spelling", "entry")
+    rows = resolved.withColumn("spelling", F.coalesce("spelling", F.concat(F.lit("\u0000"), F.col("record_id").cast("string"))))
+    key = F.when(F.col("canonical_key") == UNMATCHED, F.coalesce("entry", F.lit(UNMATCHED))).otherwise(F.col("canonical_key"))
+    return rows.join(learned, "spelling", "left").select("record_id", key.alias("canonical_key"))
+
+
+def curve_entries(curves: DataFrame, reference: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """record_id, canonical_key of the curves whose mnemonic is not letter for
-    letter a reference key. Null and empty mnemonics are judged by their
-    description. The reference is a fixed list and collected; repeated rows are
-    resolved alike; an empty table gives no rows."""
+    letter a reference key. Null and empty mnemonics are judged by their description,
+    for which the descriptions of curves under a reference key are spellings too. The
+    reference and the aliases (alias, entry) are fixed lists and collected; repeated rows
+    are resolved alike; an empty table gives no rows."""
     keys = [(r["curve_key"], r["curve_name"]) for r in reference.select("curve_key", "curve_name").where("curve_key is not null").collect()]
-    udf = _resolve_udf("curve", keys)
-    rows = curves.select("id", "mnemonic", "description").where(F.col("mnemonic").isNull() | ~F.col("mnemonic").isin([k for k, _ in keys]))
-    return rows.select(F.col("id").alias("record_id"), udf("mnemonic", "description").alias("canonical_key"))
+    known = None if aliases is None else [(r["alias"], r["entry"]) for r in aliases.select("alias", "entry").where("alias is not null").collect()]
+    udf = _resolve_udf("curve", keys, known)
+    listed = F.col("mnemonic").isin([k for k, _ in keys])
+    rows = curves.select("id", "mnemonic", "description", squeezed("description").alias("spelling")).where(F.col("mnemonic").isNull() | ~listed)
+    resolved = rows.select(F.col("id").alias("record_id"), "spelling", udf("mnemonic", "description").alias("canonical_key"))
+    return _also_known(resolved, curves.where(listed).select(squeezed("description").alias("spelling"), F.col("mnemonic").alias("entry")))
 
 
 def horizon_entries(aliases: DataFrame, groups: DataFrame) -> DataFrame:
-    """record_id, canonical_key of the aliases without a canonical_key; see
-    curve_entries for the rest."""
+    """record_id, canonical_key of the aliases without a canonical_key; the names of
+    those with one are spellings of it. See curve_entries for the rest."""
     keys = [(r["canonical_key"], r["canonical_name"]) for r in groups.select("canonical_key", "canonical_name").where("canonical_key is not null").collect()]
     udf = _resolve_udf("horizon", keys)
-    rows = aliases.where("canonical_key is null").select("alias_id", "alias_name")
-    return rows.select(F.col("alias_id").alias("record_id"), udf("alias_name").alias("canonical_key"))
+    rows = aliases.where("canonical_key is null").select("alias_id", "alias_name", squeezed("alias_name").alias("spelling"))
+    resolved = rows.select(F.col("alias_id").alias("record_id"), "spelling", udf("alias_name").alias("canonical_key"))
+    return _also_known(resolved, aliases.where("canonical_key is not null").select(squeezed("alias_name").alias("spelling"), F.col("canonical_key").alias("entry")))
