@@ -213,8 +213,9 @@ def learned_terms(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
                 rows += [(subject, kind, term) for kind, term in said] + [(subject, "d", "")]
             yield pd.DataFrame(rows, columns=["subject", "kind", "term"])
 
-    said = documents.select("doc_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").select("text", "subject").mapInPandas(find, "subject string, kind string, term string")
-    counts = said.groupBy("kind", "term", "subject").agg(F.count("*").alias("n")).groupBy("kind", "term").agg(F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("by"), F.sum("n").alias("n"))
+    # the sample is bounded; its documents are found by a scan, not a shuffle
+    said = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "subject").mapInPandas(find, "subject string, kind string, term string")
+    counts = cut(said.groupBy("kind", "term", "subject").agg(F.count("*").alias("n")).groupBy("kind", "term").agg(F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("by"), F.sum("n").alias("n")))
     new = counts.where((F.col("kind") == "u") & (F.col("n") >= LEAST_DOCUMENTS)).select(F.lit("g").alias("kind"), "term")
     got = counts.where(F.col("kind").isin("t", "d")).unionByName(counts.join(new, ["kind", "term"], "left_semi")).collect()
     size = next((dict(r["by"]) for r in got if r["kind"] == "d"), {})
