@@ -44,9 +44,6 @@ def test_filters_refuse_unknown_words(spark):
 def test_fingerprints_and_text(spark):
     f = spark.createDataFrame([("a", bytearray(b"xyz")), ("b", bytearray(b"xyz"))], "path string, content binary")
     assert ingest.fingerprint(f).select("sha1").distinct().count() == 1
-    lines = spark.createDataFrame([("p", "1 2 3 F1"), ("p", "head line"), ("p", "4 5 6")], "path string, line string")
-    assert sorted((r["x"], r["name"]) for r in ingest.points_text(lines).collect()) == [(1.0, "F1"), (4.0, None)]
-    assert spark.range(1).select(ingest.crs_of(F.lit('<a id="EPSG:32650"/>'))).first()[0] == 32650
     rings = ingest.rings_from_rows(spark.createDataFrame([("p", 2, 1.0, 1.0), ("p", 1, 0.0, 0.0), ("p", 3, None, 1.0)], "name string, row_no int, x double, y double"))
     assert [(r["seq"], r["x"]) for r in rings.orderBy("seq").collect()] == [(0, 0.0), (1, 1.0)]
 

@@ -90,7 +90,6 @@ def test_core_photos(spark):
     img = spark.createDataFrame([("/a/W1/x.jpg",), ("/a/W12box3.jpg",), ("/q/none.jpg",)], "path string")
     got = {r["path"]: r["well_key"] for r in catalog.core_photos(img, spark.createDataFrame([("W1",), ("W12",)], "well_key string")).collect()}
     assert got == {"/a/W1/x.jpg": "W1", "/a/W12box3.jpg": "W12", "/q/none.jpg": None}
-    assert catalog.quality_score([("a", 60, 1.5), ("b", 36, 1)]) == (96, "good")
 
 
 def test_neighbours_cross_partitions(spark):

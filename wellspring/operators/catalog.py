@@ -119,7 +119,31 @@ def core_photos(images: DataFrame, wells: DataFrame) -> DataFrame:
     return images.select("path").join(hit.groupBy("path").agg(F.max_by("well_key", "rank").alias("well_key")), "path", "left")
 
 
-def quality_score(checks: list[tuple[str, float, float]]) -> tuple[float, str]:
-    """MDL12: weighted sum of clamped factors and its grade."""
-    score = sum(w * min(1.0, max(0.0, f)) for _, w, f in checks)
-    return round(score, 2), "good" if score >= 85 else "fair" if score >= 70 else "poor"
+def header_profile(headers: DataFrame, failed: DataFrame) -> DataFrame:
+    """HLP05: profile of all log headers (path, well, mnemonic, unit, start, stop): per well
+    and mnemonic the files, units and depth range, and how many files could not be read."""
+    errors = failed.agg(F.count("*").alias("errors"))  # one row
+    rows = headers.where("mnemonic is not null").groupBy("well", F.upper(F.trim("mnemonic")).alias("mnemonic"))
+    return rows.agg(F.countDistinct("path").alias("files"), F.array_join(F.array_sort(F.collect_set("unit")), ",").alias("units"), F.min("start").alias("start"), F.max("stop").alias("stop")).crossJoin(errors)
+
+
+def signature(files: DataFrame) -> DataFrame:
+    """HLP05: one row that changes when a file (path, size) does: their number, bytes and
+    the sum of their hashes, so no task sorts them."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.xxhash64("path", "size").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("mark"))
+
+
+def is_current(saved: DataFrame, files: DataFrame) -> bool:
+    """HLP05: whether a profile saved under a signature is that of these files."""
+    old, now = saved.first(), signature(files).first()
+    return old is not None and tuple(old) == tuple(now)
+
+
+def saved_plans(texts: DataFrame) -> DataFrame:
+    """HLP12: plans of other runs from JSON texts (path, content): id, name, method, number
+    of groups, when saved, and one row a well with its group; texts that are no plans give
+    no rows, a plan saved twice counts by its later text."""
+    schema = "plan_id string, name string, method string, k int, saved_at string, members array<struct<well:string, cluster:int>>"
+    p = texts.select(F.from_json("content", schema).alias("p"), "path").where("p.plan_id is not null")
+    last = p.groupBy("p.plan_id").agg(F.max_by("p", F.struct("p.saved_at", "path")).alias("p"))
+    return last.select("p.plan_id", "p.name", "p.method", "p.k", "p.saved_at", F.explode_outer("p.members").alias("m")).select("plan_id", "name", "method", "k", "saved_at", "m.well", "m.cluster")

@@ -39,8 +39,7 @@ def head_import(heads: DataFrame) -> DataFrame:
 
 
 def with_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
-    """ING11, ING12, HLP07: alias rules with newer ones taking over; merging wells is one
-    more rule, after which wells are derived again. Rows: alias, canonical, saved_at."""
+    """ING11: alias rules with newer ones taking over. Rows: alias, canonical, saved_at."""
     both = aliases.unionByName(new)
     return both.groupBy("alias").agg(F.max_by("canonical", F.struct("saved_at", "canonical")).alias("canonical"))
 
@@ -241,8 +240,17 @@ def seeded_sample(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFram
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
 
 
+def clustering_method(name: str) -> tuple[str, str | None]:
+    """MDL24: method that runs for a name, and a note where it is another one: hierarchical
+    grouping is accepted and runs as K-means; unknown names fail."""
+    known = {"kmeans": "kmeans", "som": "som", "hierarchical": "kmeans"}
+    if name not in known:
+        raise ValueError(f"unknown method: {name}")
+    return known[name], "hierarchical grouping runs as K-means" if name == "hierarchical" else None
+
+
 def training_set(features: DataFrame, names: list[str], k: int) -> tuple[DataFrame, str | None]:
-    """MDL17, MDL24: rows of at least three records with half of the features known, and
+    """MDL17: rows of at least three records with half of the features known, and
     why they do not suffice for k groups, if so; only K-means and maps are methods."""
     known = sum(F.when(F.col(n).isNotNull(), 1).otherwise(0) for n in names)
     rows = features.where((F.col("records") >= 3) & (known >= F.lit(len(names) / 2)))
@@ -280,26 +288,11 @@ def preflight(files: DataFrame, ignored: tuple[str, ...] = (".git", "__pycache__
 
 
 def fingerprint(files: DataFrame, whole: int = 2_000_000) -> DataFrame:
-    """SRC19: SHA-1 of small files (path, content), of head, tail and size of large ones."""
+    """SRC19: fingerprint: SHA-1 of small files (path, content), of head, tail and size of large ones."""
     part = F.concat(F.substring("content", 1, whole // 2), F.expr(f"substring(content, -{whole // 2}, {whole // 2})"), F.length("content").cast("string").cast("binary"))
     return files.select("path", F.sha1(F.when(F.length("content") <= whole, F.col("content")).otherwise(part)).alias("sha1"))
 
 
-def points_text(lines: DataFrame, least: int = 3) -> DataFrame:
-    """SRC20, SRC21: points (path, name, x, y, z) of profile and fault text lines (path,
-    line): the first three numbers, and the last word if it is none."""
-    p = F.split(F.trim("line"), r"\s+")
-    n = [F.try_element_at(p, F.lit(i + 1)).try_cast("double") for i in range(3)]
-    last = F.element_at(p, -1)
-    ok = (F.size(p) >= least) & n[0].isNotNull() & n[1].isNotNull() & n[2].isNotNull()
-    return lines.where(ok).select("path", F.when(last.try_cast("double").isNull(), last).alias("name"), *[c.alias(a) for c, a in zip(n, "xyz")])
-
-
-def crs_of(sidecar: Column) -> Column:
-    """SRC22: EPSG number in the text of a CRS sidecar."""
-    return F.nullif(F.regexp_extract(sidecar, r'(?i)EPSG[^0-9]{1,12}(\d{4,6})', 1), F.lit("")).try_cast("int")
-
-
 def rings_from_rows(rows: DataFrame) -> DataFrame:
     """SRC24: ring points of polygons given as rows (name, row_no, x, y) in row order."""
     seq = F.row_number().over(W.partitionBy("name").orderBy("row_no")) - 1
@@ -324,17 +317,12 @@ def survey_row(traces: DataFrame) -> DataFrame:
 
 
 def delivery(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """SNK07-SNK10: manifest of files to hand over for wanted (well_key, kind): the best
+    """SNK08: manifest of files to hand over for wanted (well_key, kind): the best
     ending of each, and what is missing."""
     best = files.groupBy("well_key", "kind").agg(F.min_by("path", F.struct(extension_rank(F.col("path")).alias("r"), F.col("path"))).alias("path"), F.count("*").alias("candidates"))
     return wanted.join(best, ["well_key", "kind"], "left").withColumn("missing", F.col("path").isNull())
 
 
-def workbook_rows(perforations: DataFrame) -> DataFrame:
-    """SNK11: perforations under the standard column names, in well and depth order per file."""
-    return perforations.select(F.col("well").alias("WELL"), F.col("kind").alias("TYPE"), F.col("top").alias("TOP_MD"), F.col("base").alias("BASE_MD")).sortWithinPartitions("WELL", "TOP_MD")
-
-
 def cleaned(df: DataFrame) -> DataFrame:
     """SC02, SC03: null tokens of every text column, NaN of every number, become null."""
     out = {}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wellspring.functions.scalars import layer_key, listed
+from wellspring.functions.scalars import layer_key, listed, overlap_area
 from wellspring.operators.wells import digit_groups, distinct_wells, identity_similarity_udf, multi_key_pairs, well_match_score_udf, without_vowels
 
 # fixed values: evidence words of time-depth data and the seismic context that excludes them
@@ -143,7 +143,7 @@ def best_wells(queries: DataFrame, wells: DataFrame, top: int = 6, block: int =
 
 
 def relationship_search(text: DataFrame, wells: DataFrame, curve_types: DataFrame, layers: DataFrame) -> DataFrame:
-    """MDL41-MDL43: roles of the parts of a search text (q, text): well, curve or layer,
+    """MDL41: roles of the parts of a search text (q, text): well, curve or layer,
     by equality of keys. wells: key; curve_types: key; layers: key."""
     key = lambda c: F.regexp_replace(F.upper(c), "[^0-9A-Z一-鿿]", "")
     parts = text.select("q", F.explode(listed(F.col("text"))).alias("part")).withColumn("key", key(F.col("part")))
@@ -165,19 +165,45 @@ def unified_wells(heads: DataFrame, logs: DataFrame, tops: DataFrame, production
 
 
 def seismic_inventory(files: DataFrame) -> DataFrame:
-    """AGG23, HLP08: copies of a volume under its canonical name (name, size)."""
+    """AGG23: copies of a volume under its canonical name (name, size)."""
     base = F.trim(F.regexp_replace(F.upper(F.regexp_replace("name", r"\.[A-Za-z0-9]+$", "")), r"[\s_\-]*(COPY|BACKUP|V\d+|\(\d+\))$", ""))
     return files.groupBy(base.alias("volume")).agg(F.count("*").alias("copies"), F.max("size").alias("size"))
 
 
 def nearest_trace(points: DataFrame, traces: DataFrame, tolerance: float) -> DataFrame:
-    """JOIN19, MDL11: distance of each point (id, x, y) to the nearest trace (x, y)
+    """JOIN19: distance of each point (id, x, y) to the nearest trace (x, y)
     within the tolerance, through shared cells."""
     from wellspring.operators.surfaces import nearest_nodes
 
     return nearest_nodes(points, traces.withColumn("z", F.lit(0.0)), tolerance, tolerance).select("id", "distance")
 
 
+def surface_over_seismic(surfaces: DataFrame, volumes: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """MDL11: surfaces (surface, x0, y0, x1, y1, dx, dy) over volumes (volume, x0, y0, x1, y1,
+    inline_spacing, crossline_spacing) whose boxes meet: share of the volume covered, share
+    of the surface over it, and whether the surface is sampled finer than the traces by more
+    than the tolerance. Boxes meet in cells as wide as the widest surface is on average, so
+    the join is one of equality."""
+    size = surfaces.agg(F.greatest(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0")), F.lit(1.0)).alias("size")).first()["size"] or 1.0
+    cells = lambda df: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size))))
+    side = lambda df, s: df.select(*[F.col(c).alias(c if c in ("cx", "cy", "surface", "volume") else f"{s}_{c}") for c in df.columns])
+    both = side(cells(surfaces), "s").join(side(cells(volumes), "v"), ["cx", "cy"]).drop("cx", "cy").distinct()
+    shared = overlap_area(*[tuple(F.col(f"{s}_{c}") for c in ("x0", "y0", "x1", "y1")) for s in "sv"])
+    area = lambda s: F.nullif((F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0")), F.lit(0.0))
+    finer = F.least("s_dx", "s_dy") < F.least("v_inline_spacing", "v_crossline_spacing") * (1 - tolerance)
+    return both.withColumn("shared", shared).where("shared > 0").select("surface", "volume", (F.col("shared") / area("v") * 100).alias("volume_pct"), (F.col("shared") / area("s") * 100).alias("surface_pct"), finer.alias("resampled_finer"))
+
+
+def seismic_detail(scans: DataFrame) -> DataFrame:
+    """HLP08: per scanned volume (path, inline_min, ..., end_ms_max, trace_count) the numbers
+    of lines, the trace grid as text, whether every place of it has a trace, and the vertical
+    extent in milliseconds."""
+    n = lambda c: F.col(f"{c}_max") - F.col(f"{c}_min") + 1
+    out = scans.select("path", "trace_count", n("inline").alias("inlines"), n("crossline").alias("crosslines"), (F.col("end_ms_max") - F.col("delay_ms_min")).alias("extent_ms"))
+    known = F.col("inlines").isNotNull() & F.col("crosslines").isNotNull()
+    return out.withColumns({"grid": F.when(known, F.concat(F.col("inlines"), F.lit(" x "), F.col("crosslines"))).otherwise("line"), "full": F.when(known, F.col("trace_count") >= F.col("inlines") * F.col("crosslines"))})
+
+
 def preview_section(traces: DataFrame, inline: int, width: int = 240) -> DataFrame:
     """MDL33: traces of the inline nearest to the one asked for, by crossline, at most
     `width` of them evenly spaced. One line of a survey is its unit."""

@@ -29,9 +29,9 @@ def polygon_areas(rings: DataFrame) -> DataFrame:
     return ring.where("n >= 3").groupBy("polygon").agg(F.greatest(F.lit(0.0), F.sum(signed)).alias("area"), F.min("xa").alias("min_x"), F.max("xb").alias("max_x"), F.min("ya").alias("min_y"), F.max("yb").alias("max_y"))
 
 
-def points_in_polygons(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
-    """FLT02, FLT03, FLT04, JOIN15: (id, polygon) of points (id, x, y) inside a
-    polygon with holes, boundary inclusive. Points meet polygons in the grid
+def points_in_polygons(points: DataFrame, rings: DataFrame, cell: float, boundary: bool = True) -> DataFrame:
+    """FLT02, FLT03, JOIN15: (id, polygon) of points (id, x, y) inside a polygon with
+    holes; its boundary belongs to it unless asked otherwise. Points meet polygons in the grid
     cells of their bounding boxes; the exact test counts crossed edges."""
     e = edges(rings)
     box = e.groupBy("polygon").agg(F.min("x0").alias("xa"), F.max("x0").alias("xb"), F.min("y0").alias("ya"), F.max("y0").alias("yb"))
@@ -46,7 +46,15 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, cell: float) -> Data
     within = F.col("x").between(F.least("x0", "x1") - 1e-9, F.greatest("x0", "x1") + 1e-9) & F.col("y").between(F.least("y0", "y1") - 1e-9, F.greatest("y0", "y1") + 1e-9)
     on_edge = within & (off <= 1e-9 * F.greatest(F.lit(1.0), F.abs(dx) + F.abs(dy)))
     hit = j.groupBy("id", "polygon").agg(F.count_if(crosses).alias("n"), F.bool_or(F.coalesce(on_edge, F.lit(False))).alias("edge"))
-    return hit.where((F.col("n") % 2 == 1) | F.col("edge")).select("id", "polygon")
+    return hit.where((F.col("n") % 2 == 1) | (F.col("edge") & F.lit(boundary))).select("id", "polygon")
+
+
+def grid_mask(nodes: DataFrame, rings: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
+    """FLT04: nodes (row, col, value) with whether each is inside any polygon: by crossed
+    edges alone, without a tolerance at the boundary. Null values are never inside."""
+    p = nodes.select(F.struct("row", "col").alias("id"), (x0 + F.col("col") * dx).alias("x"), (y0 + F.col("row") * dy).alias("y"))
+    inside = points_in_polygons(p, rings, 16 * max(dx, dy), boundary=False).select("id.row", "id.col").distinct().withColumn("in", F.lit(True))
+    return nodes.join(inside, ["row", "col"], "left").select("row", "col", "value", (F.coalesce("in", F.lit(False)) & F.col("value").isNotNull()).alias("inside"))
 
 
 def node_of(points: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:

@@ -18,10 +18,11 @@ def stations(rows: DataFrame) -> DataFrame:
     return good.groupBy("well", "md").agg(F.max_by(F.struct("inc", "azi"), "id").alias("s")).select("well", "md", "s.inc", "s.azi")
 
 
-def minimum_curvature(rows: DataFrame, kb: str | None = None) -> DataFrame:
+def minimum_curvature(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """MDL01: tvd and offsets by minimum curvature; the part above the first
-    station is straight at its angles; tvdss = tvd - kb. A window adds up the
-    segments of a well, of which a survey has as many as stations."""
+    station is straight at its angles. With heads (well, kb) also tvdss = tvd - kb,
+    null for wells without one. A window adds up the segments of a well, of which a
+    survey has as many as stations."""
     w = W.partitionBy("well").orderBy("md")
     lag = lambda c, first: F.coalesce(F.lag(c).over(w), first)
     s = stations(rows).withColumns({"md0": lag("md", F.lit(0.0)), "i0": lag("inc", F.col("inc")) * RAD, "a0": lag("azi", F.col("azi")) * RAD, "i1": F.col("inc") * RAD, "a1": F.col("azi") * RAD})
@@ -31,7 +32,7 @@ def minimum_curvature(rows: DataFrame, kb: str | None = None) -> DataFrame:
     s = s.withColumns({"dn": half * (F.sin("i0") * F.cos("a0") + F.sin("i1") * F.cos("a1")), "de": half * (F.sin("i0") * F.sin("a0") + F.sin("i1") * F.sin("a1")), "dv": half * (F.cos("i0") + F.cos("i1"))})
     run = lambda c: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     out = s.select("well", "md", "inc", "azi", (F.col("dog") / RAD).alias("dogleg"), run("dn").alias("north"), run("de").alias("east"), run("dv").alias("tvd"))
-    return out
+    return out if heads is None else out.join(heads.select("well", "kb"), "well", "left").withColumn("tvdss", F.col("tvd") - F.col("kb")).drop("kb")
 
 
 def absolute(path: DataFrame, heads: DataFrame) -> DataFrame:
