@@ -49,6 +49,14 @@ def test_counter_resets_and_shares(spark):
     assert sum(r["amount"] for r in out.values()) == pytest.approx(31 + 10 + 10)
 
 
+def test_one_low_reading_is_no_reset(spark):
+    days = ("2001-11-01", "2001-12-01", "2002-01-01", "2002-02-01", "2002-03-01", "2002-04-01")
+    for values, total, resets in (((100, 110, 5, 120, 130, 140), 40, 0), ((100, 110, 5, 15, 120, 130), 10 + 5 + 10 + 105 + 10, 1), ((100, 110, 120, 130, 140, 3), 40 + 3, 1), ((100, 3, 100, 100, 3, 110), 10, 0)):
+        df = spark.createDataFrame([(i, "A", _day(d), float(v), _day("2003-01-01")) for i, (d, v) in enumerate(zip(days, values))], "id long, wellkey string, productiondate timestamp, v double, loaded_at timestamp")
+        out = grid.regular_grid(df, "wellkey", "productiondate", "v", kind="counter").collect()
+        assert sum(r["amount"] for r in out) == pytest.approx(total) and sum(r["n_resets"] for r in out) == resets
+
+
 def _brute(rows):
     out = set()
     for k in {r[0] for r in rows if r[0]}:

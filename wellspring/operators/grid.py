@@ -4,8 +4,9 @@ Readings become increments, each with the interval of time it accrued over;
 increments are distributed over the grid cells in proportion to overlap; cells
 between a source's first and last that no increment covers are marked.
 A cumulative counter yields its increments by differencing (a fall is a reset:
-the counter restarted at zero, so the reading itself is the increment); a
-period reading (a monthly volume dated on any day) accrued over its period.
+the counter restarted at zero, so the reading itself is the increment, unless the
+very next reading is back where the counter was: then the low one is a slip and does
+not count); a period reading (a monthly volume dated on any day) accrued over its period.
 """
 
 from __future__ import annotations
@@ -42,20 +43,29 @@ def period_increments(readings: DataFrame, key: str, time: str, value: str, vers
     return months.select(key, "start", (F.col("start") + F.expr("interval 1 month")).alias("end"), "amount", "n", F.lit(0).alias("resets"))
 
 
-def counter_increments(readings: DataFrame, key: str, time: str, value: str, version: list[str]) -> DataFrame:
-    """Increments of a cumulative counter between consecutive readings.
+def _neighbours(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, yr, end, v) with the reading before and after them as prev and next.
+
+    Windows are split by (key, year), so no task holds all of a hot key; the first
+    reading of a year takes the last of the key's latest earlier year from per-year
+    summaries, of which a key has as many as years, and the last one the first of the
+    next."""
+    reading = F.struct("end", "v")
+    ends = rows.groupBy(key, "yr").agg(F.max(reading).alias("last"), F.min(reading).alias("first"))
+    years = W.partitionBy(key).orderBy("yr")
+    carried = ends.select(key, "yr", F.lag("last").over(years).alias("carried"), F.lead("first").over(years).alias("coming"))
+    inner = W.partitionBy(key, "yr").orderBy("end")
+    j = rows.join(carried, [key, "yr"])
+    return j.withColumns({"prev": F.coalesce(F.lag(reading).over(inner), F.col("carried")), "next": F.coalesce(F.lead(reading).over(inner), F.col("coming"))}).drop("carried", "coming")
 
-    The window for the previous reading is split by (key, year), so no task
-    holds all of a hot key; the first reading of a year takes the last of the
-    key's latest earlier year from per-year summaries, of which a key has as
-    many as years."""
+
+def counter_increments(readings: DataFrame, key: str, time: str, value: str, version: list[str]) -> DataFrame:
+    """Increments of a cumulative counter between consecutive readings. A single reading
+    below the one before, with the one after not below that, is a slip and left out."""
     best = F.max_by(value, F.struct(*version, F.col(value)))
     rows = readings.where(F.col(key).isNotNull()).groupBy(F.col(key), F.col(time).alias("end"), F.year(time).alias("yr")).agg(best.alias("v"), F.count("*").alias("n"))
-    inner = W.partitionBy(key, "yr").orderBy("end")
-    last = rows.groupBy(key, "yr").agg(F.max(F.struct("end", "v")).alias("last"))
-    carried = last.select(key, "yr", F.lag("last").over(W.partitionBy(key).orderBy("yr")).alias("carried"))
-    prev = F.coalesce(F.lag(F.struct("end", "v")).over(inner), F.col("carried"))
-    steps = rows.join(carried, [key, "yr"]).withColumn("prev", prev).where("prev is not null")
+    slip = F.coalesce((F.col("v") < F.col("prev.v")) & (F.col("next.v") >= F.col("prev.v")), F.lit(False))
+    steps = _neighbours(_neighbours(rows, key).where(~slip).drop("prev", "next"), key).where("prev is not null")
     reset = F.col("v") < F.col("prev.v")
     return steps.select(key, F.col("prev.end").alias("start"), "end", F.when(reset, F.col("v")).otherwise(F.col("v") - F.col("prev.v")).alias("amount"), "n", reset.cast("int").alias("resets"))
 

@@ -76,7 +76,8 @@ ORACLE = {
     "p1_found": f"WITH {_MONTHS} SELECT wellkey, strftime(m, '%Y-%m') AS month_missing FROM g ANTI JOIN m USING (wellkey, m)",
     "p1_grid": f"WITH {_MONTHS} SELECT wellkey, strftime(m, '%Y-%m') AS month, round(v, 4) AS monthlyoil, coalesce(n, 0) AS n_readings, v IS NULL AS missing FROM g LEFT JOIN m USING (wellkey, m)",
     "p1_counter": f"""WITH {_USABLE.format(v="cumulativeoil")}, r AS (SELECT wellkey, productiondate AT TIME ZONE 'UTC' AS e, arg_max(cumulativeoil, ROW(loaded_at, id, cumulativeoil)) AS v FROM usable GROUP BY ALL),
- s AS (SELECT *, lag(e) OVER w AS b, lag(v) OVER w AS pv FROM r WINDOW w AS (PARTITION BY wellkey ORDER BY e)),
+ f AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv FROM r WINDOW w AS (PARTITION BY wellkey ORDER BY e)), k AS (SELECT wellkey, e, v FROM f WHERE NOT coalesce(v < pv AND nv >= pv, false)),
+ s AS (SELECT *, lag(e) OVER w AS b, lag(v) OVER w AS pv FROM k WINDOW w AS (PARTITION BY wellkey ORDER BY e)),
  i AS (SELECT wellkey, b, e, CASE WHEN v < pv THEN v ELSE v - pv END AS a, CAST(v < pv AS INT) AS rs FROM s WHERE b IS NOT NULL),
  c AS (SELECT *, unnest(generate_series(date_trunc('month', b), greatest(date_trunc('month', b), date_trunc('month', e - INTERVAL 1 MICROSECOND)), INTERVAL 1 MONTH)) AS m FROM i),
  o AS (SELECT *, epoch_us(least(e, m + INTERVAL 1 MONTH)) - epoch_us(greatest(b, m)) AS us FROM c)
