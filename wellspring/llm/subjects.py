@@ -33,7 +33,7 @@ from wellspring.tables import cut
 
 THRESHOLD = 0.25  # of a subject without labels
 GRID = tuple(round(0.15 + 0.01 * i, 2) for i in range(16))  # thresholds compared, 0.15 to 0.30
-SAMPLE = 4000  # labelled documents that terms are learned from, at most
+SAMPLE = 2000  # labelled documents that terms are learned from, at most
 LEAST_DOCUMENTS = 3  # of the sample that a learned or weighed term must stand in
 LEAST_SHARE = 0.8  # of a learned term's occurrences, per document of each subject, in its own subject
 
@@ -194,8 +194,8 @@ def learned_terms(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     """(term, subject, weight) from labelled documents of one subject, at most `sample`
     of them, chosen by the hash of their id: curated terms weighed by their log odds (1
     where the sample does not show them, none where it speaks against them), and grams
-    of sentences without a curated term that tell a subject in all sentences. Counts are aggregated
-    before they reach the driver; their number is bounded by the sample."""
+    of sentences without a curated term that tell a subject in all sentences. Counts are
+    aggregated before they reach the driver; their number is bounded by the sample."""
     one = labels.where("doc_id is not null and subject_code is not null").groupBy("doc_id").agg(F.collect_set("subject_code").alias("s")).where("size(s) = 1").select("doc_id", F.col("s")[0].alias("subject"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     listed = curated()
