@@ -156,21 +156,23 @@ def silhouette(rows: DataFrame, key: str, part: int = 1000) -> DataFrame:
     meet part by part, and give one sum a row and cluster."""
     kept = rows.select(key, "v", "cluster")
     parts = -(-kept.count() // part) or 1
-    split = kept.withColumn("p", F.pmod(F.xxhash64(key), F.lit(parts)))
-    met = lambda s, o: split.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o")).select(F.col("p").alias(s), F.col("o").alias(o), key, "v", "cluster")
+    number = lambda n: F.lit(n).cast("long")  # noqa: E731  one type on both sides, else equal parts hash to different partitions and never meet
+    split = kept.withColumn("p", F.pmod(F.xxhash64(key), number(parts)))
+    met = lambda s, o: split.select("*", F.explode(F.sequence(number(0), number(parts - 1))).alias("o")).select(F.col("p").alias(s), F.col("o").alias(o), key, "v", "cluster")
     shape = f"a {kept.schema[key].dataType.simpleString()}, ca int, cb int, s double, n long"
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
         va, ka = np.array(x["v"].tolist(), dtype=float), x[key].to_numpy()
-        for cluster, other in y.groupby("cluster"):
+        # a part may be empty, as a hash spreads few rows unevenly
+        for cluster, other in y.groupby("cluster") if len(x) else ():
             total, vb = np.zeros(len(x)), np.array(other["v"].tolist(), dtype=float)
             for v in vb:
                 total += np.sqrt(((va - v) ** 2).sum(axis=1))
             # a row is none of its own neighbours; its distance to itself is 0
             n = len(other) - np.isin(ka, other[key].to_numpy())
             out.append(pd.DataFrame({"a": ka, "ca": x["cluster"], "cb": cluster, "s": total, "n": n}))
-        return pd.concat(out) if len(x) and out else pd.DataFrame({"a": x[key][:0], "ca": [], "cb": [], "s": [], "n": []})
+        return pd.concat(out) if out else pd.DataFrame({"a": x[key][:0], "ca": [], "cb": [], "s": [], "n": []})
 
     cells = met("p", "q").groupBy("p", "q").cogroup(met("q", "p").groupBy("p", "q")).applyInPandas(sums, shape)
     mean = cells.groupBy("a", "ca", "cb").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
