@@ -200,21 +200,23 @@ def write_texts(files: DataFrame, key: str, folder: str, suffix: str) -> DataFra
 
 def resampled_curve(samples: DataFrame, step: float, old_step: float) -> DataFrame:
     """MDL34: (well, md, value) on regular depths from the first to the last sample,
-    linear over gaps of up to the greater of five old and two new steps."""
-    w = W.partitionBy("well").orderBy("md")
+    linear over gaps of up to the greater of five old and two new steps. A sample gives the
+    depths from its own up to the next one's, so depths meet no samples in a join: the few
+    wells there are would be taken for a small side and all their depths be broadcast."""
+    near = 1e-8
+    w = W.partitionBy("well").orderBy("md", "value")
     gap = max(5 * old_step, 2 * step)
-    s = samples.where("value is not null")
-    lim = s.groupBy("well").agg(F.min("md").alias("lo"), F.max("md").alias("hi"))
-    grid = lim.select("well", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / step + 1e-9).cast("int")), lambda i: F.col("lo") + i * step)).alias("q"))
-    seg = s.select("well", "md", "value", F.lead(F.struct("md", "value")).over(w).alias("n"))
-    b = step * 64
-    seg = seg.withColumn("bk", F.explode(F.sequence(F.floor(F.col("md") / b), F.floor(F.coalesce("n.md", "md") / b))))
-    j = grid.withColumn("bk", F.floor(F.col("q") / b)).join(seg, ["well", "bk"]).where("q >= md - 1e-8 and (q <= n.md or abs(q - md) <= 1e-8)")
-    exact = F.abs(F.col("q") - F.col("md")) <= 1e-8
+    s = samples.where("value is not null and md is not null")
+    seg = s.select("well", "md", "value", F.first("md").over(w).alias("lo"), F.lead(F.struct("md", "value")).over(w).alias("n"))
+    start = F.greatest(F.lit(0), F.floor((F.col("md") - near - F.col("lo")) / step))
+    # of the last sample also a depth that rounding puts just behind it
+    stop = F.coalesce(F.ceil((F.col("n.md") - F.col("lo")) / step), F.floor((F.col("md") - F.col("lo")) / step + 1e-9))
+    at = seg.withColumn("i", F.explode(F.sequence(start, stop))).withColumn("q", F.col("lo") + F.col("i") * step)
+    own = at.where((F.col("q") >= F.col("md") - near) & (F.col("n").isNull() | (F.col("q") < F.col("n.md") - near)))
+    exact = F.abs(F.col("q") - F.col("md")) <= near
     t = (F.col("q") - F.col("md")) / (F.col("n.md") - F.col("md"))
     value = F.when(exact, F.col("value")).when(F.col("n.md") - F.col("md") <= gap, F.col("value") + (F.col("n.value") - F.col("value")) * t)
-    found = j.groupBy("well", "q").agg(F.max_by(value, "md").alias("value"))
-    return grid.join(found, ["well", "q"], "left").select("well", F.col("q").alias("md"), "value")
+    return own.select("well", F.col("q").alias("md"), value.alias("value"))
 
 
 # fixed values: the sets of a production export and their columns
