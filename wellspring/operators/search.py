@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wellspring.functions.scalars import layer_key, listed, overlap_area
-from wellspring.operators.wells import digit_groups, distinct_wells, identity_similarity_udf, multi_key_pairs, well_match_score_udf, without_vowels
+from wellspring.functions.text import name_key
+from wellspring.operators.wells import _skeleton, digit_groups, distinct_wells, identity_similarity, identity_similarity_udf, multi_key_pairs, well_match_score, without_vowels
 
 # fixed values: evidence words of time-depth data and the seismic context that excludes them
 TIME_DEPTH_WORDS = (("checkshot", "check.?shot"), ("time_depth", "time.?depth|t-d"), ("vsp", r"\bvsp\b"), ("velocity", "velocity"))
@@ -107,6 +116,88 @@ def strong_trajectories(suggestions: DataFrame, compared: DataFrame) -> DataFram
     return suggestions.join(compared.where("max_distance <= 10"), ["a", "b"])
 
 
+def _six(x: float) -> float:
+    """x to six places, halves up, as round() of SQL gives it."""
+    return float(Decimal(repr(x)).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+
+
+class _Letters:
+    """Normalised names to score against many others: what they have in common as letters,
+    whatever their order, is the most that their matching blocks can hold."""
+
+    def __init__(self, texts: Iterable[str | None]) -> None:
+        self.texts = list(texts)
+        keys = [name_key(t) for t in self.texts]
+        self.length = np.array([len(k) for k in keys], float)
+        numbers = [re.findall(r"\d+", k) for k in keys]
+        self.digits = np.array(["-".join(d) for d in numbers], object)
+        bare = [_skeleton(k) for k in keys]
+        self.bare, self.initial = np.array(bare, object), np.array([x[:1] for x in bare], object)
+        # of a letter that a key has three times the first, second and third
+        self.units = [[(c, i) for c, n in Counter(k).items() for i in range(n)] for k in keys]
+
+    def table(self, columns: dict[tuple[str, int], int], rows: slice) -> np.ndarray:
+        out = np.zeros((len(self.units[rows]), len(columns)), np.float32)
+        for i, u in enumerate(self.units[rows]):
+            out[i, [columns[x] for x in u if x in columns]] = 1
+        return out
+
+
+def _bounds(left: _Letters, right: _Letters, match: bool, rows: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, bound): of every left text the most its scores with the right texts can be: of
+    identity_similarity, or with `match` of well_match_score."""
+    columns = {x: k for k, x in enumerate(sorted({x for u in right.units for x in u}))}
+    there = right.table(columns, slice(None)).T.copy()
+    same: dict[str, np.ndarray] = {d: np.array(k) for d, k in pd.Series(range(len(right.texts))).groupby(right.digits).indices.items() if d}
+    for at in range(0, len(left.texts), rows):
+        common = left.table(columns, slice(at, at + rows)) @ there
+        for i, shared in enumerate(common.astype(float), at):
+            both = left.length[i] + right.length
+            bound = 2.0 * shared / np.where(both > 0, both, 1)
+            bound[both == 0] = 1.0  # two empty names are equal
+            if len(k := same.get(left.digits[i], ())):
+                least = np.where(shared[k] == np.minimum(left.length[i], right.length[k]), 0.90, 0.78)
+                if match and left.bare[i]:
+                    least = np.maximum(least, np.where(right.bare[k] == left.bare[i], 0.96, np.where(right.initial[k] == left.initial[i], 0.88, 0.0)))
+                bound[k] = np.maximum(bound[k], least)
+            if match and not left.length[i]:
+                bound[:] = 0.0
+            yield i, bound
+
+
+def _above(bound: np.ndarray, score: Callable[[int], float], place: np.ndarray, top: int, least: float = 0.0) -> list[tuple[float, int]]:
+    """(score, k) of the `top` columns by rounded score, then least place: columns are scored
+    in the order of their bounds until no bound left reaches the last of the top. A bound of
+    0 is a score of 0."""
+    slack = 1e-6  # scores are compared as rounded
+    best: list[tuple[float, int, int]] = []  # (score, -place, k) in order, the last first
+
+    def add(x: float, k: int) -> None:
+        bisect.insort(best, (x, -int(place[k]), int(k)))
+        if len(best) > top:
+            best.pop(0)
+
+    done, size = np.zeros(len(bound), bool), 64
+    while True:
+        low = max(least, best[0][0]) if len(best) >= top else least
+        left = np.flatnonzero(~done & (bound > 0) & (bound >= low - slack))
+        if not len(left):
+            break
+        if len(left) > size:
+            left = left[np.argpartition(-bound[left], size)[:size]]
+        for k in left[np.argsort(-bound[left], kind="stable")]:
+            done[k] = True
+            if len(best) < top or bound[k] >= best[0][0] - slack:
+                if (x := _six(score(k))) >= least:
+                    add(x, k)
+        size *= 2
+    if least <= 0 and (len(best) < top or best[0][0] == 0):
+        none = np.flatnonzero(bound == 0)
+        for k in none[np.argsort(place[none], kind="stable")][:top]:
+            add(0.0, k)
+    return [(x, k) for x, _, k in reversed(best)]
+
+
 def number_suggestions(names: DataFrame, wells: DataFrame, least: float = 0.78) -> DataFrame:
     """JOIN22: for names (q, text) the well (id, name) most alike of those that share a
     digit group, if alike enough; ties go to the lower id. Equal texts and equal names
@@ -124,21 +215,50 @@ def number_suggestions(names: DataFrame, wells: DataFrame, least: float = 0.78)
     return names.join(best, "text").select("q", (-F.col("b.i")).alias("id"), F.col("b.score").alias("score"))
 
 
-def best_wells(queries: DataFrame, wells: DataFrame, top: int = 6, block: int = 500) -> DataFrame:
+def best_wells(queries: DataFrame, wells: DataFrame, top: int = 6, block: int = 500, part: int = 20_000) -> DataFrame:
     """HLP15: for query names (q, text) the `top` wells (id, name, key, sources) by match
     score of name or key, then number of sources, then id. Every query meets every well,
-    in blocks of `block` queries; equal texts are scored once."""
-    said = queries.where("text is not null").groupBy("text").agg(F.count("*").alias("n"))
-    blocks = max(1, -(-said.count() // block))
-    q = said.select("text", F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"))
-    w = wells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    score = F.round(F.greatest(well_match_score_udf("text", "name"), well_match_score_udf("text", "key")), 6)
-    each = q.join(w, "block").select("text", "id", "sources", score.alias("score"))
-    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("sources")).alias("n"), "id"))), 1, top)
-    # the best of each part of the wells first, so that no task holds all wells of a query
-    part = each.groupBy("text", F.pmod("id", F.lit(64))).agg(first.alias("b")).select("text", F.inline("b"))
-    best = part.groupBy("text").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "n", "id"))), 1, top).alias("b"))
-    placed = queries.join(best, "text").select("q", F.posexplode("b").alias("place", "r"))
+    in blocks of `block` queries and about `part` wells; equal texts are scored once, wells
+    of equal name and key too, and wells whose letters cannot give a score among the best
+    are not scored."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct("n", "id"))), 1, top).alias("w")
+    # the best of each part of the wells of a name first, so that no task holds all of them
+    few = wells.select("name", "key", "id", (-F.col("sources")).alias("n")).groupBy("name", "key", F.pmod("id", F.lit(64))).agg(first).select("name", "key", F.inline("w")).groupBy("name", "key").agg(first)
+    said = queries.where("text is not null").select("text").distinct()
+    number = lambda n: F.lit(n).cast("long")  # noqa: E731  one type on both sides: equal numbers of two types hash to different partitions
+    blocks, parts = max(1, -(-said.count() // block)), max(1, -(-few.count() // part))
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = lambda m: F.explode(F.sequence(number(0), number(m - 1)))
+    # a given number of partitions: by their small input they would be merged to one
+    left = said.select(F.pmod(F.xxhash64("text"), number(blocks)).alias("p"), span(parts).alias("r"), "text").repartition(n, "p", "r")
+    right = few.select(F.pmod(F.xxhash64("name", "key"), number(parts)).alias("r"), span(blocks).alias("p"), "name", "key", F.col("w.n").alias("ns"), F.col("w.id").alias("ids")).repartition(n, "p", "r")
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            order = sorted(range(len(y)), key=lambda k: (y["ns"].iat[k][0], y["ids"].iat[k][0]))
+            y = y.iloc[order].reset_index(drop=True)
+            texts, names, keys, place = x["text"].tolist(), y["name"].tolist(), y["key"].tolist(), np.arange(len(y))
+            mine, by_name = _Letters(texts), _Letters(names)
+            # where both say the same, one is enough
+            other = [b if name_key(a) != name_key(b) else None for a, b in zip(names, keys)]
+            by_key = _Letters(other) if any(other) else None
+            bounds = _bounds(mine, by_name, match=True)
+            for (i, bound), more in zip(bounds, _bounds(mine, by_key, match=True) if by_key else itertools.repeat(None)):
+                if more is not None:
+                    bound = np.maximum(bound, more[1])
+
+                def score(k: int, t: str = texts[i]) -> float:
+                    return max(well_match_score(t, names[k]), well_match_score(t, other[k]) if other[k] else 0.0)
+
+                out += [(texts[i], s, y["ns"][k], y["ids"][k]) for s, k in _above(bound, score, place, top)]
+        return pd.DataFrame(out, columns=["text", "score", "ns", "ids"])
+
+    kind = {c: right.schema[c].dataType.simpleString() for c in ("ns", "ids")}
+    each = left.groupBy("p", "r").cogroup(right.groupBy("p", "r")).applyInPandas(best, f"text string, score double, ns {kind['ns']}, ids {kind['ids']}")
+    ranked = each.select("text", (-F.col("score")).alias("s"), F.inline(F.arrays_zip(F.col("ns").alias("n"), F.col("ids").alias("id"))))
+    most = ranked.groupBy("text").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "n", "id"))), 1, top).alias("b"))
+    placed = queries.join(most, "text").select("q", F.posexplode("b").alias("place", "r"))
     return placed.select("q", (F.col("place") + 1).alias("place"), "r.id", (-F.col("r.s")).alias("score"))
 
 
