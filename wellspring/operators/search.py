@@ -201,18 +201,37 @@ def _above(bound: np.ndarray, score: Callable[[int], float], place: np.ndarray,
 def number_suggestions(names: DataFrame, wells: DataFrame, least: float = 0.78) -> DataFrame:
     """JOIN22: for names (q, text) the well (id, name) most alike of those that share a
     digit group, if alike enough; ties go to the lower id. Equal texts and equal names
-    are compared once, and a hot digit group in parts."""
-    said = names.groupBy("text").agg(F.min("q").alias("first"))
+    are compared once, and a hot digit group in parts; of the names that share a group
+    those whose letters cannot give the best score are not scored."""
+    said = names.where("text is not null").select("text").distinct()
     known = wells.groupBy("name").agg(F.min("id").alias("id"))
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)))
+    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def parts(rows: DataFrame, size: int) -> DataFrame:
+        return rows.groupBy("t").agg((1 + F.floor(F.count("*") / size)).alias("parts"))
+
     left = said.select("text", F.explode(tokens(F.col("text"))).alias("t"))
-    named = known.select("id", "name", F.explode(tokens(F.col("name"))).alias("t"))
-    spread = named.groupBy("t").agg((1 + F.floor(F.count("*") / 1000)).alias("parts"))
-    right = named.join(spread, "t").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    left = left.join(spread, "t").select("text", "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    both = left.join(right, ["t", "part"]).select("text", "id", "name").distinct()
-    best = both.withColumn("score", F.round(identity_similarity_udf("text", "name"), 6)).groupBy("text").agg(F.max(F.struct("score", (-F.col("id")).alias("i"))).alias("b")).where(F.col("b.score") >= least)
-    return names.join(best, "text").select("q", (-F.col("b.i")).alias("id"), F.col("b.score").alias("score"))
+    right = known.select("id", "name", F.explode(tokens(F.col("name"))).alias("t"))
+    spread = parts(left, 2000).withColumnRenamed("parts", "lp").join(parts(right, 10_000).withColumnRenamed("parts", "rp"), "t")
+    span = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    part = lambda by, c: F.pmod(F.xxhash64(by), F.col(c))
+    # a given number of partitions: by their small input they would be merged to one
+    left = left.join(spread, "t").select("t", part("text", "lp").alias("p"), span("rp").alias("r"), "text").repartition(n, "t", "p", "r")
+    right = right.join(spread, "t").select("t", span("lp").alias("p"), part("id", "rp").alias("r"), "id", "name").repartition(n, "t", "p", "r")
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            ids, names_, texts = y["id"].to_numpy(), y["name"].tolist(), x["text"].tolist()
+            for i, bound in _bounds(_Letters(texts), _Letters(names_), match=False):
+                out += [(texts[i], ids[k], s) for s, k in _above(bound, lambda k, t=texts[i]: identity_similarity(t, names_[k]), ids, 1, least)]
+        return pd.DataFrame(out, columns=["text", "id", "score"])
+
+    shape = f"text string, id {known.schema['id'].dataType.simpleString()}, score double"
+    each = left.groupBy("t", "p", "r").cogroup(right.groupBy("t", "p", "r")).applyInPandas(best, shape)
+    top = each.groupBy("text").agg(F.max(F.struct("score", (-F.col("id")).alias("i"))).alias("b"))
+    return names.join(top, "text").select("q", (-F.col("b.i")).alias("id"), F.col("b.score").alias("score"))
 
 
 def best_wells(queries: DataFrame, wells: DataFrame, top: int = 6, block: int = 500, part: int = 20_000) -> DataFrame:
