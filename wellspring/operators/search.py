@@ -317,20 +317,38 @@ def nearest_trace(points: DataFrame, traces: DataFrame, tolerance: float) -> Dat
     return nearest_nodes(points, traces.withColumn("z", F.lit(0.0)), tolerance, tolerance).select("id", "distance")
 
 
-def surface_over_seismic(surfaces: DataFrame, volumes: DataFrame, tolerance: float = 0.05) -> DataFrame:
+def surface_over_seismic(surfaces: DataFrame, volumes: DataFrame, tolerance: float = 0.05, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """MDL11: surfaces (surface, x0, y0, x1, y1, dx, dy) over volumes (volume, x0, y0, x1, y1,
     inline_spacing, crossline_spacing) whose boxes meet: share of the volume covered, share
     of the surface over it, and whether the surface is sampled finer than the traces by more
     than the tolerance. Boxes meet in cells as wide as the widest surface is on average, so
-    the join is one of equality."""
+    the join is one of equality; a pair counts in the cell of the lower corner of what it
+    shares, so no pairs are held to be made distinct. Equal boxes are compared once, a
+    thousand of them or so at a time; `finish` is applied to the figures of two boxes, before
+    they are repeated for their ids."""
     size = surfaces.agg(F.greatest(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0")), F.lit(1.0)).alias("size")).first()["size"] or 1.0
-    cells = lambda df: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size))))
-    side = lambda df, s: df.select(*[F.col(c).alias(c if c in ("cx", "cy", "surface", "volume") else f"{s}_{c}") for c in df.columns])
-    both = side(cells(surfaces), "s").join(side(cells(volumes), "v"), ["cx", "cy"]).drop("cx", "cy").distinct()
+    n = int(surfaces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = lambda c: F.floor(F.col(c) / size)
+
+    def side(df: DataFrame, name: str, s: str) -> DataFrame:
+        shape = [c for c in df.columns if c != name]
+        kept = df.distinct().withColumn("h", F.xxhash64(*shape))
+        many = kept.groupBy("h").agg((1 + F.floor(F.count("*") / 1000)).alias("parts")).where("parts > 1")
+        part = F.pmod(F.xxhash64(name), F.coalesce("parts", F.lit(1)))
+        boxes = kept.join(many, "h", "left").groupBy(*shape, part.alias("part")).agg(F.collect_list(name).alias(name))
+        in_x = boxes.withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1"))))
+        in_cells = in_x.withColumn("cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+        # a given number of partitions: by their small input they would be merged to few
+        return in_cells.select("cx", "cy", name, *[F.col(c).alias(f"{s}_{c}") for c in shape]).repartition(n, "cx", "cy")
+
+    both = side(surfaces, "surface", "s").join(side(volumes, "volume", "v"), ["cx", "cy"])
+    low = lambda c: F.floor(F.greatest(f"s_{c}", f"v_{c}") / size)
+    both = both.where((low("x0") == F.col("cx")) & (low("y0") == F.col("cy")))
     shared = overlap_area(*[tuple(F.col(f"{s}_{c}") for c in ("x0", "y0", "x1", "y1")) for s in "sv"])
     area = lambda s: F.nullif((F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0")), F.lit(0.0))
     finer = F.least("s_dx", "s_dy") < F.least("v_inline_spacing", "v_crossline_spacing") * (1 - tolerance)
-    return both.withColumn("shared", shared).where("shared > 0").select("surface", "volume", (F.col("shared") / area("v") * 100).alias("volume_pct"), (F.col("shared") / area("s") * 100).alias("surface_pct"), finer.alias("resampled_finer"))
+    met = both.withColumn("shared", shared).where("shared > 0").select("surface", "volume", (F.col("shared") / area("v") * 100).alias("volume_pct"), (F.col("shared") / area("s") * 100).alias("surface_pct"), finer.alias("resampled_finer"))
+    return finish(met).withColumn("surface", F.explode("surface")).withColumn("volume", F.explode("volume"))
 
 
 def seismic_detail(scans: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ QUERIES = {
     "hlp09_dispatch": lambda s, d: rounded(compare.hits_by_kind(_path(s, d).select("well", "md", F.lit(55.0).alias("x"), F.lit(45.0).alias("y"), F.col("md").alias("tvdss")), "xyz_surface", nodes(s, d).select((F.col("col") * 10.0).alias("x"), (F.col("row") * 10.0).alias("y"), F.lit(45.0).alias("z")), cell=10.0), 4),
     "flt04_mask": lambda s, d: surfaces.grid_mask(nodes(s, d), _rings(s, d), 0.0, 0.0, 10.0, 10.0).select("row", "col", "inside"),
     "mdl01_subsea": lambda s, d: rounded(trajectory.minimum_curvature(stations(s, d), heads(s, d)).select("well", "md", "tvdss"), 4),
-    "mdl11_coverage": lambda s, d: rounded(search.surface_over_seismic(*_boxes(s, d)), 4),
+    "mdl11_coverage": lambda s, d: search.surface_over_seismic(*_boxes(s, d), finish=lambda df: rounded(df, 4)),
     "hlp05_profile": lambda s, d: catalog.header_profile(text_formats.las_headers(s, _log_files(s, d)), files(s, d).where("size = 0")).select("mnemonic", "files", "units", "errors"),
     "hlp08_detail": lambda s, d: search.seismic_detail(table(s, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.count("*").alias("trace_count"), F.min("p_size").alias("inline_min"), F.max("p_size").alias("inline_max"), F.min(F.col("p_partkey") % 9).alias("crossline_min"), F.max(F.col("p_partkey") % 9).alias("crossline_max"), F.lit(0).alias("delay_ms_min"), F.max("p_size").alias("end_ms_max"))),
     "hlp12_plans": lambda s, d: catalog.saved_plans(_plan_texts(s, d)).select("plan_id", "saved_at", "well", "cluster"),
